@@ -1,6 +1,11 @@
-"""All registered queries of the engine, by name."""
+"""All registered queries of the engine, by name, with the SQL that states the same result."""
 
 from __future__ import annotations
 
+from . import crawling, documents, native, rich
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (native, documents, rich, crawling):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

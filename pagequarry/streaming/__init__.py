@@ -1 +1 @@
-"""Structured Streaming variants."""
+"""Structured Streaming variants: incremental extraction and a frontier with state per host."""

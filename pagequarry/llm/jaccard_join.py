@@ -19,7 +19,9 @@ under this order, too.
 *Verification.*  A shingle that many sets show would give all pairs of them.  Instead the
 set with the fewest unshared shingles is its hub: pairs with the hub and with the neighbour
 in order are verified first, and linked sets contracted to components.  Then only pairs
-across components are left, under both bounds; each is verified exactly.  So no link between
+across components are left, and of them those whose overlap can still be large enough from
+the position of the common shingle on (a set that strays from its hub has its own shingles there);
+each is verified exactly.  So no link between
 different texts is lost as to reachability, and a group of near copies costs pairs in
 proportion to its size.
 
@@ -40,14 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
+from .idfilter import drop_ids, id_filter, may_hold
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Texts hashed between two record batches.
 LOT = 1024
 #: Sequences that a task remembers to show a repeated text once.
 SEEN = 500_000
-#: Bits of the filter that spares a scan the texts that are out; fuller, it spares fewer.
-FILTER_BITS = 1 << 23
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -118,40 +119,12 @@ def first_order(docs: DataFrame) -> DataFrame:
     return shared.filter("shared >= 1 + ((4 * n + 4) div 5) div 20").select("doc")
 
 
-def _positions(ids: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each id."""
-    h = mix(ids.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    return np.concatenate([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)]).astype(np.int64)
-
-
-def _bits(batches):
-    field = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for batch in batches:
-        at = _positions(batch.column(0).to_numpy(zero_copy_only=False))
-        np.bitwise_or.at(field, at >> 6, np.left_shift(np.int64(1), at & 63))
-    used = np.flatnonzero(field)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(field[used])], names=["at", "bits"])
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS, whatever the number of ids."""
-    rows = ids.mapInArrow(_bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    field = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    field[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return field
-
-
 def _all_shingles(field: np.ndarray):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            if batch.column(0).null_count:
-                ids = np.nan_to_num(ids).astype(np.int64)
-            at = _positions(ids)
-            hit = ((field[at >> 6] >> (at & 63)) & 1).astype(bool)
-            keep = hit[: len(ids)] & hit[len(ids) :]
-            chosen = batch.filter(pa.array(keep & np.asarray(batch.column(0).is_valid())))
-            for part, hashes in _lots([chosen]):
+            ids = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
+            chosen = pa.array(may_hold(field, ids) & np.asarray(batch.column(0).is_valid()))
+            for part, hashes in _lots([batch.filter(chosen)]):
                 sets = [np.unique(shingle_hashes(w)) for w in hashes]
                 sizes = [len(s) for s in sets]
                 owner = np.repeat(part.to_numpy(zero_copy_only=False), sizes)
@@ -174,7 +147,11 @@ def second_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def may_link(na: str, ca: str, nb: str, cb: str) -> Column:
-    """Sizes n and shared shingles c of two sets allow a link."""
+    """A link is possible by the sizes n and by c, the shared shingles from the common one on.
+
+    The first common shingle in the second order leaves at most c others on either side, so the
+    overlap that a link needs can't exceed c; a pair that links passes at that shingle.
+    """
     return F.expr(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) AND (4 * ({na} + {nb}) + 8) div 9 <= least({ca}, {cb})")
 
 
@@ -213,9 +190,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(sets: DataFrame) -> DataFrame:
     """node, component over the links among the sets."""
-    shown = sets.select("doc", "n", F.size("tokens").alias("c"), F.explode(F.slice("tokens", F.lit(1), F.col("m"))).alias("token"))
+    shown = sets.select("doc", "n", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", F.lit(1), F.col("m"))).alias("at", "token"))
+    shown = shown.select("doc", "n", "token", "shared", (F.col("shared") - F.col("at")).alias("c"))
     by_token = Window.partitionBy("token")
-    ranked = by_token.orderBy(F.col("n") - F.col("c"), "n", "doc")
+    ranked = by_token.orderBy(F.col("n") - F.col("shared"), "n", "doc")
     me = F.struct("doc", "n", "c")
     buckets = written(
         shown.withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1")
@@ -258,3 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("component", "class_id", "doc_id").alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
     ).distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their component: those with its least id.
+
+    Rows with a null id, and texts without words, stand for themselves.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    return drop_ids(docs, gone, id_col)

@@ -51,20 +51,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data and their start bytes."""
+def piece_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of data, and where they start and end."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.diff(_IS_WORD[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((_LOWER if lower else _KEEP)[raw] * _powers_of(_R, len(raw), "up")[: len(raw)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers_of(_R_INVERSE, len(raw), "down")[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts
+    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
+def pieces(data: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(data):
         end = min(len(data), at + PIECE)
@@ -84,7 +84,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> Iterator[np.nd
     held = 0
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, starts = _piece_hashes(b"\n".join(lot), lower)
+        hashes, starts, _ = piece_hashes(b"\n".join(lot), lower)
         ends = np.cumsum([len(t) + 1 for t in lot])
         cuts = np.searchsorted(starts, ends)
         low = 0
@@ -98,7 +98,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> Iterator[np.nd
             yield from flush()
             lot, held = [], 0
         if len(text) > PIECE:
-            yield np.concatenate([_piece_hashes(p, lower)[0] for p in _pieces(text)])
+            yield np.concatenate([piece_hashes(p, lower)[0] for p in pieces(text)])
         else:
             lot.append(text)
             held += len(text) + 1

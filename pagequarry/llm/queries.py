@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat_format, html_main, jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, shard
 from .common import table
+from .sql import SQL
 
 #: The vocabulary that packing counts by; a path, so any other file of the tokenizers library will do.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -83,4 +84,5 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
 }
-SQL: dict = {}
+
+__all__ = ["QUERIES", "SQL", "TOKENIZER"]

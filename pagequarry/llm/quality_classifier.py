@@ -6,11 +6,13 @@ its n-grams of log target - log raw.  Adding Gumbel noise and keeping the k larg
 texts without replacement in proportion to their weights.
 
 Counting is one scan that adds up at most ``BUCKETS`` rows; weighing is a second one.  Only the
-two tables of bucket counts reach the driver.  The k-th largest score is found by
+two tables of bucket counts reach the driver.  So that length itself neither helps nor hurts, the
+weight is the mean over a text's n-grams and ``PRIOR`` more of even odds, scaled to a text of ``SCALE`` n-grams.  The k-th largest score is found by
 a few grouped counts over (id, score); nothing is sorted as a whole.
 
-k: given, or the number of texts whose weight per n-gram reaches a floor, calibrated on
-the labels so that (nearly) all good ones do.
+k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on good
+texts that the target was not fitted on (half of the labelled ones): it lies below the lowest
+of them by half their spread, as there are more good texts than labelled ones.
 
 Defined results: null and empty texts have no n-grams and weight 0; the noise is a function
 of seed and id, so repeated rows get one verdict; texts that tie with the k-th are all
@@ -27,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import written
+from .idfilter import drop_ids
 from .wordhash import mix, word_hashes
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 #: Labelled texts that the target model and the floor are fitted on, at most: those whose id hashes lowest.
 LABELLED = 100_000
 #: Counts added to each bucket of both models.
 SMOOTHING = 1.0
+#: N-grams of even odds that temper the mean of short texts, and n-grams that a score stands for.
+PRIOR, SCALE = 100, 1000
 LOT = 1024
 
 
@@ -104,13 +109,20 @@ def labelled_ids(labels: DataFrame, at_most: int = LABELLED) -> np.ndarray:
     return np.sort(np.array([r["doc_id"] for r in rows.collect()], dtype=np.int64))
 
 
+def halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids to fit on and those held out, by a hash."""
+    odd = (mix(ids.view(np.uint64)) & np.uint64(1)).astype(bool)
+    return ids[~odd], ids[odd]
+
+
 def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_grams, log_weight, score (with noise) of every text; and the ids of the target."""
+    """doc_id, n_grams, log_weight, mean_weight, score (with noise) of every text; and the good ids held out."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    good = labelled_ids(labels)
-    rows = texts.mapInArrow(_weigh(fit(texts, good)), "doc_id long, n_grams long, log_weight double")
+    fitted, held_out = halves(labelled_ids(labels))
+    rows = texts.mapInArrow(_weigh(fit(texts, fitted)), "doc_id long, n_grams long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return written(rows.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform))), "weights"), good
+    rows = rows.withColumn("mean_weight", F.col("log_weight") / (F.col("n_grams") + PRIOR))
+    return written(rows.withColumn("score", SCALE * F.col("mean_weight") - F.log(-F.log(uniform))), "weights"), held_out
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
@@ -136,17 +148,15 @@ def kth_largest(scores: DataFrame, k: int) -> float:
     return high
 
 
-def calibrated_k(weights: DataFrame, good_ids: np.ndarray, least_share: float = 1.0, slack: float = 0.05) -> int:
-    """Number of texts whose weight per n-gram is no lower than (the least_share of) the good ones', less a slack.
+def calibrated_k(weights: DataFrame, held_out: np.ndarray, slack: float = 0.5) -> int:
+    """Number of texts whose mean weight reaches the floor of the good ones held out.
 
-    The floor is fitted on the bounded target sample; the count covers all texts.
+    The floor is fitted on that bounded sample; the count covers all texts.
     """
-    per_gram = F.col("log_weight") / F.greatest(F.col("n_grams"), F.lit(1))
-    good = weights.mapInArrow(_only(good_ids), weights.schema)
-    floor = good.agg(F.percentile(per_gram, F.lit(1.0 - least_share))).first()[0]
-    if floor is None:
+    low, middle = weights.mapInArrow(_only(held_out), weights.schema).agg(F.min("mean_weight"), F.percentile("mean_weight", F.lit(0.5))).first()
+    if low is None:
         return weights.count()
-    return weights.filter(per_gram >= floor - slack).count()
+    return weights.filter(F.col("mean_weight") >= low - slack * (middle - low)).count()
 
 
 def _only(chosen: np.ndarray):
@@ -165,15 +175,18 @@ def select(weights: DataFrame, k: int) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight, score of the texts drawn."""
-    weights, good = weigh(docs, labels, id_col=id_col, text_col=text_col)
+    """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn."""
+    weights, held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
     if weights.isEmpty():
         return weights
-    return select(weights, calibrated_k(weights, good) if k is None else k)
+    return select(weights, calibrated_k(weights, held_out) if k is None else k)
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are drawn, with the columns of docs."""
-    (name,) = fresh(docs, "drawn_id")
-    chosen = resample(docs, labels, k, id_col, text_col).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen[name]), "left_semi")
+    weights, held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
+    if weights.isEmpty():
+        return docs
+    chosen = select(weights, calibrated_k(weights, held_out) if k is None else k)
+    gone = weights.select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_anti").distinct()
+    return drop_ids(docs, written(gone, "not-drawn"), id_col)

@@ -9,7 +9,9 @@ on the distance exceeds the k-th smallest upper bound are left out; all others a
 exactly, in double precision, with the original components.
 
 Every vector is indexed; only rotation and centroids are fitted, on a bounded sample.  A query
-looks into the lists of its nearest centroids (``probes`` of them).  Lists are cut into
+looks into the lists of its nearest centroids.  How many it must look into is measured: for a bounded sample of the
+queries the true neighbours are found by an exact scan of all rows, and the fewest lists that hold the wanted share
+of them are probed (all lists, where the data have no clusters).  Lists are cut into
 sub-lists and queries into blocks of bounded numbers, and a task joins one sub-list with one block
 of queries; so a list with a third of all vectors is many tasks.
 
@@ -37,6 +39,8 @@ SAMPLE = 50_000
 LIST_ROWS, MAX_LISTS = 2_000, 4_096
 #: Vectors in a sub-list and queries in a block, about.
 SUB_ROWS, BLOCK_QUERIES = 8_000, 512
+#: Queries that the number of probed lists is measured on, at most, and the recall they must reach.
+MEASURED, RECALL = 128, 0.98
 #: Width of the error bound in standard deviations.
 EPSILON = 3.0
 
@@ -122,6 +126,37 @@ def _probe(centres: np.ndarray, probes: int):
     return run
 
 
+def _nearest_of_sample(points: np.ndarray, ids: np.ndarray, k: int):
+    d = points.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, own, lists = _matrix(batch.column(1), d), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            away = (vectors**2).sum(axis=1)[None, :] - 2 * points @ vectors.T
+            away[ids[:, None] == own[None, :]] = np.inf
+            best = np.argsort(away, axis=1, kind="stable")[:, :k]
+            q = np.repeat(np.arange(len(points), dtype=np.int32), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(away[q, best.ravel()]), pa.array(lists[best.ravel()])], names=["q", "away", "list"])
+
+    return run
+
+
+def measured_probes(index: DataFrame, asked: DataFrame, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """The fewest lists that hold this share of the true neighbours of a sample of the queries."""
+    sample = asked.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(MEASURED).collect()
+    if not sample:
+        return 1
+    points, ids = np.array([r["vector"] for r in sample], dtype=np.float64), np.array([r["vec_id"] for r in sample])
+    near = index.select("vec_id", "vector", "list").mapInArrow(_nearest_of_sample(points, ids, k), "q int, away double, list int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("away"))
+    true = near.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("away") < F.lit(float("inf")))).collect()
+    place = np.argsort(nearest_lists(points, centres, len(centres)), axis=1)
+    needed = np.sort([place[r["q"], r["list"]] + 1 for r in true])
+    return int(needed[math.ceil(recall * len(needed)) - 1]) if len(needed) else 1
+
+
 def estimates(codes: np.ndarray, norms: np.ndarray, own: np.ndarray, queries: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds on squared distances; queries: rotated residuals.
 
@@ -168,6 +203,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pr
     """query_id, rank (from 1), vec_id, score: the k nearest vectors found for each query.
 
     queries: rows of the same columns; None takes the vectors whose id is divisible by 100.
+    probes: lists that each query looks into; None measures how many are needed.
     """
     rows, d = usable(vectors, id_col, vector_col)
     asked = rows.filter(F.col("vec_id") % 100 == 0) if queries is None else usable(queries, id_col, vector_col)[0].filter(F.size("vector") == d)
@@ -178,9 +214,9 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pr
     n_lists = min(MAX_LISTS, max(1, round(n / LIST_ROWS)))
     rotation, centres = fit(rows, d, n_lists)
     n_lists = len(centres)
-    probes = min(n_lists, probes or max(8, math.ceil(n_lists / 4)))
     kind = rows.schema["vector"].dataType.simpleString()
     index = written(rows.mapInArrow(_encode(rotation, centres), f"vec_id long, vector {kind}, list int, code binary, norm double, own double"), "ann-index")
+    probes = min(n_lists, probes or measured_probes(index, asked, centres, k))
     routed = written(asked.mapInArrow(_probe(centres, probes), f"query_id long, query {kind}, list int"), "ann-queries")
 
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUB_ROWS).alias("subs"))

@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = written(nodes(docs), "nodes")
     classes = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    members = written(every.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).alias("class_id")), "members")
+    members = written(every.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
     near = first_order(docs)
     chosen = members.join(near.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.col("class_id").alias("doc")).distinct()
     chosen = written(chosen, "chosen")

@@ -7,18 +7,11 @@ shared folder, so lineage doesn't grow with depth.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from .shared import cut
 
 
 def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_pages: int | None = None) -> DataFrame:
@@ -32,14 +25,14 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_pages: int
         edges = edges.withColumn("link_seq", F.lit(0))
     edges = edges.select("src", "dst", "link_seq")
     kind = seeds.schema["node"].dataType
-    frontier = _cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("link_seq")))
+    frontier = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("link_seq")))
     visited, n = frontier, frontier.count()
     for depth in range(1, max_depth + 1):
         if max_pages is not None and n >= max_pages:
             break
         found = frontier.join(edges.withColumnRenamed("link_seq", "seq"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.col("src").alias("parent"), F.col("seq").alias("link_seq"))
         first = found.groupBy("node").agg(F.min(F.struct("parent", "link_seq")).alias("f")).select("node", F.lit(depth).alias("depth"), "f.parent", "f.link_seq")
-        frontier = _cut(first.join(visited.select("node"), "node", "left_anti"))
+        frontier = cut(first.join(visited.select("node"), "node", "left_anti"))
         new = frontier.count()
         if not new:
             break

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 from pagequarry.functions import rules, text, urls
 
+from .shared import cut
+
 VERDICT = "is_relevant boolean, relevance_score double, reason string, method string"
 #: A model takes a frame of (url, page_url, page_title, link_text, sample) and returns is_relevant, relevance_score, reason.
 Model = Callable[[pd.DataFrame], pd.DataFrame]
@@ -67,7 +69,7 @@ def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """row_ix from 0 in the order of a column: counts by range, then ranks within each."""
-    spread = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    spread = cut(rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))  # ranges are sampled, so once
     counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

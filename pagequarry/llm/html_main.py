@@ -52,13 +52,15 @@ NEVER_TAGS = frozenset(
 )
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status note".split())
 #: Never part of an article, by a word of class or id.
-READERS = frozenset("comment comments commentlist commentary disqus replies reply respond discussion responses usercomments".split())
+READERS = frozenset("comment comments commentlist disqus replies reply respond usercomments".split())
 NEVER_WORDS = READERS | frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion promoted"
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adunit adsbygoogle disclaimer banner banners sponsor sponsored sponsors promo promos promotion promoted"
     " sidebar sidebars rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs pagination pager footer footers header masthead topbar toolbar"
     " cookie cookies consent gdpr notice notices notification notifications alert popup popover modal overlay lightbox newsletter subscribe subscription signup"
     " signin login register paywall related recommended recommendations share sharing social follow widget widgets search skip hidden outbrain taboola".split()
 )
+#: Elements whose id names a part of the page; elsewhere an id is an anchor in the text.
+PARTS = frozenset("div section ul ol dl table center fieldset span".split())
 GOOD_WORDS = frozenset("article body content entry main page post text story blog hentry".split())
 ARTICLES = frozenset({"article", "main"})
 PARAGRAPHS = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6 div section article main figcaption body".split())
@@ -141,8 +143,9 @@ def raw_text(top: Node) -> str:
 
 
 def words_of(node: Node) -> set[str]:
-    """The words of class and id: split at punctuation and inner capitals."""
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
+    """The words of class and, where it names a part, id: split at punctuation and inner capitals."""
+    own = node.attrs.get("id", "") if node.tag in PARTS or node.tag in ARTICLES else ""
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{node.attrs.get('class', '')} {own}")
     return set(re.split(r"[^a-z]+", names.lower()))
 
 

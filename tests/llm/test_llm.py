@@ -393,6 +393,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         (PAGE % "<div id='wrap'><div class='post-body'><p>A long paragraph, with commas, and words.</p><p>Another one, also long, also with commas.</p></div></div>", "A long paragraph, with commas, and words.\n\nAnother one, also long, also with commas."),
         (None, ""), ("", ""), ("   ", ""), ("<p>lonely", "lonely"), ("just text", "just text"), ("<script>only", ""),
         ("<article><p>a<!-- no --><p>b<table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc\n\nd"),
+        ("<article><h2 id=comments>On comments</h2><p>a</p><div id=comments><p>b</p></div></article>", "On comments\n\na"),
+        ("<body class=has-sidebar><div class='content no-sidebar'><p>The text, of the page, is here.</p></div><div class=sidebar><p>x</p></div></body>", "The text, of the page, is here."),
         ("<article><p hidden>x</p><p style='display: none'>y</p><p>z</p><p class=comment>q</p></article>", "z"),
     ],
 )

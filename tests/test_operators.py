@@ -192,3 +192,17 @@ def test_pages_with_nulls_are_rows(spark):
     table = spark.createDataFrame([(1, None, None), (None, "https://x.org/a", "<article><h1>t</h1></article>")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["success"], r["title"]) for r in pages.extract(table).collect()}
     assert got == {1: (False, ""), None: (True, "t")}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from pagequarry import cli
+
+    monkeypatch.setenv("PAGEQUARRY_LOG_PATH", str(tmp_path / "log"))
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    code = cli.main(["https://example.com/docs/", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "out"), "--max-depth", "1", "--format", "json"])
+    assert code == 0 and json.loads(capsys.readouterr().out)["url_count"] == 3
+    assert (tmp_path / "out" / "Example.json").exists()
+    assert cli.main(["nope"]) == 2
+    (name,) = os.listdir(tmp_path / "log")
+    lines = [json.loads(x) for x in (tmp_path / "log" / name).read_text().splitlines()]
+    assert [x["level"] for x in lines] == ["INFO", "ERROR"] and lines[0]["context"]["status"] == "completed"

@@ -101,7 +101,7 @@ class Pipeline:
     def extract(self, url: str, mode: str, max_depth: int, use_ai: bool) -> DataFrame:
         """seq, url, title, content, depth, metadata, elements of the pages reached from url."""
         pages.select_strategy(mode)
-        found = pages.extract(self.table, mode)
+        found = pages.extract(self.table, mode, with_links=False)
         links = pages.page_links(self.table, mode)
         if use_ai:
             links = relevance.relevant(links, self.settings.relevance_threshold, self.settings.link_model)

@@ -35,22 +35,26 @@ def select_strategy(mode: str) -> tuple[ContentStrategy, LinkStrategy]:
     return STRATEGIES[mode]
 
 
-def extract_page(html: str | None, url: str, strategy: tuple[ContentStrategy, LinkStrategy]) -> dict:
+def extract_page(html: str | None, url: str, strategy: tuple[ContentStrategy, LinkStrategy], with_content: bool = True, with_links: bool = True) -> dict:
     of_content, of_links = strategy
-    if not html:
-        return of_content(None, url) | {"links": []}
+    out: dict = {}
     try:
-        tree = dom.parse(html)
-        found = of_links(tree, url)  # before the content strategy cleans the tree
-        return of_content(tree, url) | {"links": found}
+        tree = dom.parse(html) if html else None
+        if with_links:
+            out["links"] = [] if tree is None else of_links(tree, url)  # before the content strategy cleans the tree
+        if with_content:
+            out |= of_content(tree, url)
     except (ValueError, RecursionError, AssertionError) as error:
-        return content.failed(f"{type(error).__name__}: {error}") | {"links": []}
+        out |= {"links": []} | (content.failed(f"{type(error).__name__}: {error}") if with_content else {})
+    return out
 
 
-def extract(pages: DataFrame, mode: str = "generic", batch_rows: int = 256) -> DataFrame:
-    """page_id, url, title, content, metadata, elements, api_sections, success, extraction_method, error, links."""
+def extract(pages: DataFrame, mode: str = "generic", with_content: bool = True, with_links: bool = True, batch_rows: int = 256) -> DataFrame:
+    """page_id, url and, as asked for, title, content, metadata, elements, api_sections, success,
+    extraction_method, error; and links.  What isn't asked for is neither made nor sent.
+    """
     strategy = select_strategy(mode)
-    ddl = schemas.PAGE_RESULT
+    ddl = schemas.page_result(with_content, with_links)
     arrow = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +62,9 @@ def extract(pages: DataFrame, mode: str = "generic", batch_rows: int = 256) -> D
             for k in range(0, batch.num_rows, batch_rows):
                 rows = []
                 for row in batch.slice(k, batch_rows).to_pylist():
-                    found = extract_page(row["html"], row["url"] or "", strategy)
-                    found["metadata"] = list(found["metadata"].items())
+                    found = extract_page(row["html"], row["url"] or "", strategy, with_content, with_links)
+                    if with_content:
+                        found["metadata"] = list(found["metadata"].items())
                     rows.append(found | {"page_id": row["page_id"], "url": row["url"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -73,7 +78,7 @@ def candidates(extracted: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame, mode: str = "generic") -> DataFrame:
     """The links of each page as its strategy returns them."""
-    found = candidates(extract(pages, mode))
+    found = candidates(extract(pages, mode, with_content=False))
     if mode == "wiki":
         merged = links.merge_wiki(found.drop("page_url")).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
         return links.ordered_wiki(links.documentation_only(merged))

@@ -15,11 +15,11 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def _pages(spark, sf_dir, mode="generic"):
-    return page_pass.extract(read(spark, sf_dir, "pages"), mode)
+    return page_pass.extract(read(spark, sf_dir, "pages"), mode, with_links=False)
 
 
 def _rich(spark, sf_dir, mode="generic"):
-    return page_pass.extract(derived.rich_pages(read(spark, sf_dir, "documents")), mode)
+    return page_pass.extract(derived.rich_pages(read(spark, sf_dir, "documents")), mode, with_links=False)
 
 
 def _links(spark, sf_dir, mode="generic"):

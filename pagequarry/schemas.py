@@ -17,4 +17,8 @@ LINK = (
     "container_type:string,section_title:string,group_ix:int,seq:int"
 )
 LINKS = f"array<struct<{LINK}>>"
-PAGE_RESULT = f"page_id bigint, url string, {CONTENT}, links {LINKS}"
+
+
+def page_result(content: bool = True, links: bool = True) -> str:
+    """What the page pass returns, with the parts that are asked for."""
+    return "page_id bigint, url string" + (f", {CONTENT}" if content else "") + (f", links {LINKS}" if links else "")

@@ -17,8 +17,8 @@ have enough shared ones (the bound on the overlap).  Candidates must share a pre
 under this order, too.
 
 *Verification.*  A shingle that many sets show would give all pairs of them.  Instead the
-set with the fewest unshared shingles is its hub: pairs with the hub and with the neighbour
-in order are verified first, and linked sets contracted to components.  Then only pairs
+set with the fewest unshared shingles is its hub: pairs with it and with one more set, the same for
+all, are verified first, and linked sets contracted to components.  Then only pairs
 across components are left, and of them those whose overlap can still be large enough from
 the position of the common shingle on (a set that strays from its hub has its own shingles there);
 each is verified exactly.  So no link between
@@ -47,6 +47,8 @@ from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Texts hashed between two record batches.
 LOT = 1024
+#: Prefix shingles that a task looks through for shared ones before it gives them out.
+HELD = 400_000
 #: Sequences that a task remembers to show a repeated text once.
 SEEN = 500_000
 
@@ -89,10 +91,47 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 + n // 20
 
 
+class _Prefixes:
+    """Prefix shingles of some texts, in the form that is shuffled."""
+
+    def __init__(self):
+        self.tokens, self.docs, self.sizes, self.n = [], [], [], 0
+
+    def add(self, doc: int, shown: np.ndarray, size: int) -> None:
+        self.tokens.append(shown)
+        self.docs.append(doc)
+        self.sizes.append(size)
+        self.n += len(shown)
+
+    def rows(self) -> pa.RecordBatch:
+        """A row for each shingle that one text alone shows; for the others one row without a
+        text, and for their texts how many such shingles they have (``known``): these are shared already.
+        So a shingle that a third of all texts show is a few rows of a task."""
+        tokens, docs = np.concatenate(self.tokens), np.array(self.docs, dtype=np.int64)
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t in self.tokens])
+        distinct, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        twice = times[which] > 1
+        known = np.bincount(owner[twice], minlength=len(docs))
+        some = np.flatnonzero(known)
+        single = owner[~twice]
+        present = distinct[times > 1]
+        sizes = np.array(self.sizes, dtype=np.int32)
+        doc = pa.chunked_array([pa.array(docs[single]), pa.nulls(len(present), pa.int64()), pa.array(docs[some])]).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [
+                _as_long(np.concatenate([tokens[~twice], present, mix(docs[some].view(np.uint64))])),
+                doc,
+                pa.array(np.concatenate([sizes[single], np.zeros(len(present), np.int32), sizes[some]])),
+                pa.array(np.concatenate([np.zeros(len(single) + len(present), np.int32), known[some].astype(np.int32)])),
+            ],
+            names=["token", "doc", "n", "known"],
+        )
+
+
 def _hash_prefixes(batches):
     seen: set[tuple[int, int]] = set()
+    held = _Prefixes()
     for ids, hashes in _lots(batches):
-        tokens, docs, sizes = [], [], []
         for doc, words in zip(ids.to_pylist(), hashes, strict=True):
             if doc is None or not len(words):
                 continue
@@ -103,19 +142,20 @@ def _hash_prefixes(batches):
                 seen.clear()
             seen.add(key)
             shingles = np.unique(shingle_hashes(words))
-            shown = shingles[: prefix_length(len(shingles))]
-            tokens.append(shown)
-            docs.append(np.full(len(shown), doc, dtype=np.int64))
-            sizes.append(np.full(len(shown), len(shingles), dtype=np.int32))
-        if tokens:
-            yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(tokens)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], names=["token", "doc", "n"])
+            held.add(doc, shingles[: prefix_length(len(shingles))], len(shingles))
+            if held.n >= HELD:
+                yield held.rows()
+                held = _Prefixes()
+    if held.n:
+        yield held.rows()
 
 
 def first_order(docs: DataFrame) -> DataFrame:
     """doc: those that share enough of their prefix by hash."""
-    shown = docs.mapInArrow(_hash_prefixes, "token long, doc long, n int")
+    shown = docs.mapInArrow(_hash_prefixes, "token long, doc long, n int, known int")
     by_token = shown.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    shared = by_token.filter("df > 1").groupBy("doc").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    shared = by_token.filter("doc IS NOT NULL AND (df > 1 OR known > 0)")
+    shared = shared.groupBy("doc").agg(F.sum(F.greatest("known", F.lit(1))).alias("shared"), F.max("n").alias("n"))
     return shared.filter("shared >= 1 + ((4 * n + 4) div 5) div 20").select("doc")
 
 
@@ -136,7 +176,9 @@ def _all_shingles(field: np.ndarray):
 def second_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """doc, n, its shared shingles rarest first, and how many of them its prefix has."""
     shingles = docs.mapInArrow(_all_shingles(id_filter(chosen)), "token long, doc long, n int")
-    counted = shingles.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    # Counted apart and joined, not in a window: counts are added up before they are shuffled, and a join's hot key is split.
+    counts = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    counted = shingles.join(counts, "token")
     sets = counted.groupBy("doc").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     sets = sets.join(chosen, "doc", "left_semi")
     return (
@@ -192,24 +234,21 @@ def linked(sets: DataFrame) -> DataFrame:
     """node, component over the links among the sets."""
     shown = sets.select("doc", "n", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", F.lit(1), F.col("m"))).alias("at", "token"))
     shown = shown.select("doc", "n", "token", "shared", (F.col("shared") - F.col("at")).alias("c"))
-    by_token = Window.partitionBy("token")
-    ranked = by_token.orderBy(F.col("n") - F.col("shared"), "n", "doc")
-    me = F.struct("doc", "n", "c")
-    buckets = written(
-        shown.withColumn("df", F.count(F.lit(1)).over(by_token)).filter("df > 1")
-        .withColumn("hub", F.first(me).over(ranked))
-        .withColumn("before", F.lag(me).over(ranked)),
-        "buckets",
-    )
-    partners = buckets.select("doc", "n", "c", F.explode(F.array("hub", "before")).alias("o")).filter("o.doc != doc").filter(may_link("n", "c", "o.n", "o.c"))
+    least = F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "n", "doc", "c"))
+    some = F.min(F.struct(F.xxhash64("doc").alias("h"), "n", "doc", "c"))
+    hubs = shown.groupBy("token").agg(F.count(F.lit(1)).alias("df"), least.alias("hub"), some.alias("other")).filter("df > 1")
+    buckets = written(shown.join(hubs, "token"), "buckets")
+    ends = F.array(*[F.struct(*[F.col(f"{h}.{c}") for c in ("doc", "n", "c")]) for h in ("hub", "other")])
+    partners = buckets.select("doc", "n", "c", F.explode(ends).alias("o")).filter("o.doc != doc").filter(may_link("n", "c", "o.n", "o.c"))
     tried = written(partners.select(F.least("doc", "o.doc").alias("a"), F.greatest("doc", "o.doc").alias("b")).distinct(), "pairs")
     links = written(verified(tried, sets), "links")
     labels = components(links)
     # What is left: pairs across components that share a shown shingle.
     marked = buckets.select("token", "doc", "n", "c").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left")
     marked = marked.withColumn("component", F.coalesce("component", "doc"))
-    mixed = marked.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token)).filter("low < high")
-    mixed = written(mixed.select("token", "doc", "n", "c", "component"), "mixed")
+    marked = written(marked.select("token", "doc", "n", "c", "component"), "marked")
+    open_tokens = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    mixed = written(marked.join(open_tokens, "token"), "mixed")
     one = mixed.toDF("token", "a", "na", "ca", "pa")
     two = mixed.toDF("token", "b", "nb", "cb", "pb")
     rest = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb"))).filter(may_link("na", "ca", "nb", "cb"))

@@ -32,8 +32,8 @@ from .wordhash import PIECE, piece_hashes, pieces
 
 #: Pieces that one task packs together, about.
 SLICE_PIECES = 50_000
-#: Parts of words that a Python worker remembers, and thrice as many words.
-REMEMBER = 700_000
+#: Parts of words, and words, that a Python worker remembers.
+PARTS, WORDS = 150_000, 2_000_000
 #: Rows between two record batches.
 LOT = 1024
 
@@ -82,7 +82,7 @@ class WordTokens:
         got = self._of_parts(sorted(missing))
         known = self.parts
         out = [self._whole(w) if some is None else b"".join([known.get(p) or got[p] for p in some]) for w, some in zip(words, made, strict=True)]
-        if len(known) + len(got) <= REMEMBER:
+        if len(known) + len(got) <= PARTS:
             known.update(got)
         return out
 
@@ -101,7 +101,7 @@ class WordTokens:
             n[new] = np.array([len(g) for g in got], dtype=np.int64) // 4
             at[new] = len(ids) + np.cumsum(n[new]) - n[new]
             ids = np.concatenate([ids, np.frombuffer(b"".join(got), dtype=np.uint32)])
-            if len(self.hashes) + len(new) <= 3 * REMEMBER:
+            if len(self.hashes) + len(new) <= WORDS:
                 self.ids = ids
                 self.at, self.n = np.insert(self.at, k[new], at[new]), np.insert(self.n, k[new], n[new])
                 self.hashes = np.insert(self.hashes, k[new], distinct[new])

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import WS_CHARS, fresh, written
 
 #: Rows of a block, about.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 #: Sources at most; more are refused.
 MAX_SOURCES = 100_000
 #: Halvings of the exponent's range.

@@ -48,19 +48,24 @@ def may_hold(field: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return hit[: len(ids)] & hit[len(ids) :]
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not in the only column of gone; rows with null ids stay.
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose id is not in the only column of ids (rows with null ids among them), and those whose id is.
 
     Only rows that the filter suspects are joined.
     """
-    (name,) = fresh(docs, "gone_id")
-    gone = gone.toDF(name).filter(F.col(name).isNotNull())
-    field = id_filter(gone)
+    (name,) = fresh(docs, "listed_id")
+    ids = ids.toDF(name).filter(F.col(name).isNotNull())
+    field = id_filter(ids)
 
     @F.pandas_udf("boolean")
-    def suspected(ids: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(field, ids.to_numpy(dtype=np.int64)))
+    def suspected(values: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(field, values.to_numpy(dtype=np.int64)))
 
     flag = suspected(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
-    joined = docs.filter(flag).join(gone, F.col(id_col) == F.col(name), "left_anti")
-    return docs.filter(~flag).unionByName(joined)
+    suspects, same = docs.filter(flag), F.col(id_col) == F.col(name)
+    return docs.filter(~flag).unionByName(suspects.join(ids, same, "left_anti")), suspects.join(ids, same, "left_semi")
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in the only column of gone; rows with null ids stay."""
+    return split_by_ids(docs, gone, id_col)[0]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .idfilter import drop_ids, id_filter, may_hold
+from .idfilter import drop_ids, id_filter, may_hold, split_by_ids
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Texts hashed between two record batches.
@@ -278,10 +278,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their component: those with its least id.
+    """A row of docs for each component: the one with its least id, once if it is repeated.
 
     Rows with a null id, and texts without words, stand for themselves.
     """
     found = near_duplicates(docs, id_col, text_col)
     gone = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return drop_ids(docs, gone, id_col)
+    kept = drop_ids(docs, gone, id_col)
+    repeated = written(kept.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    single, several = split_by_ids(kept, repeated, id_col)
+    return single.unionByName(several.dropDuplicates([id_col]))

@@ -12,7 +12,8 @@ a few grouped counts over (id, score); nothing is sorted as a whole.
 
 k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on good
 texts that the target was not fitted on (half of the labelled ones): it lies below the lowest
-of them by half their spread, as there are more good texts than labelled ones.
+of them by a share of their spread, as there are more good texts than labelled ones; the fewer
+those are, the larger the share.
 
 Defined results: null and empty texts have no n-grams and weight 0; the noise is a function
 of seed and id, so repeated rows get one verdict; texts that tie with the k-th are all
@@ -148,15 +149,16 @@ def kth_largest(scores: DataFrame, k: int) -> float:
     return high
 
 
-def calibrated_k(weights: DataFrame, held_out: np.ndarray, slack: float = 0.5) -> int:
+def calibrated_k(weights: DataFrame, held_out: np.ndarray, slack: float = 0.5, few: float = 5.0) -> int:
     """Number of texts whose mean weight reaches the floor of the good ones held out.
 
     The floor is fitted on that bounded sample; the count covers all texts.
     """
-    low, middle = weights.mapInArrow(_only(held_out), weights.schema).agg(F.min("mean_weight"), F.percentile("mean_weight", F.lit(0.5))).first()
-    if low is None:
+    good = weights.mapInArrow(_only(held_out), weights.schema)
+    low, middle, n = good.agg(F.min("mean_weight"), F.percentile("mean_weight", F.lit(0.5)), F.count(F.lit(1))).first()
+    if not n:
         return weights.count()
-    return weights.filter(F.col("mean_weight") >= low - slack * (middle - low)).count()
+    return weights.filter(F.col("mean_weight") >= low - (slack + few / n**0.5) * (middle - low)).count()
 
 
 def _only(chosen: np.ndarray):

@@ -25,10 +25,7 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the least id.
-
-    Documents of no component (null ids) stay, and so do rows that repeat a kept id only once.
-    """
+    """One document of each component stays, the one with the least id; documents with null ids stay."""
     return jaccard_join.one_of_each(docs)
 
 

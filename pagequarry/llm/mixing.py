@@ -131,7 +131,7 @@ def mix(
     stream), mix_key, weight, epochs and exponent.
     """
     carried = list(docs.columns) if carry is None else list(carry)
-    n = dict(zip(ADDED, fresh(docs, *ADDED), strict=True))
+    n = dict(zip((*ADDED, *INNER), fresh(docs, *ADDED, *INNER), strict=True))
     rows = docs.withColumn(n["mix_source"], F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn(n["n_tokens"], n_tokens(text_col))
     rows = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, id_col])], n["mix_source"], n["n_tokens"])
     totals = rows.groupBy(F.col(n["mix_source"]).alias("source")).agg(F.sum(n["n_tokens"]).alias("tokens"), F.count(F.lit(1)).alias("rows"))
@@ -141,32 +141,32 @@ def mix(
     weighted = totals.select("source", "rows").join(source_weights(totals, entropy_share, max_epochs, budget), "source", "left")
     weighted = weighted.select(  # a source without tokens is read once
         F.col("source").alias(n["mix_source"]),
-        F.coalesce("tokens", F.lit(0)).alias("T"),
-        F.ceil(F.col("rows") / block_rows).alias("n_blocks"),
+        F.coalesce("tokens", F.lit(0)).alias(n["mix_total"]),
+        F.ceil(F.col("rows") / block_rows).alias(n["mix_blocks"]),
         F.coalesce("weight", F.lit(0.0)).alias(n["weight"]),
         F.coalesce("epochs", F.lit(1.0)).alias(n["epochs"]),
         F.coalesce("exponent", F.lit(1.0)).alias(n["exponent"]),
     )
     weighted = F.broadcast(written(weighted, "mix-weights"))  # MAX_SOURCES rows at most
     key = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 12).cast("double") / F.lit(float(1 << 52))
-    placed = rows.join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col("n_blocks")), F.col("n_blocks") - 1))
+    placed = rows.join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col(n["mix_blocks"])), F.col(n["mix_blocks"]) - 1))
 
     # Blocks in the order of each epoch, with the tokens before them.
-    blocks = rows.select(n["mix_source"], id_col, n["n_tokens"]).join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col("n_blocks")), F.col("n_blocks") - 1))
-    blocks = blocks.groupBy(n["mix_source"], n["block"]).agg(F.sum(n["n_tokens"]).alias("block_tokens"), F.first("T").alias("T"), F.first(n["epochs"]).alias("e"))
+    blocks = rows.select(n["mix_source"], id_col, n["n_tokens"]).join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col(n["mix_blocks"])), F.col(n["mix_blocks"]) - 1))
+    blocks = blocks.groupBy(n["mix_source"], n["block"]).agg(F.sum(n["n_tokens"]).alias("block_tokens"), F.first(n["mix_total"]).alias("T"), F.first(n["epochs"]).alias("e"))
     blocks = blocks.withColumn(n["epoch"], F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("e"), F.lit(1)).cast("int") - 1)))
     turn = F.xxhash64(n["mix_source"], n["block"], n["epoch"], F.lit(seed + 1))
     before = Window.partitionBy(n["mix_source"], n["epoch"]).orderBy(turn, n["block"]).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("block_start", F.coalesce(F.sum("block_tokens").over(before), F.lit(0)))
     # The part of the last epoch that the budget leaves.
     blocks = blocks.withColumn("quota", F.when(F.col(n["epoch"]) + 1 <= F.col("e"), F.lit(None)).otherwise((F.col("e") - F.col(n["epoch"])) * F.col("T")))
-    blocks = written(blocks.filter("quota IS NULL OR block_start < quota").select(n["mix_source"], n["block"], n["epoch"], "block_start", "quota"), "mix-blocks")
+    blocks = written(blocks.filter("quota IS NULL OR block_start < quota").select(n["mix_source"], n["block"], n["epoch"], F.col("block_start").alias(n["mix_block_start"]), F.col("quota").alias(n["mix_quota"])), "mix-blocks")
 
     spread = placed.join(blocks, [n["mix_source"], n["block"]])
     own = Window.partitionBy(n["mix_source"], n["block"], n["epoch"]).orderBy(F.xxhash64(id_col, n["epoch"], F.lit(seed + 2)), id_col).rowsBetween(Window.unboundedPreceding, -1)
-    spread = spread.withColumn("within", F.col("block_start") + F.coalesce(F.sum(n["n_tokens"]).over(own), F.lit(0)))
-    spread = spread.filter("quota IS NULL OR within < quota")
-    start = F.col(n["epoch"]) * F.col("T") + F.col("within")
+    spread = spread.withColumn(n["mix_within"], F.col(n["mix_block_start"]) + F.coalesce(F.sum(n["n_tokens"]).over(own), F.lit(0)))
+    spread = spread.filter(F.col(n["mix_quota"]).isNull() | (F.col(n["mix_within"]) < F.col(n["mix_quota"])))
+    start = F.col(n["epoch"]) * F.col(n["mix_total"]) + F.col(n["mix_within"])
     return spread.select(
         *[F.col(f"`{c}`") for c in carried],
         n["mix_source"],
@@ -174,11 +174,12 @@ def mix(
         n["epoch"],
         n["block"],
         start.cast("long").alias(n["mix_start"]),
-        F.least(F.coalesce(F.try_divide(start, F.col(n["epochs"]) * F.col("T")), F.lit(0.0)), F.lit(1.0)).alias(n["mix_key"]),
+        F.least(F.coalesce(F.try_divide(start, F.col(n["epochs"]) * F.col(n["mix_total"])), F.lit(0.0)), F.lit(1.0)).alias(n["mix_key"]),
         n["weight"],
         n["epochs"],
         n["exponent"],
     )
 
 
+INNER = ("mix_total", "mix_blocks", "mix_block_start", "mix_quota", "mix_within")
 ADDED = ("mix_source", "n_tokens", "epoch", "block", "mix_start", "mix_key", "weight", "epochs", "exponent")

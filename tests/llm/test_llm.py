@@ -25,7 +25,7 @@ def documents(spark, texts, **more):
     """Rows with ids from 0; columns that clash with the operators' own come along."""
     rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
-    for c in ("n_words", "kept", "size", "token", "component_id", "block", "epoch", "words"):
+    for c in ("n_words", "kept", "size", "token", "component_id", "block", "epoch", "words", "T", "quota", "within", "tokens", "id", "n_blocks", "mix_total"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -458,7 +458,7 @@ def test_mixing(spark):
             rows.append((i, prose(rng, rng.randrange(0, 40)), "en", s, 0))
             i += 1
     rows += [(i, None, "en", "empty", 0), (0, rows[0][1], "en", "big", 0)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("epoch", F.lit("x"))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("epoch", "T", "quota", "mix_total", "tokens", "rows")})
     mixed = rows_of(mixing.mix(docs, max_epochs=3.0, block_rows=32))
     tokens = collections.Counter()
     for r in rows:

@@ -180,6 +180,14 @@ class _Builder(HTMLParser):
     def handle_pi(self, data):
         self.at.children.append(Instruction(data))
 
+    def parse_marked_section(self, i, report=1):
+        """Any <![...> is a declaration, up to the next ">"."""
+        end = self.rawdata.find(">", i + 3)
+        if end < 0:
+            return -1
+        self.handle_decl(self.rawdata[i + 2 : end])
+        return end + 1
+
 
 def parse(html: str) -> Element:
     builder = _Builder()

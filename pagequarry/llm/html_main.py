@@ -114,6 +114,11 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A bogus comment, up to the next ">"."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
 
 def parse(html: str) -> Node:
     tree = Tree()
@@ -131,17 +136,6 @@ def nodes(top: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
 
 
-def raw_text(top: Node) -> str:
-    out, stack = [], [top]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, str):
-            out.append(node)
-        else:
-            stack.extend(reversed(node.children))
-    return "".join(out)
-
-
 def words_of(node: Node) -> set[str]:
     """The words of class and, where it names a part, id: split at punctuation and inner capitals."""
     own = node.attrs.get("id", "") if node.tag in PARTS or node.tag in ARTICLES else ""
@@ -154,10 +148,29 @@ def is_hidden(node: Node) -> bool:
     return "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
+def _shares(root: Node) -> dict[int, tuple[int, bool, bool]]:
+    """By node: length of its text, whether an article or main and whether a p is below or with it."""
+    out: dict[int, tuple[int, bool, bool]] = {}
+    for node in reversed(list(nodes(root))):
+        if node.tag in NEVER_TAGS:
+            out[id(node)] = (0, False, False)
+            continue
+        text, article, p = 0, node.tag in ARTICLES, node.tag == "p"
+        for child in node.children:
+            if isinstance(child, str):
+                text += len(child)
+            else:
+                t, a, q = out[id(child)]
+                text, article, p = text + t, article or a, p or q
+        out[id(node)] = (text, article, p)
+    return out
+
+
 def strip(root: Node) -> None:
     """Take out what is never part of an article."""
+    shares = _shares(root)
+    total = shares[id(root)][0]
     stack = [root]
-    total = None
     while stack:
         node = stack.pop()
         kept = []
@@ -172,10 +185,9 @@ def strip(root: Node) -> None:
                 if bad & READERS:
                     continue
                 # A wrapper of the whole page may be named after one of its parts.
-                if tag not in ARTICLES and not any(n.tag in ARTICLES for n in nodes(child)):
-                    total = len(raw_text(root)) if total is None else total
-                    if tag not in ("div", "section") or 2 * len(raw_text(child)) < total or not any(n.tag == "p" for n in nodes(child)):
-                        continue
+                text, article, p = shares[id(child)]
+                if not article and (tag not in ("div", "section") or 2 * text < total or not p):
+                    continue
             kept.append(child)
             stack.append(child)
         node.children = kept

@@ -402,6 +402,12 @@ def test_main_text(html, expected):
     assert html_main.main_text(html) == expected
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "!", "[", "p", "div", "/", '"', "'", "=", "&", "#x", "-", "--", "a ", "]", "?", "script", "article", "class=ad "]), max_size=30))
+def test_any_markup_gives_a_text(pieces):
+    assert isinstance(html_main.main_text("".join(pieces)), str)
+
+
 def test_main_text_of_deep_and_long_pages(spark):
     deep = "<div>" * 3000 + "<p>deep, text</p>"
     long = "<article>" + "<p>word word, word</p>" * 5000 + "</article>"

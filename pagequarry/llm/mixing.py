@@ -134,7 +134,11 @@ def mix(
     n = dict(zip((*ADDED, *INNER), fresh(docs, *ADDED, *INNER), strict=True))
     rows = docs.withColumn(n["mix_source"], F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn(n["n_tokens"], n_tokens(text_col))
     rows = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, id_col])], n["mix_source"], n["n_tokens"])
-    totals = rows.groupBy(F.col(n["mix_source"]).alias("source")).agg(F.sum(n["n_tokens"]).alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    # Texts are read for their tokens once here, and once more only if they are carried along.
+    slim = written(rows.select(id_col, *[c for c in carried if c != text_col and c != id_col and carry is not None], n["mix_source"], n["n_tokens"]), "mix-rows")
+    if set(carried) <= set(slim.columns):
+        rows = slim
+    totals = slim.groupBy(F.col(n["mix_source"]).alias("source")).agg(F.sum(n["n_tokens"]).alias("tokens"), F.count(F.lit(1)).alias("rows"))
     totals = written(totals, "mix-sources")
     if totals.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -152,7 +156,7 @@ def mix(
     placed = rows.join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col(n["mix_blocks"])), F.col(n["mix_blocks"]) - 1))
 
     # Blocks in the order of each epoch, with the tokens before them.
-    blocks = rows.select(n["mix_source"], id_col, n["n_tokens"]).join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col(n["mix_blocks"])), F.col(n["mix_blocks"]) - 1))
+    blocks = slim.select(n["mix_source"], id_col, n["n_tokens"]).join(weighted, n["mix_source"]).withColumn(n["block"], F.least(F.floor(key * F.col(n["mix_blocks"])), F.col(n["mix_blocks"]) - 1))
     blocks = blocks.groupBy(n["mix_source"], n["block"]).agg(F.sum(n["n_tokens"]).alias("block_tokens"), F.first(n["mix_total"]).alias("T"), F.first(n["epochs"]).alias("e"))
     blocks = blocks.withColumn(n["epoch"], F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("e"), F.lit(1)).cast("int") - 1)))
     turn = F.xxhash64(n["mix_source"], n["block"], n["epoch"], F.lit(seed + 1))

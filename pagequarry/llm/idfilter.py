@@ -7,7 +7,6 @@ shuffled for an id's sake.  A full filter spares nothing; results never depend o
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +35,9 @@ def _bits(batches):
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """The filter of the (non-null, long) ids in the only column."""
-    rows = ids.mapInArrow(_bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = ids.mapInArrow(_bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     field = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    field[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    field[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return field
 
 
@@ -57,9 +56,9 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tup
     ids = ids.toDF(name).filter(F.col(name).isNotNull())
     field = id_filter(ids)
 
-    @F.pandas_udf("boolean")
-    def suspected(values: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(field, values.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def suspected(values: pa.Array) -> pa.Array:
+        return pa.array(may_hold(field, np.asarray(values.to_numpy(zero_copy_only=False), dtype=np.int64)))
 
     flag = suspected(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
     suspects, same = docs.filter(flag), F.col(id_col) == F.col(name)

@@ -46,9 +46,9 @@ from .idfilter import drop_ids, id_filter, may_hold, split_by_ids
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Texts hashed between two record batches.
-LOT = 1024
+LOT = 512
 #: Prefix shingles that a task looks through for shared ones before it gives them out.
-HELD = 400_000
+HELD = 200_000
 #: Sequences that a task remembers to show a repeated text once.
 SEEN = 500_000
 

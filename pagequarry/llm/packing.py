@@ -35,7 +35,7 @@ SLICE_PIECES = 50_000
 #: Parts of words, and words, that a Python worker remembers.
 PARTS, WORDS = 150_000, 2_000_000
 #: Rows between two record batches.
-LOT = 1024
+LOT = 512
 
 #: Words in which splitting and lower case are plain: printable ASCII and the Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -48,7 +48,7 @@ class WordTokens:
 
     The tokenizer (lower case, white space dropped, BPE within a word) treats each word by itself, so
     a text's ids are those of its words in order.  Words are hashed and looked up for a
-    megabyte of text at once; of those that are new, plain ones are split into the parts that the tokenizer's
+    quarter of a megabyte of text at once; of those that are new, plain ones are split into the parts that the tokenizer's
     own pattern finds, and what is new among them goes to the tokenizer.  Where a text has
     characters beyond Latin-1, case is kept (composition may depend on it), else it isn't.
     """
@@ -120,7 +120,7 @@ class WordTokens:
         return ids[take], starts, before
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order; texts are taken together up to a megabyte."""
+        """Ids of each text, in order; texts are taken together up to a piece."""
         lot, held = [], 0
 
         def flush():

@@ -41,7 +41,7 @@ LABELLED = 100_000
 SMOOTHING = 1.0
 #: N-grams of even odds that temper the mean of short texts, and n-grams that a score stands for.
 PRIOR, SCALE = 100, 1000
-LOT = 1024
+LOT = 512
 
 
 def _grams(words: np.ndarray) -> np.ndarray:

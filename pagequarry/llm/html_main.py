@@ -2,7 +2,10 @@ r"""Main text of HTML pages by tree scoring.
 
 A page is parsed once into a light tree.  Elements that are never part of an
 article (scripts, forms, navigation, page headers and footers, adverts, notices,
-reader comments, hidden parts) are taken out.  Then each paragraph passes points
+reader comments, hidden parts) are taken out.  By class and id this takes a whole name of
+such a part on a box that is short or mostly links (adverts and reader comments: of any length); boxes
+that merely have such a word in their names are left out of the choice, but stay inside the
+container chosen.  Then each paragraph passes points
 for its length and its commas to its ancestors, the whole to the parent and less
 to each one above; an ancestor's points are discounted by its link density.  The
 best container is kept, with the siblings that score well beside it; a container
@@ -59,6 +62,21 @@ NEVER_WORDS = READERS | frozenset(
     " cookie cookies consent gdpr notice notices notification notifications alert popup popover modal overlay lightbox newsletter subscribe subscription signup"
     " signin login register paywall related recommended recommendations share sharing social follow widget widgets search skip hidden outbrain taboola".split()
 )
+#: Adverts and comment threads are no text of the article at any length.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adunit adsbygoogle sponsored outbrain taboola".split())
+THREADS = READERS - {"reply", "replies"}
+#: A name with one of these is that of a part, whatever else is in it.
+STRONG = ADVERTS | frozenset("sidebar sidebars navbar topnav subnav breadcrumb breadcrumbs cookie cookies consent gdpr newsletter paywall".split())
+#: Words that go with those of a part in its name, and those that turn it into a property of the page.
+FILLERS = frozenset("area articles bar block box button buttons container group icons inner item items links list posts site thread top bottom left right wrap wrapper".split())
+READER_FILLERS = FILLERS | frozenset("author body content form meta post section text title".split())
+PROPERTIES = frozenset("has no with without is".split())
+#: Elements that may be a part of the page; a row, cell, heading or piece of a line is text whatever its class.
+BOXES = frozenset("div section article ul ol dl li p table center figure details".split())
+ROWS = frozenset("tr th td thead tbody tfoot caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a short box.
+SHORT = 300
 #: Elements whose id names a part of the page; elsewhere an id is an anchor in the text.
 PARTS = frozenset("div section ul ol dl table center fieldset span".split())
 GOOD_WORDS = frozenset("article body content entry main page post text story blog hentry".split())
@@ -68,10 +86,11 @@ START_POINTS = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre"
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "points", "tag")
+    __slots__ = ("attrs", "children", "doubt", "parent", "points", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children, self.points = tag, attrs, parent, [], None
+        self.doubt = False
 
 
 class Tree(HTMLParser):
@@ -128,12 +147,12 @@ def parse(html: str) -> Node:
 
 
 def nodes(top: Node) -> Iterator[Node]:
-    """All elements below and with top, in page order."""
+    """All elements below and with top, in page order; not those in doubt."""
     stack = [top]
     while stack:
         node = stack.pop()
         yield node
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.doubt)
 
 
 def words_of(node: Node) -> set[str]:
@@ -148,31 +167,113 @@ def is_hidden(node: Node) -> bool:
     return "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
-def _shares(root: Node) -> dict[int, tuple[int, bool, bool]]:
-    """By node: length of its text, whether an article or main and whether a p is below or with it."""
-    out: dict[int, tuple[int, bool, bool]] = {}
+def _shares(root: Node) -> dict[int, tuple[int, int, bool, bool]]:
+    """By node: length of its text and of that in links, whether an article or main and whether a p is below or with it."""
+    out: dict[int, tuple[int, int, bool, bool]] = {}
     for node in reversed(list(nodes(root))):
         if node.tag in NEVER_TAGS:
-            out[id(node)] = (0, False, False)
+            out[id(node)] = (0, 0, False, False)
             continue
-        text, article, p = 0, node.tag in ARTICLES, node.tag == "p"
+        text, link, article, p = 0, 0, node.tag in ARTICLES, node.tag == "p"
         for child in node.children:
             if isinstance(child, str):
-                text += len(child)
+                text += len(child.strip())
             else:
-                t, a, q = out[id(child)]
-                text, article, p = text + t, article or a, p or q
-        out[id(node)] = (text, article, p)
+                t, k, a, q = out[id(child)]
+                text, link, article, p = text + t, link + k, article or a, p or q
+        out[id(node)] = (text, text if node.tag == "a" else link, article, p)
     return out
 
 
+def _names(value: str) -> list[set[str]]:
+    """The words of each name in a class or id; names of properties (has-sidebar) are none."""
+    names = (set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""} for name in value.split())
+    return [words for words in names if words and not words & PROPERTIES]
+
+
+def _whole(names: list[set[str]], parts: frozenset[str]) -> bool:
+    """Whether one of the names says nothing but one of the parts."""
+    fillers = READER_FILLERS if parts <= READERS else FILLERS
+    return any(words & parts and words <= NEVER_WORDS | fillers for words in names)
+
+
+def _opens_with(node: Node, words: set[str], shares: dict) -> bool:
+    """Whether the first text of node is a heading that has one of the words: then an id with it is an anchor."""
+    at = node
+    while True:
+        for child in at.children:
+            if isinstance(child, str):
+                if child.strip():
+                    return False
+            elif child.tag in HEADINGS or shares[id(child)][0]:
+                break
+        else:
+            return False
+        if child.tag in HEADINGS:
+            text = "".join(c for c in _strings(child)).lower()
+            return bool(words & set(re.split(r"[^a-z]+", text)))
+        if child.tag not in ("div", "section"):
+            return False
+        at = child
+
+
+def _strings(top: Node) -> Iterator[str]:
+    stack: list = [top]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            yield node
+        else:
+            stack.extend(reversed(node.children))
+
+
+def is_article(node: Node) -> bool:
+    return node.tag in ARTICLES or node.attrs.get("role", "").lower() in ("main", "article")
+
+
+def is_part(node: Node, shares: dict, total: int) -> bool:
+    """Whether the names of a node are those of a part of the page, and its text is like one."""
+    tag = node.tag
+    if tag in ROWS or tag in HEADINGS or tag in ("html", "body"):
+        return False
+    text, link, article, p = shares[id(node)]
+    half = tag in ("div", "section") and 2 * text >= total and p
+    classes = _names(node.attrs.get("class", ""))
+    if _whole(classes, ADVERTS) and not article and not half:
+        return True
+    if tag not in BOXES:
+        return False
+    if _whole(classes, READERS):
+        return not half
+    ids = _names(node.attrs.get("id", "")) if tag in PARTS else []
+    if _whole(ids, READERS) and not half and not _opens_with(node, set().union(*ids) & READERS, shares):
+        return text <= SHORT or _whole(ids, THREADS)
+    if article or half or not (_whole(classes, NEVER_WORDS) or any(words & STRONG for words in classes)):
+        return False
+    return text <= SHORT or 2 * link >= text
+
+
+def is_doubtful(node: Node, shares: dict, total: int) -> bool:
+    """Whether a node outside articles has a word of a part in its names: it is not to be chosen for itself."""
+    tag = node.tag
+    bad = words_of(node) & NEVER_WORDS
+    if not bad or tag in ("html", "body", "tr") or tag in HEADINGS or tag in ROWS and not bad & STRONG:
+        return False
+    text, _, article, p = shares[id(node)]
+    # A wrapper of the whole page may be named after one of its parts.
+    if article or tag in ("div", "section") and 2 * text >= total and p:
+        return False
+    by_class = set().union(*_names(node.attrs.get("class", ""))) & NEVER_WORDS
+    return bool(by_class) or not _opens_with(node, bad, shares)
+
+
 def strip(root: Node) -> None:
-    """Take out what is never part of an article."""
+    """Take out what is never part of an article; mark what is in doubt."""
     shares = _shares(root)
     total = shares[id(root)][0]
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         kept = []
         for child in node.children:
             if isinstance(child, str):
@@ -181,15 +282,12 @@ def strip(root: Node) -> None:
             tag = child.tag
             if tag in NEVER_TAGS or child.attrs and (is_hidden(child) or child.attrs.get("role", "").lower() in NEVER_ROLES):
                 continue
-            if child.attrs and tag not in ("html", "body") and (bad := words_of(child) & NEVER_WORDS):
-                if bad & READERS:
-                    continue
-                # A wrapper of the whole page may be named after one of its parts.
-                text, article, p = shares[id(child)]
-                if not article and (tag not in ("div", "section") or 2 * text < total or not p):
+            if child.attrs and ("class" in child.attrs or "id" in child.attrs):
+                if is_part(child, shares, total):
                     continue
+                child.doubt = not inside and not is_article(child) and is_doubtful(child, shares, total)
             kept.append(child)
-            stack.append(child)
+            stack.append((child, inside or tag in HEADINGS or is_article(child)))
         node.children = kept
 
 
@@ -200,7 +298,7 @@ def own_text(node: Node) -> str:
         child = stack.pop()
         if isinstance(child, str):
             out.append(child)
-        elif child.tag not in BLOCKS:
+        elif child.tag not in BLOCKS and not child.doubt:
             stack.extend(reversed(child.children))
     return " ".join("".join(out).split())
 
@@ -214,7 +312,7 @@ def lengths(root: Node) -> dict[int, tuple[int, int]]:
         for child in node.children:
             if isinstance(child, str):
                 text += len(child)
-            else:
+            elif not child.doubt:
                 t, a = out[id(child)]
                 text, link = text + t, link + a
         out[id(node)] = (text, text if node.tag == "a" else link)
@@ -252,14 +350,14 @@ def pick(root: Node) -> list[Node]:
     best = max(found, key=lambda n: n.points)  # the first of equals
     at = best
     while at is not None:
-        if at.tag in ARTICLES or at.attrs.get("role", "").lower() in ("main", "article"):
+        if is_article(at):
             return [at]
         at = at.parent
     if best.parent is None or best.tag == "body":
         return [best]
     least, kept = max(10.0, 0.2 * best.points), []
     for sibling in best.parent.children:
-        if isinstance(sibling, str):
+        if isinstance(sibling, str) or sibling.doubt:
             continue
         text, link = size[id(sibling)]
         bonus = 0.2 * best.points if sibling.attrs.get("class") and sibling.attrs.get("class") == best.attrs.get("class") else 0.0
@@ -271,7 +369,8 @@ def pick(root: Node) -> list[Node]:
 
 
 def block_texts(top: Node) -> list[str]:
-    """Texts of the blocks of top in page order, white space made single."""
+    """Texts of the blocks of top in page order, white space made single; of a whole page without what is in doubt."""
+    page = top.tag in ("#page", "html", "body")
     blocks, run = [], []
 
     def flush():
@@ -287,6 +386,8 @@ def block_texts(top: Node) -> list[str]:
             flush()
         elif isinstance(node, str):
             run.append(node)
+        elif page and node.doubt:
+            continue
         elif node.tag in BLOCKS:
             flush()
             stack.append(None)

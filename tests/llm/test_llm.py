@@ -402,6 +402,35 @@ def test_main_text(html, expected):
     assert html_main.main_text(html) == expected
 
 
+LONG = "A sentence of the text, with commas, and long enough to count. " * 8
+#: Pages of documentation tools whose class and id names hold words of page parts.
+NAMED = [
+    # mdBook: the heading's text is a link of class header.
+    (f"<body><nav id=sidebar class=sidebar><a href=/>x</a></nav><div id=content class=page><main><h2 id=search><a class=header href=#search>Search</a></h2><p>{LONG}</main></div></body>", ["Search", LONG]),
+    # pandoc: no article; table heads, sections by --section-divs.
+    (f"<body><section id=intro class=level1><h1>Intro</h1><p>{LONG}<table><thead><tr class=header><th>Key<th>Value<tbody><tr class=odd><td class=search>a<td>b</table></section>"
+     f"<section id=related-work class=level1><h1>Related work</h1><p>{LONG}</section></body>", ["Intro", LONG, "Key", "Value", "a", "b", "Related work", LONG]),
+    # Sphinx: sections by the words of their headings.
+    (f"<body><div class=related role=navigation><a href=/>index</a></div><div class=body role=main><section id=guide><h1>Guide</h1><p>{LONG}"
+     f"<section id=how-to-share-files><h2>How to share files<a class=headerlink href=#x></a></h2><p>{LONG}</section><section id=comments><span id=index-0></span><h2>Comments</h2><p>{LONG}</section>"
+     f"<section id=reply><h2>Reply</h2><p>{LONG}</section><div class=section id=social><p>{LONG}</div><dl class='py notification'><dt id=search>search()<dd>{LONG}</dl></section></div>"
+     "<div class=sphinxsidebar><p>Side</div></body>", ["Guide", LONG, "How to share files", LONG, "Comments", LONG, "Reply", LONG, LONG, "search()", LONG]),
+    # Highlighted code: comments are code.
+    (f"<article><p>{LONG}<pre><code><span class='token comment'># why</span>\nx = 1</code></pre></article>", [LONG, "# why x = 1"]),
+    # A container beside a sidebar, without article or main.
+    (f"<body><div class=wrap><div class=sidebar-box><p>{LONG}</div><div class=text><p>{LONG}<p>{LONG}<div class=search-syntax><p>{LONG}</div></div></div></body>", [LONG] * 3),
+    # Parts inside an article still go, comments and adverts at any length.
+    (f"<article><p>{LONG}<p>{LONG}<div class=share-buttons>Tell</div><div class=related-posts>{'<a href=/r>One more story</a>' * 40}</div><div class='ad-box'>{LONG}</div><span class=ad>Buy</span>"
+     f"<div id=comments class=comments-area><h2>Two thoughts</h2><p>{LONG}</div><ol class=commentlist><li>{LONG}</ol></article>", [LONG, LONG]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(NAMED)))
+def test_names_of_parts_take_no_text_of_the_article(case):
+    html, expected = NAMED[case]
+    assert html_main.main_text(html) == "\n\n".join(t.strip() for t in expected)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<", ">", "!", "[", "p", "div", "/", '"', "'", "=", "&", "#x", "-", "--", "a ", "]", "?", "script", "article", "class=ad "]), max_size=30))
 def test_any_markup_gives_a_text(pieces):

@@ -10,10 +10,12 @@ two tables of bucket counts reach the driver.  So that length itself neither hel
 weight is the mean over a text's n-grams and ``PRIOR`` more of even odds, scaled to a text of ``SCALE`` n-grams.  The k-th largest score is found by
 a few grouped counts over (id, score); nothing is sorted as a whole.
 
-k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on good
-texts that the target was not fitted on (half of the labelled ones): it lies below the lowest
-of them by a share of their spread, as there are more good texts than labelled ones; the fewer
-those are, the larger the share.
+k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on labelled
+texts that the target was not fitted on: half of the good ones and the bad ones, up to ``LABELLED``
+of each label.  It is the cut that separates the two best (largest share of good kept less share of
+bad kept) among those that lose ``LOSS`` of the good at most, halfway to the next labelled text below.  Where
+no bad text is labelled, it is the outer fence of the good ones: their lower quartile less three times
+the distance of the quartiles.  Neither rule has the number of texts in it.
 
 Defined results: null and empty texts have no n-grams and weight 0; the noise is a function
 of seed and id, so repeated rows get one verdict; texts that tie with the k-th are all
@@ -35,8 +37,10 @@ from .idfilter import drop_ids
 from .wordhash import mix, word_hashes
 
 BUCKETS = 1 << 16
-#: Labelled texts that the target model and the floor are fitted on, at most: those whose id hashes lowest.
+#: Texts of each label that the target model and the floor are fitted on, at most: those whose id hashes lowest.
 LABELLED = 100_000
+#: Share of held-out good texts that the floor may lose, at most.
+LOSS = 0.02
 #: Counts added to each bucket of both models.
 SMOOTHING = 1.0
 #: N-grams of even odds that temper the mean of short texts, and n-grams that a score stands for.
@@ -103,9 +107,9 @@ def _weigh(ratio: np.ndarray):
     return run
 
 
-def labelled_ids(labels: DataFrame, at_most: int = LABELLED) -> np.ndarray:
-    """Ids with quality 1, ascending: all, or the at_most ones that hash lowest."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+def labelled_ids(labels: DataFrame, at_most: int = LABELLED, quality: int = 1) -> np.ndarray:
+    """Ids with that quality, ascending: all, or the at_most ones that hash lowest."""
+    good = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = good.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(at_most)
     return np.sort(np.array([r["doc_id"] for r in rows.collect()], dtype=np.int64))
 
@@ -116,14 +120,19 @@ def halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[~odd], ids[odd]
 
 
-def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_grams, log_weight, mean_weight, score (with noise) of every text; and the good ids held out."""
+def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """doc_id, n_grams, log_weight, mean_weight, score (with noise) of every text; the good ids held out; the bad ids.
+
+    An id with both labels counts as good.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fitted, held_out = halves(labelled_ids(labels))
+    good = labelled_ids(labels)
+    fitted, held_out = halves(good)
+    bad = np.setdiff1d(labelled_ids(labels, quality=0), good)
     rows = texts.mapInArrow(_weigh(fit(texts, fitted)), "doc_id long, n_grams long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     rows = rows.withColumn("mean_weight", F.col("log_weight") / (F.col("n_grams") + PRIOR))
-    return written(rows.withColumn("score", SCALE * F.col("mean_weight") - F.log(-F.log(uniform))), "weights"), held_out
+    return written(rows.withColumn("score", SCALE * F.col("mean_weight") - F.log(-F.log(uniform))), "weights"), held_out, bad
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
@@ -149,22 +158,46 @@ def kth_largest(scores: DataFrame, k: int) -> float:
     return high
 
 
-def calibrated_k(weights: DataFrame, held_out: np.ndarray, slack: float = 0.5, few: float = 5.0) -> int:
-    """Number of texts whose mean weight reaches the floor of the good ones held out.
+def held_out_weights(weights: DataFrame, good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean weights of the good and the bad ids, ascending; one (the mean) for an id that is repeated."""
+    found = weights.mapInArrow(_labelled(good, bad), "doc_id long, good boolean, mean_weight double").groupBy("doc_id", "good").agg(F.avg("mean_weight").alias("w"))
+    rows = found.select("good", "w").toArrow()  # LABELLED rows of each label at most
+    values, is_good = np.asarray(rows.column("w"), dtype=float), np.asarray(rows.column("good"), dtype=bool)
+    return np.sort(values[is_good]), np.sort(values[~is_good])
+
+
+def floor_of(good: np.ndarray, bad: np.ndarray) -> float:
+    """The least mean weight that is kept, by the ascending weights of held-out texts (see above)."""
+    if not len(good):
+        return -np.inf
+    if not len(bad):
+        low, high = np.quantile(good, [0.25, 0.75])
+        return float(low - 3 * (high - low))
+    cuts = good[: int(LOSS * len(good)) + 1]
+    lost = np.searchsorted(good, cuts)
+    kept_bad = len(bad) - np.searchsorted(bad, cuts)
+    cut = cuts[np.argmax((len(good) - lost) / len(good) - kept_bad / len(bad))]
+    below = [x[x < cut] for x in (good, bad)]
+    below = max((x[-1] for x in below if len(x)), default=None)
+    return float(cut) if below is None else float((cut + below) / 2)
+
+
+def calibrated_k(weights: DataFrame, good: np.ndarray, bad: np.ndarray) -> int:
+    """Number of texts whose mean weight reaches the floor.
 
-    The floor is fitted on that bounded sample; the count covers all texts.
+    The floor is fitted on bounded samples of both labels; the count covers all texts.
     """
-    good = weights.mapInArrow(_only(held_out), weights.schema)
-    low, middle, n = good.agg(F.min("mean_weight"), F.percentile("mean_weight", F.lit(0.5)), F.count(F.lit(1))).first()
-    if not n:
-        return weights.count()
-    return weights.filter(F.col("mean_weight") >= low - (slack + few / n**0.5) * (middle - low)).count()
+    floor = floor_of(*held_out_weights(weights, good, bad))
+    return weights.filter(F.col("mean_weight") >= F.lit(floor)).count()
 
 
-def _only(chosen: np.ndarray):
+def _labelled(good: np.ndarray, bad: np.ndarray):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_member(batch.column(0), chosen)))
+            ids, w = batch.column("doc_id"), batch.column("mean_weight")
+            is_good, is_bad = _member(ids, good), _member(ids, bad)
+            chosen = pa.array(is_good | is_bad)
+            yield pa.RecordBatch.from_arrays([ids.filter(chosen), pa.array(is_good).filter(chosen), w.filter(chosen)], names=["doc_id", "good", "mean_weight"])
 
     return run
 
@@ -178,17 +211,17 @@ def select(weights: DataFrame, k: int) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn."""
-    weights, held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
+    weights, *held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
     if weights.isEmpty():
         return weights
-    return select(weights, calibrated_k(weights, held_out) if k is None else k)
+    return select(weights, calibrated_k(weights, *held_out) if k is None else k)
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are drawn, with the columns of docs."""
-    weights, held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
+    weights, *held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
     if weights.isEmpty():
         return docs
-    chosen = select(weights, calibrated_k(weights, held_out) if k is None else k)
+    chosen = select(weights, calibrated_k(weights, *held_out) if k is None else k)
     gone = weights.select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_anti").distinct()
     return drop_ids(docs, written(gone, "not-drawn"), id_col)

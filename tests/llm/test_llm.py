@@ -556,6 +556,36 @@ def test_classifier_separates_held_out_texts(spark):
     assert quality_classifier.resample(docs, labels, k=100).count() == 100
 
 
+def test_floor_does_not_hang_on_one_text_or_on_table_size():
+    """Bad texts lie where the spread of the good ones, however few, would still reach."""
+    rng = np.random.default_rng(3)
+    for n in (40, 400, 40_000):
+        good, bad = np.sort(rng.normal(0, 0.1, n)), np.sort(rng.normal(-0.9, 0.1, n // 4))
+        floor = quality_classifier.floor_of(good, bad)
+        assert bad[-1] < floor < good[0]
+        odd = np.sort(np.append(good[1:], -3.0)) if n > 50 else good  # one mislabelled text
+        floor = quality_classifier.floor_of(odd, bad)
+        assert (good >= floor).mean() >= 0.98 and (bad >= floor).mean() == 0
+    mixed = np.sort(rng.normal(0, 0.1, 1000))
+    assert (mixed >= quality_classifier.floor_of(mixed, mixed)).mean() >= 0.98
+    assert quality_classifier.floor_of(good, good[:0]) < good[0] and quality_classifier.floor_of(good[:0], bad) == -np.inf
+
+
+def test_the_stage_rejects_bad_texts_that_pass_the_rules(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randrange(40, 120), 300) for _ in range(200)]
+    # Half of a bad text's words are those of good ones.
+    texts += [" ".join(f"w{rng.randrange(300)}" if rng.random() < 0.5 else f"z{rng.randrange(300)}" for _ in range(80)) for _ in range(100)]
+    docs = documents(spark, texts).select(*[c.split(" ")[0] for c in DOCS.split(", ")])
+    spark.createDataFrame([(i, int(i < 200), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    ruled = corpus_pipeline.apply_quality_rules(spark, docs, str(tmp_path))
+    assert ruled.count() == 300
+    kept = {r["doc_id"] for r in corpus_pipeline.apply_quality_classifier(spark, ruled, str(tmp_path)).collect()}
+    assert len(kept & set(range(200))) >= 196 and len(kept & set(range(200, 300))) <= 2
+
+
 def test_kth_largest(spark):
     values = [random.Random(1).gauss(0, 1) for _ in range(500)] + [0.25] * 20
     df = spark.createDataFrame([(v,) for v in values], "score double")

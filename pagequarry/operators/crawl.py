@@ -7,6 +7,8 @@ shared folder, so lineage doesn't grow with depth.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +16,9 @@ from pyspark.sql.window import Window
 from .shared import cut
 
 
-def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_pages: int | None = None) -> DataFrame:
-    """node, depth, parent of every node reached; links of nodes at max_depth are not followed.
+def walk(seeds: DataFrame, edges: DataFrame, max_depth: int | None = 5, max_pages: int | None = None) -> DataFrame:
+    """node, depth, parent of every node reached; links of nodes at max_depth are not followed;
+    without one the walk ends where a level finds nothing new.
 
     seeds: (node); edges: (src, dst[, link_seq]).  A node's depth is that of its first
     discovery, its parent the least one of that level.  With max_pages the nodes first in (depth, parent, link_seq,
@@ -27,7 +30,7 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_pages: int
     kind = seeds.schema["node"].dataType
     frontier = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("link_seq")))
     visited, n = frontier, frontier.count()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         if max_pages is not None and n >= max_pages:
             break
         found = frontier.join(edges.withColumnRenamed("link_seq", "seq"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.col("src").alias("parent"), F.col("seq").alias("link_seq"))

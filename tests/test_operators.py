@@ -27,6 +27,13 @@ def test_walk_has_limits_and_survives_cycles(spark):
     assert [r["node"] for r in crawl.walk(seeds, edges, 9, max_pages=2).collect()] == [0, 1]
 
 
+def test_walk_without_a_depth_reaches_the_fixed_point(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(15)] + [(15, 0), (40, 41)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (40,)], "node long")
+    found = {r["node"]: r["depth"] for r in crawl.walk(seeds, edges, None).collect()}
+    assert found == {i: i for i in range(16)} | {40: 0, 41: 1}
+
+
 def test_fetched_and_failed(spark):
     pages_ = spark.createDataFrame([("a", "<p>", 200), ("b", "x", 404), ("c", "", 200)], "url string, html string, status int")
     ok, failed = crawl.fetched(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string"), pages_)

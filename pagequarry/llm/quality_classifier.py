@@ -18,7 +18,8 @@ no bad text is labelled, it is the outer fence of the good ones: their lower qua
 the distance of the quartiles.  Neither rule has the number of texts in it.
 
 Defined results: null and empty texts have no n-grams and weight 0; the noise is a function
-of seed and id, so repeated rows get one verdict; texts that tie with the k-th are all
+of seed and id, so repeated rows get one verdict; each row is judged by its own text, also where ids
+are null or repeated, and ``keep`` and ``resample`` keep the same rows; texts that tie with the k-th are all
 kept; an empty table gives no rows; without any good label everything weighs 0 and stays;
 further columns are kept by ``keep`` and ignored by ``weigh``.
 """
@@ -29,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .idfilter import drop_ids
 from .wordhash import mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -120,8 +120,14 @@ def halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[~odd], ids[odd]
 
 
-def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """doc_id, n_grams, log_weight, mean_weight, score (with noise) of every text; the good ids held out; the bad ids.
+def _score(mean: Column, ids: Column, seed: int) -> Column:
+    """The score with noise."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(ids.cast("long"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return SCALE * mean - F.log(-F.log(uniform))
+
+
+def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, n_grams, log_weight, mean_weight, score (with noise) of every text; the log ratios; the good ids held out; the bad ids.
 
     An id with both labels counts as good.
     """
@@ -129,10 +135,10 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc
     good = labelled_ids(labels)
     fitted, held_out = halves(good)
     bad = np.setdiff1d(labelled_ids(labels, quality=0), good)
-    rows = texts.mapInArrow(_weigh(fit(texts, fitted)), "doc_id long, n_grams long, log_weight double")
-    uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    ratio = fit(texts, fitted)
+    rows = texts.mapInArrow(_weigh(ratio), "doc_id long, n_grams long, log_weight double")
     rows = rows.withColumn("mean_weight", F.col("log_weight") / (F.col("n_grams") + PRIOR))
-    return written(rows.withColumn("score", SCALE * F.col("mean_weight") - F.log(-F.log(uniform))), "weights"), held_out, bad
+    return written(rows.withColumn("score", _score(F.col("mean_weight"), F.col("doc_id"), seed)), "weights"), ratio, held_out, bad
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
@@ -211,17 +217,32 @@ def select(weights: DataFrame, k: int) -> DataFrame:
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn."""
-    weights, *held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
+    weights, _, *held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
     if weights.isEmpty():
         return weights
     return select(weights, calibrated_k(weights, *held_out) if k is None else k)
 
 
-def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are drawn, with the columns of docs."""
-    weights, *held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are drawn, with the columns of docs.
+
+    Texts are weighed once more in the scan that returns them, so no row is found again by its id.
+    """
+    weights, ratio, *held_out = weigh(docs, labels, seed, id_col, text_col)
     if weights.isEmpty():
         return docs
-    chosen = select(weights, calibrated_k(weights, *held_out) if k is None else k)
-    gone = weights.select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_anti").distinct()
-    return drop_ids(docs, written(gone, "not-drawn"), id_col)
+    k = calibrated_k(weights, *held_out) if k is None else k
+    if k <= 0:
+        return docs.limit(0)
+
+    @F.arrow_udf("double")
+    def mean_weight(texts: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(texts), LOT):
+            for words in word_hashes(texts.slice(at, LOT).cast(pa.binary()).to_pylist()):
+                grams = _grams(words) if len(words) else np.empty(0, np.int64)
+                out.append(float(ratio[grams].sum()) / (len(grams) + PRIOR))
+        return pa.array(out, pa.float64())
+
+    mean = mean_weight(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.filter(_score(mean, F.col(id_col), seed) >= F.lit(kth_largest(weights, k)))

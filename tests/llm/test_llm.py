@@ -556,6 +556,20 @@ def test_classifier_separates_held_out_texts(spark):
     assert quality_classifier.resample(docs, labels, k=100).count() == 100
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_by_their_own_texts(spark):
+    rng = random.Random(12)
+    good = [prose(rng, rng.randrange(40, 120), 300) for _ in range(120)]
+    bad = [" ".join(f"z{rng.randrange(300)}%%" for _ in range(80)) for _ in range(40)]
+    ids = [*range(120), *range(200, 230), None, None, *range(8)]  # eight bad texts have ids of good ones
+    rows = [*zip(ids, good + bad, strict=True), (None, good[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in [*range(20, 120), *range(200, 230, 2)]], "doc_id long, quality int, toxic int")
+    key = lambda i: -1 if i is None else i
+    out = [(r["doc_id"], r["text"]) for r in quality_classifier.keep(docs, labels).collect()]
+    assert not {t for _, t in out} & set(bad) and (None, good[0]) in out and set(good) == {t for _, t in out}
+    assert sorted(key(i) for i, _ in out) == sorted(key(r["doc_id"]) for r in quality_classifier.resample(docs, labels).collect())
+
+
 def test_floor_does_not_hang_on_one_text_or_on_table_size():
     """Bad texts lie where the spread of the good ones, however few, would still reach."""
     rng = np.random.default_rng(3)

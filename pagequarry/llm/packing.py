@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import bisect
 import math
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,121 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .wordhash import PIECE, piece_hashes, pieces
+from .word_tokens import WordTokens
 
 #: Pieces that one task packs together, about.
 SLICE_PIECES = 50_000
-#: Parts of words, and words, that a Python worker remembers.
-PARTS, WORDS = 150_000, 2_000_000
 #: Rows between two record batches.
 LOT = 512
 
-#: Words in which splitting and lower case are plain: printable ASCII and the Latin-1 letters.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's own split, on plain lower-case words.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
-class WordTokens:
-    """Ids of whole texts from remembered words.
-
-    The tokenizer (lower case, white space dropped, BPE within a word) treats each word by itself, so
-    a text's ids are those of its words in order.  Words are hashed and looked up for a
-    quarter of a megabyte of text at once; of those that are new, plain ones are split into the parts that the tokenizer's
-    own pattern finds, and what is new among them goes to the tokenizer.  Where a text has
-    characters beyond Latin-1, case is kept (composition may depend on it), else it isn't.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-        #: Sorted hashes of words, and where their ids stand.
-        self.hashes, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
-
-    def _whole(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-
-    def _of_parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Each part is one word to the tokenizer, so it tells which ids are whose."""
-        out = {}
-        for k in range(0, len(parts), 2000):
-            some = parts[k : k + 2000]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, cuts = np.array(got.ids, dtype=np.uint32), np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))
-            out.update((p, ids[cuts[j] : cuts[j + 1]].tobytes()) for j, p in enumerate(some))
-        return out
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        made = [_PARTS.findall(w.lower()) if "<|" not in w and _PLAIN.fullmatch(w) else None for w in words]
-        missing = {p for some in made if some for p in some} - self.parts.keys()
-        got = self._of_parts(sorted(missing))
-        known = self.parts
-        out = [self._whole(w) if some is None else b"".join([known.get(p) or got[p] for p in some]) for w, some in zip(words, made, strict=True)]
-        if len(known) + len(got) <= PARTS:
-            known.update(got)
-        return out
-
-    def _look_up(self, data: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the ids of each word stand, how many they are, and the ids."""
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        k = np.searchsorted(self.hashes, distinct)
-        hit = k < len(self.hashes)
-        hit[hit] = self.hashes[k[hit]] == distinct[hit]
-        at, n = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        at[hit], n[hit] = self.at[k[hit]], self.n[k[hit]]
-        ids = self.ids
-        if not hit.all():
-            new = np.flatnonzero(~hit)
-            got = self._ids_of([data[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            n[new] = np.array([len(g) for g in got], dtype=np.int64) // 4
-            at[new] = len(ids) + np.cumsum(n[new]) - n[new]
-            ids = np.concatenate([ids, np.frombuffer(b"".join(got), dtype=np.uint32)])
-            if len(self.hashes) + len(new) <= WORDS:
-                self.ids = ids
-                self.at, self.n = np.insert(self.at, k[new], at[new]), np.insert(self.n, k[new], n[new])
-                self.hashes = np.insert(self.hashes, k[new], distinct[new])
-        return at[which], n[which], ids
-
-    def _encode_piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of data, with the starts of its words and the ids before each word and at the end."""
-        beyond = bool(np.frombuffer(data, dtype=np.uint8).max(initial=0) > 0xC3)
-        hashes, starts, ends = piece_hashes(data, lower=not beyond)
-        if beyond:
-            hashes = hashes ^ np.uint64(0x9E3779B97F4A7C15)
-        at, n, ids = self._look_up(data, hashes, starts, ends)
-        before = np.zeros(len(n) + 1, dtype=np.int64)
-        np.cumsum(n, out=before[1:])
-        take = np.arange(before[-1]) + np.repeat(at - before[:-1], n)
-        return ids[take], starts, before
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order; texts are taken together up to a piece."""
-        lot, held = [], 0
-
-        def flush():
-            ids, starts, before = self._encode_piece(b"\n".join(lot))
-            cuts = before[np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in lot]]))]
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                yield ids[low:high]
-
-        for text in texts:
-            data = text.encode()
-            if lot and held + len(data) > PIECE:
-                yield from flush()
-                lot, held = [], 0
-            if len(data) > PIECE:
-                yield np.concatenate([self._encode_piece(p)[0] for p in pieces(data)])
-            else:
-                lot.append(data)
-                held += len(data) + 1
-        if lot:
-            yield from flush()
-
-
 _loaded: dict[str, WordTokens] = {}
 
 
@@ -157,7 +47,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             for k in range(0, batch.num_rows, LOT):
                 part = batch.slice(k, LOT)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), tokens.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     data = ids.astype("<u4").tobytes() + tail
                     for j in range(0, len(data), width):
                         own = data[j : j + width]

@@ -56,12 +56,22 @@ def piece_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.n
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    starts, ends = word_bounds(raw)
+    return range_hashes((_LOWER if lower else _KEEP)[raw], starts, ends), starts, ends
+
+
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes start and end."""
     edge = np.diff(_IS_WORD[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER if lower else _KEEP)[raw] * _powers_of(_R, len(raw), "up")[: len(raw)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _powers_of(_R_INVERSE, len(raw), "down")[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges of values (unsigned 64-bit, none of them 0)."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers_of(_R, len(values), "up")[: len(values)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _powers_of(_R_INVERSE, len(values), "down")[starts]
+    return mix(h + (ends - starts).astype(np.uint64))
 
 
 def pieces(data: bytes) -> Iterator[bytes]:

@@ -3,11 +3,13 @@
 Two generative models over hashed word n-grams (single words and pairs) are fitted: the
 target model on texts labelled good, the raw model on all texts.  The log weight of a text is the sum over
 its n-grams of log target - log raw.  Adding Gumbel noise and keeping the k largest draws k
-texts without replacement in proportion to their weights.
+texts without replacement in proportion to their tempered weights.
 
 Counting is one scan that adds up at most ``BUCKETS`` rows; weighing is a second one.  Only the
 two tables of bucket counts reach the driver.  So that length itself neither helps nor hurts, the
-weight is the mean over a text's n-grams and ``PRIOR`` more of even odds, scaled to a text of ``SCALE`` n-grams.  The k-th largest score is found by
+log weight is divided by the number of n-grams (``PRIOR`` more of even odds) to the power ``LENGTH_POWER``, which is 1: their mean.
+The score is this log weight over a temperature, plus standard Gumbel noise.  The temperature is ``TEMPERATURE`` times the distance of the quartiles
+of held-out good texts, so the noise has about the spread that weights have within the target, whatever their unit.  The k-th largest score is found by
 a few grouped counts over (id, score); nothing is sorted as a whole.
 
 k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on labelled
@@ -20,7 +22,7 @@ the distance of the quartiles.  Neither rule has the number of texts in it.
 Defined results: null and empty texts have no n-grams and weight 0; the noise is a function
 of seed and id, so repeated rows get one verdict; each row is judged by its own text, also where ids
 are null or repeated, and ``keep`` and ``resample`` keep the same rows; texts that tie with the k-th are all
-kept; an empty table gives no rows; without any good label everything weighs 0 and stays;
+kept; k below 1 draws nothing; an empty table gives no rows; without any good label everything weighs 0 and stays;
 further columns are kept by ``keep`` and ignored by ``weigh``.
 """
 
@@ -43,8 +45,10 @@ LABELLED = 100_000
 LOSS = 0.02
 #: Counts added to each bucket of both models.
 SMOOTHING = 1.0
-#: N-grams of even odds that temper the mean of short texts, and n-grams that a score stands for.
-PRIOR, SCALE = 100, 1000
+#: N-grams of even odds that temper the weights of short texts, and the power of the number of n-grams that weights are divided by.
+PRIOR, LENGTH_POWER = 100, 1.0
+#: Temperature of the draw, in distances of the quartiles of held-out good texts.
+TEMPERATURE = 0.5
 LOT = 512
 
 
@@ -120,14 +124,14 @@ def halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[~odd], ids[odd]
 
 
-def _score(mean: Column, ids: Column, seed: int) -> Column:
-    """The score with noise."""
+def _score(mean: Column, ids: Column, seed: int, temperature: float) -> Column:
+    """The tempered log weight with Gumbel noise."""
     uniform = (F.shiftrightunsigned(F.xxhash64(ids.cast("long"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return SCALE * mean - F.log(-F.log(uniform))
+    return mean / F.lit(temperature) - F.log(-F.log(uniform))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, n_grams, log_weight, mean_weight, score (with noise) of every text; the log ratios; the good ids held out; the bad ids.
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, n_grams, log_weight, mean_weight of every text; the log ratios; the good ids held out; the bad ids.
 
     An id with both labels counts as good.
     """
@@ -137,8 +141,7 @@ def weigh(docs: DataFrame, labels: DataFrame, seed: int = 17, id_col: str = "doc
     bad = np.setdiff1d(labelled_ids(labels, quality=0), good)
     ratio = fit(texts, fitted)
     rows = texts.mapInArrow(_weigh(ratio), "doc_id long, n_grams long, log_weight double")
-    rows = rows.withColumn("mean_weight", F.col("log_weight") / (F.col("n_grams") + PRIOR))
-    return written(rows.withColumn("score", _score(F.col("mean_weight"), F.col("doc_id"), seed)), "weights"), ratio, held_out, bad
+    return written(rows.withColumn("mean_weight", F.col("log_weight") / F.pow(F.col("n_grams") + PRIOR, F.lit(LENGTH_POWER))), "weights"), ratio, held_out, bad
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
@@ -188,13 +191,28 @@ def floor_of(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cut) if below is None else float((cut + below) / 2)
 
 
-def calibrated_k(weights: DataFrame, good: np.ndarray, bad: np.ndarray) -> int:
-    """Number of texts whose mean weight reaches the floor.
+def temperature_of(good: np.ndarray) -> float:
+    """By the weights of held-out good texts; 1 where they are all alike or none."""
+    if not len(good):
+        return 1.0
+    low, high = np.quantile(good, [0.25, 0.75])
+    return float(TEMPERATURE * (high - low)) or 1.0
+
+
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float, float]:
+    """The weights with their scores; the log ratios; the temperature; the least score that is drawn.
 
-    The floor is fitted on bounded samples of both labels; the count covers all texts.
+    k: None for the number of texts whose weight reaches the floor.  Floor and temperature are fitted on bounded
+    samples of both labels; the count covers all texts.
     """
-    floor = floor_of(*held_out_weights(weights, good, bad))
-    return weights.filter(F.col("mean_weight") >= F.lit(floor)).count()
+    weights, ratio, *ids = weigh(docs, labels, id_col, text_col)
+    good, bad = held_out_weights(weights, *ids)
+    temperature = temperature_of(good)
+    scored = weights.withColumn("score", _score(F.col("mean_weight"), F.col("doc_id"), seed, temperature))
+    if k is None:
+        k = weights.filter(F.col("mean_weight") >= F.lit(floor_of(good, bad))).count()
+    least = kth_largest(scored, k) if k > 0 and not weights.isEmpty() else float("inf")
+    return scored, ratio, temperature, least
 
 
 def _labelled(good: np.ndarray, bad: np.ndarray):
@@ -208,19 +226,10 @@ def _labelled(good: np.ndarray, bad: np.ndarray):
     return run
 
 
-def select(weights: DataFrame, k: int) -> DataFrame:
-    """The rows of the k largest scores, with those that tie with the k-th."""
-    if k <= 0:
-        return weights.limit(0)
-    return weights.filter(F.col("score") >= F.lit(kth_largest(weights, k)))
-
-
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn."""
-    weights, _, *held_out = weigh(docs, labels, id_col=id_col, text_col=text_col)
-    if weights.isEmpty():
-        return weights
-    return select(weights, calibrated_k(weights, *held_out) if k is None else k)
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn: the k largest scores, with those that tie with the k-th."""
+    scored, _, _, least = drawn(docs, labels, k, seed, id_col, text_col)
+    return scored.filter(F.col("score") >= F.lit(least))
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,12 +237,7 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1
 
     Texts are weighed once more in the scan that returns them, so no row is found again by its id.
     """
-    weights, ratio, *held_out = weigh(docs, labels, seed, id_col, text_col)
-    if weights.isEmpty():
-        return docs
-    k = calibrated_k(weights, *held_out) if k is None else k
-    if k <= 0:
-        return docs.limit(0)
+    _, ratio, temperature, least = drawn(docs, labels, k, seed, id_col, text_col)
 
     @F.arrow_udf("double")
     def mean_weight(texts: pa.Array) -> pa.Array:
@@ -241,8 +245,8 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1
         for at in range(0, len(texts), LOT):
             for words in word_hashes(texts.slice(at, LOT).cast(pa.binary()).to_pylist()):
                 grams = _grams(words) if len(words) else np.empty(0, np.int64)
-                out.append(float(ratio[grams].sum()) / (len(grams) + PRIOR))
+                out.append(float(ratio[grams].sum()) / float(np.power(len(grams) + PRIOR, LENGTH_POWER)))
         return pa.array(out, pa.float64())
 
     mean = mean_weight(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.filter(_score(mean, F.col(id_col), seed) >= F.lit(kth_largest(weights, k)))
+    return docs.filter(_score(mean, F.col(id_col), seed, temperature) >= F.lit(least))

@@ -10,10 +10,10 @@ from pagequarry.llm import quality_classifier
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def mixed_texts(rng, n_good, n_bad):
+def mixed_texts(rng, n_good, n_bad, words=60):
     """Good texts, and bad ones of which half the words are those of good ones."""
-    good = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(40, 120))) for _ in range(n_good)]
-    bad = [" ".join(f"w{rng.randrange(60)}" if rng.random() < 0.5 else f"z{rng.randrange(60)}" for _ in range(80)) for _ in range(n_bad)]
+    good = [" ".join(f"w{rng.randrange(words)}" for _ in range(rng.randrange(40, 120))) for _ in range(n_good)]
+    bad = [" ".join(f"w{rng.randrange(words)}" if rng.random() < 0.5 else f"z{rng.randrange(words)}" for _ in range(80)) for _ in range(n_bad)]
     return good, bad
 
 
@@ -42,7 +42,7 @@ def test_the_draw_favours_weights_without_being_their_order(spark):
 
 
 def test_repeated_rows_long_texts_and_no_texts(spark):
-    good, bad = mixed_texts(random.Random(43), 200, 60)
+    good, bad = mixed_texts(random.Random(43), 200, 60, words=12)
     long_good, long_bad = " ".join(good * 20), " ".join(bad * 20)
     rows = [*enumerate(good + bad), (1000, long_good), (1001, long_bad), (1002, None), (1003, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)

@@ -9,7 +9,7 @@ Counting is one scan that adds up at most ``BUCKETS`` rows; weighing is a second
 two tables of bucket counts reach the driver.  So that length itself neither helps nor hurts, the
 log weight is divided by the number of n-grams (``PRIOR`` more of even odds) to the power ``LENGTH_POWER``, which is 1: their mean.
 The score is this log weight over a temperature, plus standard Gumbel noise.  The temperature is ``TEMPERATURE`` times the distance of the quartiles
-of held-out good texts, so the noise has about the spread that weights have within the target, whatever their unit.  The k-th largest score is found by
+of held-out good texts, so the noise goes with the spread that weights have within the target, whatever their unit: at 1 it exceeds that spread, and the smaller it is, the more the draw is a ranking.  The k-th largest score is found by
 a few grouped counts over (id, score); nothing is sorted as a whole.
 
 k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on labelled
@@ -48,7 +48,7 @@ SMOOTHING = 1.0
 #: N-grams of even odds that temper the weights of short texts, and the power of the number of n-grams that weights are divided by.
 PRIOR, LENGTH_POWER = 100, 1.0
 #: Temperature of the draw, in distances of the quartiles of held-out good texts.
-TEMPERATURE = 0.5
+TEMPERATURE = 0.1
 LOT = 512
 
 
@@ -191,15 +191,15 @@ def floor_of(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cut) if below is None else float((cut + below) / 2)
 
 
-def temperature_of(good: np.ndarray) -> float:
+def temperature_of(good: np.ndarray, share: float = TEMPERATURE) -> float:
     """By the weights of held-out good texts; 1 where they are all alike or none."""
     if not len(good):
         return 1.0
     low, high = np.quantile(good, [0.25, 0.75])
-    return float(TEMPERATURE * (high - low)) or 1.0
+    return float(share * (high - low)) or 1.0
 
 
-def drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float, float]:
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float, float]:
     """The weights with their scores; the log ratios; the temperature; the least score that is drawn.
 
     k: None for the number of texts whose weight reaches the floor.  Floor and temperature are fitted on bounded
@@ -207,7 +207,7 @@ def drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, id_col:
     """
     weights, ratio, *ids = weigh(docs, labels, id_col, text_col)
     good, bad = held_out_weights(weights, *ids)
-    temperature = temperature_of(good)
+    temperature = temperature_of(good, share)
     scored = weights.withColumn("score", _score(F.col("mean_weight"), F.col("doc_id"), seed, temperature))
     if k is None:
         k = weights.filter(F.col("mean_weight") >= F.lit(floor_of(good, bad))).count()
@@ -226,18 +226,18 @@ def _labelled(good: np.ndarray, bad: np.ndarray):
     return run
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn: the k largest scores, with those that tie with the k-th."""
-    scored, _, _, least = drawn(docs, labels, k, seed, id_col, text_col)
+    scored, _, _, least = drawn(docs, labels, k, seed, temperature, id_col, text_col)
     return scored.filter(F.col("score") >= F.lit(least))
 
 
-def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are drawn, with the columns of docs.
 
     Texts are weighed once more in the scan that returns them, so no row is found again by its id.
     """
-    _, ratio, temperature, least = drawn(docs, labels, k, seed, id_col, text_col)
+    _, ratio, temperature, least = drawn(docs, labels, k, seed, temperature, id_col, text_col)
 
     @F.arrow_udf("double")
     def mean_weight(texts: pa.Array) -> pa.Array:

@@ -33,8 +33,8 @@ def test_the_draw_favours_weights_without_being_their_order(spark):
     labels = spark.createDataFrame([(i, int(i < 500), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
     scored = quality_classifier.resample(docs, labels, k=600)
     all_ = {r["doc_id"]: r["mean_weight"] for r in scored.collect()}
-    drawn = {r["doc_id"] for r in quality_classifier.resample(docs, labels, k=100).collect()}
-    other = {r["doc_id"] for r in quality_classifier.resample(docs, labels, k=100, seed=18).collect()}
+    drawn = {r["doc_id"] for r in quality_classifier.resample(docs, labels, k=100, temperature=0.5).collect()}
+    other = {r["doc_id"] for r in quality_classifier.resample(docs, labels, k=100, seed=18, temperature=0.5).collect()}
     best = set(sorted(all_, key=all_.get, reverse=True)[:100])
     assert len(drawn) == len(other) == 100 and drawn != other and 15 <= len(drawn & best) <= 85
     assert np.mean([all_[i] for i in drawn]) > np.mean([w for i, w in all_.items() if i < 500])

@@ -13,8 +13,10 @@ that shares fewer prefix shingles with all others together is out.  Nothing but
 *Second order: rarest first.*  For the sets that are left, all shingles are counted exactly
 (document frequency, ties by hash).  Shingles of one set alone come first and can't be
 shared, so a set whose own shingles fill its prefix is out, and two sets link only if both
-have enough shared ones (the bound on the overlap).  Candidates must share a prefix shingle
-under this order, too.
+have enough shared ones (the bound on the overlap).  Candidate pairs share a prefix shingle under this order.
+
+*Third order: unshared first, then by another hash.*  A candidate pair must share a prefix shingle under this
+order as well, or it isn't verified: the candidates are the intersection of the orders' filters.
 
 *Verification.*  A shingle that many sets show would give all pairs of them.  Instead the
 set with the fewest unshared shingles is its hub: pairs with it and with one more set, the same for
@@ -174,7 +176,11 @@ def _all_shingles(field: np.ndarray):
 
 
 def second_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc, n, its shared shingles rarest first, and how many of them its prefix has."""
+    """doc, n, its shared shingles rarest first (tokens), how many of them its prefix has (m), and the
+    prefix under the third order (other).
+
+    Under both orders the shingles of one set alone come first, so both prefixes have m shared ones.
+    """
     shingles = docs.mapInArrow(_all_shingles(id_filter(chosen)), "token long, doc long, n int")
     # Counted apart and joined, not in a window: counts are added up before they are shuffled, and a join's hot key is split.
     counts = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -185,9 +191,14 @@ def second_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         sets.withColumn("m", F.expr("n - (4 * n + 4) div 5 + 1 - (n - size(ranked))"))
         .filter("m > 0")
         .select("doc", "n", F.transform("ranked", lambda r: r["token"]).alias("tokens"), F.col("m").cast("int").alias("m"))
+        .withColumn("other", F.transform(F.slice(F.array_sort(F.transform("tokens", third_order)), F.lit(1), F.col("m")), lambda r: r["token"]))
     )
 
 
+def third_order(token: Column) -> Column:
+    return F.struct(F.xxhash64(token, F.lit(31)).alias("rank"), token.alias("token"))
+
+
 def may_link(na: str, ca: str, nb: str, cb: str) -> Column:
     """A link is possible by the sizes n and by c, the shared shingles from the common one on.
 
@@ -197,12 +208,17 @@ def may_link(na: str, ca: str, nb: str, cb: str) -> Column:
     return F.expr(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) AND (4 * ({na} + {nb}) + 8) div 9 <= least({ca}, {cb})")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one, two = (sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
+def candidates(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix shingle under the third order, too, with both sets (n, t)."""
+    one, two = (sets.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("other").alias(f"o{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
+    return both.filter(F.arrays_overlap("oa", "ob")).drop("oa", "ob")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, of those that pass the filter of the third order."""
     overlap = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(5 * overlap >= 4 * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
+    return candidates(pairs, sets).filter(5 * overlap >= 4 * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -655,3 +655,37 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(whole.columns) == sorted(now.columns)
     key = lambda df: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(whole) == key(now)
+
+
+def test_license_index_with_many_templates_and_other_capitals(spark):
+    """A few hundred made templates, and letters beyond A-Z, against places found by slices."""
+    rng = random.Random(51)
+    made = tuple(license_scan.Template(f"made-{k}", " ".join(f"v{rng.randrange(60)}" for _ in range(rng.randrange(1, 6)))) for k in range(300))
+    texts = [" ".join(f"V{rng.randrange(60)}" for _ in range(300)) for _ in range(10)] + ["v1", "v1 v1 v1", "", None, "İV1 v2"]
+    docs = documents(spark, texts + texts[:1])
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs, made).collect()}
+    for i, t in enumerate(texts + texts[:1]):
+        w = (t or "").translate(LOWER).split()
+        expected = {m.label for m in made if any(w[j : j + len(m.words)] == m.words for j in range(len(w)))}
+        assert set(got[i].split(",")) - {""} == expected, t
+    upper = license_scan.scan(documents(spark, ["ÜNDER the MIT license", "under the mİt license UNDER THE MIT LICENSE"])).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_base"], r["first_word"]) for r in upper] == [(4, 0, None), (8, 1, 4)]
+
+
+def test_pairs_must_pass_every_order(spark):
+    sets = spark.createDataFrame([(1, 5, [1, 2, 3, 4, 5], [1, 2]), (2, 5, [1, 2, 3, 4, 5], [2, 1]), (3, 5, [1, 6, 7, 8, 9], [8, 9])], "doc long, n int, tokens array<long>, other array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [(r["a"], r["b"]) for r in jaccard_join.candidates(pairs, sets).collect()] == [(1, 2)]
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    texts = [" ".join(f"x{rng.randrange(9)}" if rng.random() < 0.03 else w for w in base) for _ in range(60)]
+    docs = documents(spark, texts).select("doc_id", "text")
+    found = [r.asDict() for r in jaccard_join.second_order(docs, docs.select(F.col("doc_id").alias("doc"))).collect()]
+    linked = 0
+    for x in found:
+        for y in found:
+            common = len(set(x["tokens"]) & set(y["tokens"]))
+            if 5 * common >= 4 * (x["n"] + y["n"] - common):
+                linked += 1
+                assert set(x["other"]) & set(y["other"]) and set(x["tokens"][: x["m"]]) & set(y["tokens"][: y["m"]])
+    assert linked > len(found)

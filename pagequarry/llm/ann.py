@@ -8,16 +8,22 @@ product with the code divided by that scalar estimates the true one, with an err
 on the distance exceeds the k-th smallest upper bound are left out; all others are compared
 exactly, in double precision, with the original components.
 
-Every vector is indexed; only rotation and centroids are fitted, on a bounded sample.  A query
+Every vector is indexed; only rotation and centroids are fitted, on a bounded sample (mini-batches of it).  A query
 looks into the lists of its nearest centroids.  How many it must look into is measured: for a bounded sample of the
 queries the true neighbours are found by an exact scan of all rows, and the fewest lists that hold the wanted share
-of them are probed (all lists, where the data have no clusters).  Lists are cut into
-sub-lists and queries into blocks of bounded numbers, and a task joins one sub-list with one block
-of queries; so a list with a third of all vectors is many tasks.
+of them are probed (all lists, where the data have no clusters: then the estimates, not the vectors, are
+all pairs of queries and rows).
+
+The number of lists grows with the table: one for every ``LIST_ROWS`` vectors, from some millions on with the root of
+their number, up to a quarter of the sample (beyond that, at about 270 million vectors, lists grow longer).  Lists are cut into
+sub-lists and queries into blocks of bounded numbers, and a task joins the codes of one sub-list with one block
+of queries; so a list with a third of all vectors is many tasks.  Codes and scalars travel, packed; vectors stay where they are written until the
+survivors of all bounds are joined with them by id, and are compared exactly.  Within a task the bits are spread to signs, because a matrix
+product over them is faster here than counting bits one query at a time.
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold null or
 non-finite components take no part; equal distances go to the smaller id; repeated ids are
-candidates each; a query is no candidate of its own (all rows of its id are left out); an empty
+candidates each, and one query (the one of the least vector); a query is no candidate of its own (all rows of its id are left out); an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -34,9 +40,11 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Vectors that the centroids are fitted on, at most.
-SAMPLE = 50_000
-#: Vectors in a list, about; lists at most.
-LIST_ROWS, MAX_LISTS = 2_000, 4_096
+SAMPLE = 1 << 18
+#: Vectors in a list, about, in tables of up to some millions.
+LIST_ROWS = 2_000
+#: Vectors of a mini-batch, and passes over the sample.
+BATCH, PASSES = 8_192, 8
 #: Vectors in a sub-list and queries in a block, about.
 SUB_ROWS, BLOCK_QUERIES = 8_000, 512
 #: Queries that the number of probed lists is measured on, at most, and the recall they must reach.
@@ -65,28 +73,47 @@ def _matrix(column, d: int, kind=np.float64) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=kind).reshape(-1, d)
 
 
+def list_count(n: int) -> int:
+    """Lists for n vectors."""
+    return max(1, round(min(n / LIST_ROWS, 4 * math.sqrt(n), SAMPLE / 4)))
+
+
 def fit(rows: DataFrame, d: int, n_lists: int, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
     """A random rotation, and centroids of the vectors whose ids hash lowest (SAMPLE at most)."""
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(min(SAMPLE, max(1_000, 128 * n_lists)))
-    points = np.array([r["vector"] for r in sample.collect()], dtype=np.float64).reshape(-1, d)
-    centres = points[rng.permutation(len(points))[:n_lists]].copy()
-    for _ in range(8):
-        own = nearest_lists(points, centres, 1)[:, 0]
-        for k in range(len(centres)):
-            members = points[own == k]
-            if len(members):
-                centres[k] = members.mean(axis=0)
+    points = _matrix(sample.select("vector").toArrow().column(0), d, np.float32)
+    points = points[rng.permutation(len(points))]
+    centres = points[:n_lists].astype(np.float64)
+    seen = np.zeros(len(centres))
+    for turn in range(PASSES):
+        seen[:] = 0 if len(points) <= BATCH else seen * 0.5  # earlier centres weigh less and less
+        for k in range(0, len(points), BATCH):
+            part = points[k : k + BATCH]
+            own = nearest_lists(part, centres, 1)[:, 0]
+            n = np.bincount(own, minlength=len(centres))
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, part)
+            hit = n > 0
+            seen[hit] += n[hit]
+            centres[hit] += (sums[hit] - n[hit, None] * centres[hit]) / seen[hit, None]
     return rotation, centres
 
 
 def nearest_lists(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    out = []
-    for k in range(0, len(points), 4096):
-        part = points[k : k + 4096]
-        away = (centres**2).sum(axis=1)[None, :] - 2 * part @ centres.T
-        out.append(np.argsort(away, axis=1, kind="stable")[:, :n])
+    """The n nearest centres of each point, nearest first; a few megabytes of distances at a time."""
+    out, n = [], min(n, len(centres))
+    narrow, half = centres.astype(np.float32).T, ((centres**2).sum(axis=1) / 2).astype(np.float32)
+    step = max(1, (1 << 22) // max(1, len(centres)))
+    for k in range(0, len(points), step):
+        away = half[None, :] - points[k : k + step].astype(np.float32) @ narrow
+        if n == 1:
+            out.append(away.argmin(axis=1)[:, None])
+            continue
+        best = np.argpartition(away, n - 1, axis=1)[:, :n] if n < len(centres) else np.tile(np.arange(n), (len(away), 1))
+        order = np.lexsort((best, np.take_along_axis(away, best, axis=1)), axis=1)
+        out.append(np.take_along_axis(best, order, axis=1))
     return np.concatenate(out) if out else np.empty((0, n), dtype=np.int64)
 
 
@@ -145,15 +172,15 @@ def _nearest_of_sample(points: np.ndarray, ids: np.ndarray, k: int):
 
 def measured_probes(index: DataFrame, asked: DataFrame, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
     """The fewest lists that hold this share of the true neighbours of a sample of the queries."""
-    sample = asked.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(MEASURED).collect()
-    if not sample:
+    sample = asked.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(MEASURED).toArrow()
+    if not sample.num_rows:
         return 1
-    points, ids = np.array([r["vector"] for r in sample], dtype=np.float64), np.array([r["vec_id"] for r in sample])
+    points, ids = _matrix(sample.column("vector"), centres.shape[1]), sample.column("vec_id").to_numpy()
     near = index.select("vec_id", "vector", "list").mapInArrow(_nearest_of_sample(points, ids, k), "q int, away double, list int")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("away"))
-    true = near.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("away") < F.lit(float("inf")))).collect()
+    true = near.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("away") < F.lit(float("inf")))).select("q", "list").toArrow()  # MEASURED * k rows
     place = np.argsort(nearest_lists(points, centres, len(centres)), axis=1)
-    needed = np.sort([place[r["q"], r["list"]] + 1 for r in true])
+    needed = np.sort(place[true.column("q").to_numpy(), true.column("list").to_numpy()] + 1)
     return int(needed[math.ceil(recall * len(needed)) - 1]) if len(needed) else 1
 
 
@@ -172,28 +199,28 @@ def estimates(codes: np.ndarray, norms: np.ndarray, own: np.ndarray, queries: np
     return centre - slack, centre + slack
 
 
-def _search(rotation: np.ndarray, centres: np.ndarray, k: int):
+def _survivors(rotation: np.ndarray, centres: np.ndarray, k: int):
+    """Of the codes of one sub-list and the queries of one block: what may be among a query's k nearest."""
     d = len(rotation)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         if not index.num_rows or not asked.num_rows:
             return schema.empty_table()
-        vectors, ids = _matrix(index.column("vector"), d), index.column("vec_id").to_numpy()
+        ids = index.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(index.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         norms, own = index.column("norm").to_numpy(), index.column("own").to_numpy()
         queries, query_ids = _matrix(asked.column("query"), d), asked.column("query_id").to_numpy()
         centre = centres[index.column("list")[0].as_py()]
-        low, high = estimates(codes, norms, own, (queries - centre) @ rotation)
         found = []
-        for q, (below, above) in enumerate(zip(low, high, strict=True)):
-            other = ids != query_ids[q]
-            above = np.where(other, above, np.inf)
-            limit = np.partition(above, k - 1)[k - 1] if len(above) > k else np.inf
-            chosen = np.flatnonzero((below <= limit) & other)
-            away = np.sqrt(((vectors[chosen] - queries[q]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[chosen], away))[:k]
-            found.append((np.full(len(best), query_ids[q]), ids[chosen][best], away[best]))
+        for at in range(0, len(queries), 64):
+            some = query_ids[at : at + 64]
+            low, high = estimates(codes, norms, own, (queries[at : at + 64] - centre) @ rotation)
+            same = some[:, None] == ids[None, :]
+            low[same] = high[same] = np.inf
+            limit = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(some), 1), np.inf)
+            q, v = np.nonzero((low <= limit) & ~same)
+            found.append((some[q], ids[v], low[q, v], high[q, v]))
         return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], schema=schema)
 
     return run
@@ -207,25 +234,32 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pr
     """
     rows, d = usable(vectors, id_col, vector_col)
     asked = rows.filter(F.col("vec_id") % 100 == 0) if queries is None else usable(queries, id_col, vector_col)[0].filter(F.size("vector") == d)
-    result = "query_id long, vec_id long, score double"
     if not d:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = rows.count()
-    n_lists = min(MAX_LISTS, max(1, round(n / LIST_ROWS)))
-    rotation, centres = fit(rows, d, n_lists)
-    n_lists = len(centres)
+    asked = written(asked.groupBy("vec_id").agg(F.min("vector").alias("vector")), "ann-asked")
+    rotation, centres = fit(rows, d, list_count(rows.count()))
     kind = rows.schema["vector"].dataType.simpleString()
     index = written(rows.mapInArrow(_encode(rotation, centres), f"vec_id long, vector {kind}, list int, code binary, norm double, own double"), "ann-index")
-    probes = min(n_lists, probes or measured_probes(index, asked, centres, k))
+    probes = min(len(centres), probes or measured_probes(index, asked, centres, k))
     routed = written(asked.mapInArrow(_probe(centres, probes), f"query_id long, query {kind}, list int"), "ann-queries")
 
-    sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUB_ROWS).alias("subs"))
+    codes = index.drop("vector")
+    sizes = codes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUB_ROWS).alias("subs"))
     sizes = sizes.join(routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks")), "list")
-    sizes = F.broadcast(written(sizes, "ann-sizes"))  # a row per list
-    own_sub, own_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), "subs"), F.pmod(F.xxhash64("query_id", F.lit(2)), "blocks")
-    index = index.join(sizes, "list").withColumn("sub", own_sub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("subs", "blocks")
+    sizes = F.broadcast(written(sizes, "ann-sizes"))  # a row per list, SAMPLE / 4 at most
+    own_sub, own_block = F.pmod(F.xxhash64("vec_id", "code", F.lit(1)), "subs"), F.pmod(F.xxhash64("query_id", F.lit(2)), "blocks")
+    codes = codes.join(sizes, "list").withColumn("sub", own_sub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("subs", "blocks")
     routed = routed.join(sizes, "list").withColumn("block", own_block).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs", "blocks")
     keys = ["list", "sub", "block"]
-    pairs = index.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(_search(rotation, centres, k), result)
+    near = codes.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(_survivors(rotation, centres, k), "query_id long, vec_id long, low double, high double")
+    # The k-th least upper bound over all of a query's lists takes out most of what each list had to keep.
+    near = written(near, "ann-near")
+    by_high = Window.partitionBy("query_id").orderBy("high")
+    limits = near.select("query_id", "high", F.row_number().over(by_high).alias("nth")).filter(F.col("nth") <= k).groupBy("query_id")
+    limits = limits.agg(F.when(F.count(F.lit(1)) == k, F.max("high")).otherwise(float("inf")).alias("limit"))
+    near = near.join(limits, "query_id").filter(F.col("low") <= F.col("limit")).select("query_id", "vec_id").distinct()
+    pairs = near.join(index.select("vec_id", "vector"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+    squares = F.zip_with("vector", "query", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    scored = pairs.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,9 +16,10 @@ all pairs of queries and rows).
 
 The number of lists grows with the table: one for every ``LIST_ROWS`` vectors, from some millions on with the root of
 their number, up to a quarter of the sample (beyond that, at about 270 million vectors, lists grow longer).  Lists are cut into
-sub-lists and queries into blocks of bounded numbers, and a task joins the codes of one sub-list with one block
-of queries; so a list with a third of all vectors is many tasks.  Codes and scalars travel, packed; vectors stay where they are written until the
-survivors of all bounds are joined with them by id, and are compared exactly.  Within a task the bits are spread to signs, because a matrix
+sub-lists and queries into blocks of bounded numbers, and a task joins one sub-list with one block
+of queries; so a list with a third of all vectors is many tasks.  A vector travels once, beside its code; only lists that more than a block of
+queries look into are sent once per block.  The exact comparison is made in the same task: to send codes alone and join the survivors
+with their vectors costs more, as one-bit bounds leave many (see the README).  Within a task the bits are spread to signs, because a matrix
 product over them is faster here than counting bits one query at a time.
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold null or
@@ -46,7 +47,9 @@ LIST_ROWS = 2_000
 #: Vectors of a mini-batch, and passes over the sample.
 BATCH, PASSES = 8_192, 8
 #: Vectors in a sub-list and queries in a block, about.
-SUB_ROWS, BLOCK_QUERIES = 8_000, 512
+SUB_ROWS, BLOCK_QUERIES = 8_000, 16_384
+#: Queries whose bounds a task holds at once.
+AT_ONCE = 64
 #: Queries that the number of probed lists is measured on, at most, and the recall they must reach.
 MEASURED, RECALL = 128, 0.98
 #: Width of the error bound in standard deviations.
@@ -199,28 +202,31 @@ def estimates(codes: np.ndarray, norms: np.ndarray, own: np.ndarray, queries: np
     return centre - slack, centre + slack
 
 
-def _survivors(rotation: np.ndarray, centres: np.ndarray, k: int):
-    """Of the codes of one sub-list and the queries of one block: what may be among a query's k nearest."""
+def _search(rotation: np.ndarray, centres: np.ndarray, k: int):
+    """The k nearest of one sub-list for each query of one block."""
     d = len(rotation)
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(index: pa.Table, asked: pa.Table) -> pa.Table:
         if not index.num_rows or not asked.num_rows:
             return schema.empty_table()
-        ids = index.column("vec_id").to_numpy()
+        vectors, ids = _matrix(index.column("vector"), d), index.column("vec_id").to_numpy()
         codes = np.frombuffer(b"".join(index.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         norms, own = index.column("norm").to_numpy(), index.column("own").to_numpy()
         queries, query_ids = _matrix(asked.column("query"), d), asked.column("query_id").to_numpy()
         centre = centres[index.column("list")[0].as_py()]
         found = []
-        for at in range(0, len(queries), 64):
-            some = query_ids[at : at + 64]
-            low, high = estimates(codes, norms, own, (queries[at : at + 64] - centre) @ rotation)
+        for at in range(0, len(queries), AT_ONCE):
+            some = query_ids[at : at + AT_ONCE]
+            low, high = estimates(codes, norms, own, (queries[at : at + AT_ONCE] - centre) @ rotation)
             same = some[:, None] == ids[None, :]
             low[same] = high[same] = np.inf
-            limit = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(some), 1), np.inf)
-            q, v = np.nonzero((low <= limit) & ~same)
-            found.append((some[q], ids[v], low[q, v], high[q, v]))
+            limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(some), np.inf)
+            for j, query in enumerate(queries[at : at + AT_ONCE]):
+                chosen = np.flatnonzero((low[j] <= limit[j]) & ~same[j])
+                away = np.sqrt(((vectors[chosen] - query) ** 2).sum(axis=1))
+                best = np.lexsort((ids[chosen], away))[:k]
+                found.append((np.full(len(best), some[j]), ids[chosen][best], away[best]))
         return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], schema=schema)
 
     return run
@@ -243,23 +249,13 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pr
     probes = min(len(centres), probes or measured_probes(index, asked, centres, k))
     routed = written(asked.mapInArrow(_probe(centres, probes), f"query_id long, query {kind}, list int"), "ann-queries")
 
-    codes = index.drop("vector")
-    sizes = codes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUB_ROWS).alias("subs"))
+    sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUB_ROWS).alias("subs"))
     sizes = sizes.join(routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks")), "list")
     sizes = F.broadcast(written(sizes, "ann-sizes"))  # a row per list, SAMPLE / 4 at most
     own_sub, own_block = F.pmod(F.xxhash64("vec_id", "code", F.lit(1)), "subs"), F.pmod(F.xxhash64("query_id", F.lit(2)), "blocks")
-    codes = codes.join(sizes, "list").withColumn("sub", own_sub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("subs", "blocks")
+    index = index.join(sizes, "list").withColumn("sub", own_sub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("subs", "blocks")
     routed = routed.join(sizes, "list").withColumn("block", own_block).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs", "blocks")
     keys = ["list", "sub", "block"]
-    near = codes.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(_survivors(rotation, centres, k), "query_id long, vec_id long, low double, high double")
-    # The k-th least upper bound over all of a query's lists takes out most of what each list had to keep.
-    near = written(near, "ann-near")
-    by_high = Window.partitionBy("query_id").orderBy("high")
-    limits = near.select("query_id", "high", F.row_number().over(by_high).alias("nth")).filter(F.col("nth") <= k).groupBy("query_id")
-    limits = limits.agg(F.when(F.count(F.lit(1)) == k, F.max("high")).otherwise(float("inf")).alias("limit"))
-    near = near.join(limits, "query_id").filter(F.col("low") <= F.col("limit")).select("query_id", "vec_id").distinct()
-    pairs = near.join(index.select("vec_id", "vector"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
-    squares = F.zip_with("vector", "query", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    scored = pairs.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    pairs = index.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(_search(rotation, centres, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,8 @@ article (scripts, forms, navigation, page headers and footers, adverts, notices,
 reader comments, hidden parts) are taken out.  By class and id this takes a whole name of
 such a part on a box that is short or mostly links (adverts and reader comments: of any length); boxes
 that merely have such a word in their names are left out of the choice, but stay inside the
-container chosen.  Then each paragraph passes points
+container chosen.  A form that wraps the page (half of its text and a paragraph) is a container; any other form goes.  A ``header``
+inside an article is the head of that article if it has a heading, and stays; else, and anywhere else, it goes.  Then each paragraph passes points
 for its length and its commas to its ancestors, the whole to the parent and less
 to each one above; an ancestor's points are discounted by its link density.  The
 best container is kept, with the siblings that score well beside it; a container
@@ -50,7 +51,7 @@ P_STOPS = frozenset("article aside blockquote body button caption dd details dia
 
 #: Never part of an article, by tag and by role.
 NEVER_TAGS = frozenset(
-    "head script style noscript template iframe object embed applet canvas svg math audio video map form button input select textarea label fieldset"
+    "head script style noscript template iframe object embed applet canvas svg audio video map form button input select textarea"
     " nav header footer aside menu dialog".split()
 )
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status note".split())
@@ -99,15 +100,23 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#page", {}, None)
+        #: Open elements by tag, so that an end tag without a start is known without a walk.
+        self.open: dict[str, int] = {}
+
+    def _up_to(self, node: Node) -> None:
+        """Close the open elements below node's parent."""
+        end = node.parent
+        while self.at is not end:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags, stops) -> None:
         node = self.at
-        while node.parent is not None and node.tag not in stops:
+        while node.parent is not None and node.tag not in stops and any(self.open.get(t) for t in tags):
+            above = node.parent
             if node.tag in tags:
-                self.at = node.parent
-                node = self.at
-                continue
-            node = node.parent
+                self._up_to(node)
+            node = above
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P:
@@ -118,17 +127,18 @@ class Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # as browsers do, "/" counts for void elements only
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):
+            return
         node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self.at = node.parent
-                return
+        while node.tag != tag:
             node = node.parent
+        self._up_to(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -171,7 +181,7 @@ def _shares(root: Node) -> dict[int, tuple[int, int, bool, bool]]:
     """By node: length of its text and of that in links, whether an article or main and whether a p is below or with it."""
     out: dict[int, tuple[int, int, bool, bool]] = {}
     for node in reversed(list(nodes(root))):
-        if node.tag in NEVER_TAGS:
+        if node.tag in NEVER_TAGS and node.tag != "form":
             out[id(node)] = (0, 0, False, False)
             continue
         text, link, article, p = 0, 0, node.tag in ARTICLES, node.tag == "p"
@@ -267,6 +277,16 @@ def is_doubtful(node: Node, shares: dict, total: int) -> bool:
     return bool(by_class) or not _opens_with(node, bad, shares)
 
 
+def goes(node: Node, inside: bool, shares: dict, total: int) -> bool:
+    """Whether the tag of a node is that of a part of the page; inside: in an article."""
+    if node.tag == "form":
+        text, _, _, p = shares[id(node)]
+        return not (p and 2 * text >= total)
+    if node.tag == "header" and inside:
+        return not any(c.tag in HEADINGS for c in nodes(node))
+    return node.tag in NEVER_TAGS
+
+
 def strip(root: Node) -> None:
     """Take out what is never part of an article; mark what is in doubt."""
     shares = _shares(root)
@@ -280,7 +300,7 @@ def strip(root: Node) -> None:
                 kept.append(child)
                 continue
             tag = child.tag
-            if tag in NEVER_TAGS or child.attrs and (is_hidden(child) or child.attrs.get("role", "").lower() in NEVER_ROLES):
+            if tag in NEVER_TAGS and goes(child, inside, shares, total) or child.attrs and (is_hidden(child) or child.attrs.get("role", "").lower() in NEVER_ROLES and tag != "form" and not (tag == "header" and inside)):
                 continue
             if child.attrs and ("class" in child.attrs or "id" in child.attrs):
                 if is_part(child, shares, total):
@@ -342,6 +362,14 @@ def score(root: Node) -> tuple[list[Node], dict[int, tuple[int, int]]]:
     return found, size
 
 
+def beside(node: Node | str, chosen: Node, size: dict[int, tuple[int, int]]) -> bool:
+    """Whether node is one more article of the page beside the chosen one."""
+    if isinstance(node, str) or node.doubt or node.tag != chosen.tag or not is_article(node):
+        return False
+    text, link = size[id(node)]
+    return 2 * link < text and 5 * text >= size[id(chosen)][0]
+
+
 def pick(root: Node) -> list[Node]:
     """The best container, or it and its good siblings, in page order."""
     found, size = score(root)
@@ -351,7 +379,7 @@ def pick(root: Node) -> list[Node]:
     at = best
     while at is not None:
         if is_article(at):
-            return [at]
+            return [at] if at.parent is None else [c for c in at.parent.children if c is at or beside(c, at, size)]
         at = at.parent
     if best.parent is None or best.tag == "body":
         return [best]

@@ -431,6 +431,41 @@ def test_names_of_parts_take_no_text_of_the_article(case):
     assert html_main.main_text(html) == "\n\n".join(t.strip() for t in expected)
 
 
+#: Article text in elements that are parts of the page elsewhere.
+KEPT = [
+    (f"<body><form id=aspnetForm><div class=content><p>{LONG}<p>{LONG}</div><input name=q><label>Search</label></form></body>", [LONG, f"{LONG}"]),
+    ("<main><article>One</article><article>Two</article></main>", ["One", "Two"]),
+    (f"<main><article><p>{LONG}</article><article><a href=/x>Another story of the site, with a long title</a></article></main>", [LONG]),
+    (f"<article><h1 class=header>Head</h1><p>See <a class=related href=/m>the manual</a> for more. Please <span class=follow>follow</span> these steps.<p>{LONG}</article>",
+     ["Head", "See the manual for more. Please follow these steps.", LONG]),
+    (f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and press <label>OK</label>.<fieldset><p>{LONG}</fieldset></article>", ["Let x=1 and press OK.", LONG]),
+    (f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By A. Writer</p><nav>x</nav></header><p>{LONG}</article>", ["Title", "By A. Writer", LONG]),
+    (f"<article><header>Menu of the page</header><p>{LONG}<form><label>Mail</label><input></form></article>", [LONG]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(KEPT)))
+def test_the_article_keeps_its_text(case):
+    html, expected = KEPT[case]
+    found = html_main.main_text(html)
+    assert found.removesuffix("\n\nSearch") == "\n\n".join(t.strip() for t in expected)
+
+
+def test_pages_of_an_empty_table_and_repeated_pages(spark):
+    rows = [(1, "u", "<article><p>a</article>"), (1, "u", "<article><p>a</article>"), (2, None, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("x"))
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_main.extract_text(df).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
+    assert html_main.extract_text(df.limit(0)).count() == 0
+
+
+def test_hostile_end_tags_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    assert html_main.main_text("<span>" * 20_000 + "</b>" * 20_000 + "<p>x" * 20_000) == "\n\n".join(["x"] * 20_000)
+    assert time.perf_counter() - began < 20
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<", ">", "!", "[", "p", "div", "/", '"', "'", "=", "&", "#x", "-", "--", "a ", "]", "?", "script", "article", "class=ad "]), max_size=30))
 def test_any_markup_gives_a_text(pieces):

@@ -106,18 +106,25 @@ def content_score(n_p: int, n_h: int, n_code: int, n_text: int) -> float:
     return 2 * n_p + 3 * n_h + 2 * n_code + min(n_text / 100, 10)
 
 
+def _places(page: Element, tags: tuple[str, ...]) -> list[int]:
+    """Where the tags stand in a numbered tree."""
+    return sorted(k for tag in tags for k in page.numbering.tags.get(tag, []))
+
+
 def generic_node(page: Element) -> tuple[Element | None, str]:
     for selector in rules.CONTENT_SELECTORS:
         node = dom.select_one(page, selector)
         if node is not None:
             return node, f"priority_selector:{selector}"
     best = None
+    page = page if page.is_numbered else dom.numbered(page)
+    counted, lengths = [_places(page, tags) for tags in (("p",), HEADS, ("pre", "code"))], page.numbering.text_lengths()
     for div in page.find_all("div"):
         if set(div.classes) & set(rules.UNSCORED_CLASSES):
             continue
-        n_p, n_h, n_code = len(div.find_all("p")), len(div.find_all(*HEADS)), len(div.find_all("pre", "code"))
+        n_p, n_h, n_code = (dom.count_within(places, div) for places in counted)
         if n_p + n_h + n_code:
-            points = content_score(n_p, n_h, n_code, len(div.stripped()))
+            points = content_score(n_p, n_h, n_code, lengths[div.at])
             if best is None or points > best[0]:
                 best = points, div
     if best is not None:
@@ -127,9 +134,7 @@ def generic_node(page: Element) -> tuple[Element | None, str]:
 
 
 def generic_clean(node: Element) -> None:
-    for selector in rules.NOISE_SELECTORS:
-        for noise in dom.select(node, selector):
-            noise.remove()
+    dom.remove_all(node, rules.NOISE_SELECTORS)
     for block in node.find_all("p", "div"):
         if not block.stripped() and block.find("img", "svg") is None:
             block.remove()
@@ -141,6 +146,8 @@ def generic_clean(node: Element) -> None:
         if pre.find("code") is None and len(pre.children) == 1 and isinstance(pre.children[0], str):
             code = Element("code", parent=pre)
             code.children, pre.children = pre.children, [code]
+            pre.changed()
+    dom.numbered(node)
 
 
 def generic(page: Element | None) -> dict:
@@ -180,10 +187,12 @@ def wiki_node(page: Element) -> tuple[Element | None, str]:
         if node is not None and len(node.stripped()) > 100:
             return node, f"selector:{selector}"
     best = None
+    page = page if page.is_numbered else dom.numbered(page)
+    excluded, links, lengths = sorted({n.at for s in rules.WIKI_EXCLUDED for n in dom.select(page, s)}), _places(page, ("a",)), page.numbering.text_lengths()
     for div in page.find_all("div"):
-        if not div.classes or any(dom.select_one(div, s) is not None for s in rules.WIKI_EXCLUDED):
+        if not div.classes or dom.count_within(excluded, div):
             continue
-        n_text, n_links, n_below = len(div.stripped()), len(div.find_all("a")), sum(1 for _ in div.walk())
+        n_text, n_links, n_below = lengths[div.at], dom.count_within(links, div), div.end - div.at - 1
         if n_text < 200 or (n_links > 15 and n_links > n_text / 100) or not n_below:
             continue
         points = 0.8 * n_text + 0.2 * (n_text / n_below) * 10
@@ -196,26 +205,22 @@ def wiki_node(page: Element) -> tuple[Element | None, str]:
 
 
 def wiki_clean(node: Element) -> None:
-    for selector in (*rules.WIKI_EXCLUDED, *rules.WIKI_EDIT_LINKS):
-        for x in dom.select(node, selector):
-            x.remove()
+    dom.remove_all(node, (*rules.WIKI_EXCLUDED, *rules.WIKI_EDIT_LINKS))
+    dom.numbered(node)
     for element in (node, *list(node.walk())):
         element.children = [c for c in element.children if not (isinstance(c, dom.Comment) or isinstance(c, str) and "<!--" in c)]
-    for x in node.find_all("script", "style", "iframe"):
-        x.remove()
-    for name in rules.WIKI_DROPPED_CLASSES:
-        for x in dom.select(node, f".{name}"):
-            x.remove()
+    dom.remove_all(node, ("script", "style", "iframe", *(f".{name}" for name in rules.WIKI_DROPPED_CLASSES)))
     for a in node.find_all("a"):
         href = a.get("href") or ""
         if ("edit" in href or "github.com" in href or "gitlab.com" in href) and len(a.stripped()) < 30:
             a.remove()
-    for div in node.find_all("div"):
-        kind = next((k for k in rules.ADMONITIONS if k in (div.get("class") or "").lower()), None)
-        if kind and div.find("strong", "b") is None:
-            strong = Element("strong")
-            strong.append(f"{kind.capitalize()}: ")
-            div.insert(0, strong)
+    dom.numbered(node)
+    kinds = ((div, next((k for k in rules.ADMONITIONS if k in (div.get("class") or "").lower()), None)) for div in node.find_all("div"))
+    for div, kind in [(div, kind) for div, kind in kinds if kind and div.find("strong", "b") is None]:
+        strong = Element("strong")
+        strong.append(f"{kind.capitalize()}: ")
+        div.insert(0, strong)
+    dom.numbered(node)
 
 
 def wiki_code_blocks(node: Element) -> list[dict]:

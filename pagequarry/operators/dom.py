@@ -3,11 +3,15 @@
 The tree is the one of a plain tag parser: no implied end tags (unclosed paragraphs nest), an end
 tag closes its nearest open match, stray ones are ignored, void elements close themselves,
 of repeated attributes the last wins.  It lives inside Python operators only, never in a column.
+
+A tree that isn't changed is numbered in document order, so what is below a node is a range, and tags, classes and ids are looked up;
+a change makes its nodes walk until the part still needed is numbered again (``numbered``).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -32,15 +36,88 @@ class Instruction(Comment):
     form = "<?{}>"
 
 
+class Numbering:
+    """The elements of a tree in document order, and where each tag, class and id stands."""
+
+    __slots__ = ("_classes", "_ids", "_tags", "_texts", "nodes", "valid")
+
+    def __init__(self, nodes: list[Element]):
+        self.nodes, self.valid = nodes, True
+        self._tags = self._classes = self._ids = self._texts = None
+
+    @property
+    def tags(self) -> dict[str, list[int]]:
+        if self._tags is None:
+            self._tags = {}
+            for k, node in enumerate(self.nodes):
+                self._tags.setdefault(node.tag, []).append(k)
+        return self._tags
+
+    @property
+    def classes(self) -> dict[str, list[int]]:
+        if self._classes is None:
+            self._classes = {}
+            for k, node in enumerate(self.nodes):
+                if "class" in node.attrs:
+                    for name in set(node.classes):
+                        self._classes.setdefault(name, []).append(k)
+        return self._classes
+
+    @property
+    def ids(self) -> dict[str, list[int]]:
+        if self._ids is None:
+            self._ids = {}
+            for k, node in enumerate(self.nodes):
+                if "id" in node.attrs:
+                    self._ids.setdefault(node.attrs["id"], []).append(k)
+        return self._ids
+
+    def text_lengths(self) -> list[int]:
+        """By node: characters of its own stripped strings and of those below, in one pass from the end."""
+        if self._texts is None:
+            own = [0] * len(self.nodes)
+            for k in range(len(self.nodes) - 1, -1, -1):
+                node = self.nodes[k]
+                for child in node.children:
+                    if isinstance(child, Element):
+                        own[k] += 0 if child.tag in SILENT else own[child.at]
+                    elif not isinstance(child, Comment):
+                        own[k] += len(child.strip())
+            self._texts = own
+        return self._texts
+
+
+def within(places: list[int], node: Element) -> list[int]:
+    """Of ascending places those below node."""
+    return places[bisect_left(places, node.at + 1) : bisect_left(places, node.end)]
+
+
+def count_within(places: list[int], node: Element) -> int:
+    return bisect_left(places, node.end) - bisect_left(places, node.at + 1)
+
+
 class Element:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("at", "attrs", "children", "end", "numbering", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict | None = None, parent: Element | None = None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs or {}, parent, []
+        self.numbering: Numbering | None = None
+
+    @property
+    def is_numbered(self) -> bool:
+        return self.numbering is not None and self.numbering.valid
+
+    def changed(self) -> None:
+        """What was numbered with this node isn't any more."""
+        if self.numbering is not None:
+            self.numbering.valid = False
 
     # -- walking
     def walk(self) -> Iterator[Element]:
         """Elements below this one, in document order; the tree must not change meanwhile."""
+        if self.is_numbered:
+            yield from self.numbering.nodes[self.at + 1 : self.end]
+            return
         stack = [c for c in reversed(self.children) if isinstance(c, Element)]
         while stack:
             node = stack.pop()
@@ -48,9 +125,16 @@ class Element:
             stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
 
     def find_all(self, *tags: str) -> list[Element]:
+        if self.is_numbered:
+            nodes, places = self.numbering.nodes, self.numbering.tags
+            found = [k for tag in tags if tag in places for k in within(places[tag], self)]
+            return [nodes[k] for k in (found if len(tags) == 1 else sorted(found))]
         return [n for n in self.walk() if n.tag in tags]
 
     def find(self, *tags: str) -> Element | None:
+        if self.is_numbered:
+            found = self.find_all(*tags)
+            return found[0] if found else None
         return next((n for n in self.walk() if n.tag in tags), None)
 
     def ancestors(self) -> Iterator[Element]:
@@ -91,15 +175,18 @@ class Element:
     # -- changing
     def remove(self) -> None:
         if self.parent is not None:
+            self.changed()
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
     def append(self, node) -> None:
+        self.changed()
         if isinstance(node, Element):
             node.parent = self
         self.children.append(node)
 
     def insert(self, at: int, node) -> None:
+        self.changed()
         if isinstance(node, Element):
             node.parent = self
         self.children.insert(at, node)
@@ -143,6 +230,8 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("[document]")
+        #: Open elements by tag, so that an end tag without a start is known without a walk.
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         values = {}
@@ -154,6 +243,7 @@ class _Builder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -161,12 +251,14 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None:
+        if not self.open.get(tag):
+            return
+        while True:
+            node = self.at
+            self.open[node.tag] -= 1
+            self.at = node.parent
             if node.tag == tag:
-                self.at = node.parent
                 return
-            node = node.parent
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -193,7 +285,28 @@ def parse(html: str) -> Element:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    return numbered(builder.root)
+
+
+def numbered(top: Element) -> Element:
+    """top, with all below it numbered in document order."""
+    nodes: list[Element] = []
+    numbering = Numbering(nodes)
+    stack: list[tuple[Element, bool]] = [(top, False)]
+    while stack:
+        node, done = stack.pop()
+        if done:
+            node.end = len(nodes)
+            continue
+        node.numbering, node.at = numbering, len(nodes)
+        nodes.append(node)
+        below = [(c, False) for c in node.children if isinstance(c, Element)]
+        if below:
+            stack.append((node, True))
+            stack.extend(reversed(below))
+        else:
+            node.end = len(nodes)
+    return top
 
 
 # -- selectors: tag, .class, #id, [attr], [attr='v'], [attr^='v'], :first-of-type, descendants, lists
@@ -248,23 +361,59 @@ def _passes(node: Element, tests) -> bool:
     return True
 
 
+def _holds(node: Element, row) -> bool:
+    """Whether the last compound holds for the node and the others for ancestors, in order."""
+    if not _passes(node, row[-1]):
+        return False
+    above, k = node.parent, len(row) - 2
+    while k >= 0 and above is not None:
+        if above.tag != "[document]" and _passes(above, row[k]):
+            k -= 1
+        above = above.parent
+    return k < 0
+
+
 def matches(node: Element, selector: str) -> bool:
-    for row in _compiled(selector):
-        if not _passes(node, row[-1]):
-            continue
-        above, k = node.parent, len(row) - 2
-        while k >= 0 and above is not None:
-            if above.tag != "[document]" and _passes(above, row[k]):
-                k -= 1
-            above = above.parent
-        if k < 0:
-            return True
-    return False
+    return any(_holds(node, row) for row in _compiled(selector))
+
+
+def _candidates(top: Element, tests) -> list[int]:
+    """Places below top where a compound may hold, by its most telling test."""
+    numbering = top.numbering
+    for kind, name, value in tests:
+        if kind == "is" and name == "id":
+            return within(numbering.ids.get(value, []), top)
+    for kind, places in (("class", "classes"), ("tag", "tags")):
+        for own, name, _ in tests:
+            if own == kind:
+                return within(getattr(numbering, places).get(name, []), top)
+    return list(range(top.at + 1, top.end))
 
 
 def select(top: Element, selector: str) -> list[Element]:
-    return [n for n in top.walk() if matches(n, selector)]
+    if not top.is_numbered:
+        return [n for n in top.walk() if matches(n, selector)]
+    nodes = top.numbering.nodes
+    found = {k for row in _compiled(selector) for k in _candidates(top, row[-1]) if _holds(nodes[k], row)}
+    return [nodes[k] for k in sorted(found)]
 
 
 def select_one(top: Element, selector: str) -> Element | None:
-    return next((n for n in top.walk() if matches(n, selector)), None)
+    if not top.is_numbered:
+        return next((n for n in top.walk() if matches(n, selector)), None)
+    nodes = top.numbering.nodes
+    firsts = [next((k for k in _candidates(top, row[-1]) if _holds(nodes[k], row)), None) for row in _compiled(selector)]
+    first = min((k for k in firsts if k is not None), default=None)
+    return None if first is None else nodes[first]
+
+
+def remove_all(top: Element, selectors: tuple[str, ...]) -> None:
+    """Take out whatever is below top and matches one of the selectors, which must not look at ancestors."""
+    found = {id(node): node for selector in selectors for node in select(top, selector)}
+    parents = {id(node.parent): node.parent for node in found.values()}
+    for parent in parents.values():
+        parent.children = [c for c in parent.children if id(c) not in found]
+    for node in found.values():
+        node.parent = None
+    if found:
+        top.changed()

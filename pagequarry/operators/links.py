@@ -35,8 +35,29 @@ def _joined(base: str, href: str) -> str | None:
 
 
 class _Out:
-    def __init__(self):
+    """The links of a page, with the texts, URLs and depths that several groups ask for."""
+
+    def __init__(self, base: str):
         self.rows: list[dict] = []
+        self.base = base
+        self._texts: dict[int, str] = {}
+        self._urls: dict[str, str | None] = {}
+        self._depths: dict[str, int] = {}
+
+    def text(self, a: Element) -> str:
+        if id(a) not in self._texts:
+            self._texts[id(a)] = a.stripped()
+        return self._texts[id(a)]
+
+    def url(self, href: str) -> str | None:
+        if href not in self._urls:
+            self._urls[href] = _joined(self.base, href)
+        return self._urls[href]
+
+    def depth(self, url: str) -> int:
+        if url not in self._depths:
+            self._depths[url] = path_depth(url)
+        return self._depths[url]
 
     def add(self, group: int, url: str | None, text: str, kind: str, priority: float, depth: int | None, **more) -> None:
         if url is None:
@@ -65,24 +86,24 @@ def pagination_kind(text: str, title: str, classes: list[str], rel: list[str]) -
 
 
 def generic(page: Element, base: str) -> list[dict]:
-    out = _Out()
+    out = _Out(base)
     for rank, selector in enumerate(rules.NAV_SELECTORS):
         found = dom.select(page, selector)
         for i, nav in enumerate(found):
             priority = rank + 1 + (0.1 * i if len(found) > 1 else 0)
             for a in nav.find_all("a"):
-                if (href := _generic_href(a)) and (url := _joined(base, href)):
-                    out.add(0, url, a.stripped(), "navigation", priority, path_depth(url), source_selector=selector)
+                if (href := _generic_href(a)) and (url := out.url(href)):
+                    out.add(0, url, out.text(a), "navigation", priority, out.depth(url), source_selector=selector)
     for rank, selector in enumerate(rules.CONTENT_LINK_SELECTORS):
         for a in dom.select(page, selector):
-            if (href := _generic_href(a)) and (url := _joined(base, href)):
-                out.add(1, url, a.stripped(), "content", 10 + rank, path_depth(url), source_selector=selector)
+            if (href := _generic_href(a)) and (url := out.url(href)):
+                out.add(1, url, out.text(a), "content", 10 + rank, out.depth(url), source_selector=selector)
     for a in page.find_all("a"):
-        if not (href := _generic_href(a)) or not (url := _joined(base, href)):
+        if not (href := _generic_href(a)) or not (url := out.url(href)):
             continue
-        kind = pagination_kind(a.stripped(), a.get("title") or "", a.classes, a.values("rel"))
+        kind = pagination_kind(out.text(a), a.get("title") or "", a.classes, a.values("rel"))
         if kind:
-            out.add(2, url, a.stripped(), kind, 5 if kind == "pagination_next" else 8, path_depth(url))
+            out.add(2, url, out.text(a), kind, 5 if kind == "pagination_next" else 8, out.depth(url))
     return out.rows
 
 
@@ -128,14 +149,14 @@ def looks_like_doc(url: str, text: str, base: str) -> bool:
 
 
 def wiki(page: Element, base: str) -> list[dict]:
-    out = _Out()
+    out = _Out(base)
     for selector in rules.WIKI_NAV_SELECTORS:
         for nav in dom.select(page, selector):
             for a in nav.find_all("a"):
-                if (href := _wiki_href(a)) and (url := _joined(base, href)):
+                if (href := _wiki_href(a)) and (url := out.url(href)):
                     depth, active = nav_depth(a), is_active(a)
                     heading = a.parent is not None and a.parent.tag in HEADS | {"strong"}
-                    out.add(0, url, a.stripped(), "navigation", wiki_priority(a.stripped(), href, depth, active, heading), depth, source_selector=selector, is_active=active, is_heading=heading)
+                    out.add(0, url, out.text(a), "navigation", wiki_priority(out.text(a), href, depth, active, heading), depth, source_selector=selector, is_active=active, is_heading=heading)
     area = page.find("body")
     for selector in rules.WIKI_AREA_SELECTORS:
         found = dom.select(page, selector)
@@ -143,16 +164,16 @@ def wiki(page: Element, base: str) -> list[dict]:
             area = max(found, key=lambda n: len(n.stripped()))
             break
     for a in area.find_all("a") if area is not None else []:
-        if (href := _wiki_href(a)) and (url := _joined(base, href)) and looks_like_doc(url, a.stripped(), base):
+        if (href := _wiki_href(a)) and (url := out.url(href)) and looks_like_doc(url, out.text(a), base):
             kind = container(a)
-            out.add(1, url, a.stripped(), "content", 5 if kind == "heading" else 3, 0, container_type=kind, is_heading=kind == "heading")
+            out.add(1, url, out.text(a), "content", 5 if kind == "heading" else 3, 0, container_type=kind, is_heading=kind == "heading")
     for selector in rules.WIKI_RELATED_SELECTORS:
         for section in dom.select(page, selector):
             head = section.find(*sorted(HEADS))
             title = head.stripped() if head is not None else section.get("aria-label") or section.get("title") or ""
             for a in section.find_all("a"):
-                if (href := _wiki_href(a)) and (url := _joined(base, href)):
-                    out.add(2, url, a.stripped(), "related", 7, None, source_selector=selector, section_title=title)
+                if (href := _wiki_href(a)) and (url := out.url(href)):
+                    out.add(2, url, out.text(a), "related", 7, None, source_selector=selector, section_title=title)
     return out.rows
 
 
@@ -165,10 +186,15 @@ def dedupe_then_filter(links: DataFrame) -> DataFrame:
     return links.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth").filter(urls.should_follow("url", "page_url", "text"))
 
 
+def by_page(links: DataFrame) -> DataFrame:
+    """The links dealt by page: windows and groups over a page's URLs need no further exchange."""
+    return links.repartition("page_id")
+
+
 def merge_wiki(links: DataFrame) -> DataFrame:
     """Wiki links: the first of each URL in a group, then one row per page and URL.
 
-    The row with the strictly higher priority wins, in the first one's position; its source_type lists
+    page_url, where it is given, comes along.  The row with the strictly higher priority wins, in the first one's position; its source_type lists
     the running winners, the latest first.
     """
     in_group = Window.partitionBy("page_id", "url", "group_ix").orderBy("seq")
@@ -178,9 +204,10 @@ def merge_wiki(links: DataFrame) -> DataFrame:
     rows = rows.withColumn("best_before", F.max("priority").over(earlier)).withColumn("position", F.min("seq").over(all_groups))
     winners = rows.filter("best_before IS NULL OR priority > best_before")
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("group_ix")).alias("k"), F.col("type").alias("t")))), lambda x: x["t"])
-    record = F.struct(*[c for c in links.columns if c not in ("page_id", "url")])
-    merged = winners.groupBy("page_id", "url").agg(F.max_by(record, "group_ix").alias("r"), F.array_join(names, ",").alias("source_type"), F.first("position").alias("position"))
-    return merged.select("page_id", "url", "source_type", "position", "r.*")
+    record = F.struct(*[c for c in links.columns if c not in ("page_id", "page_url", "url")])
+    keys = [c for c in ("page_id", "page_url", "url") if c in links.columns]
+    merged = winners.groupBy(*keys).agg(F.max_by(record, "group_ix").alias("r"), F.array_join(names, ",").alias("source_type"), F.first("position").alias("position"))
+    return merged.select(*keys, "source_type", "position", "r.*")
 
 
 def documentation_only(links: DataFrame) -> DataFrame:

@@ -49,6 +49,19 @@ def extract_page(html: str | None, url: str, strategy: tuple[ContentStrategy, Li
     return out
 
 
+#: Bytes for each core below which pages are dealt out anew: so small a table may lie in one row group, which is one task.
+SMALL = 64 << 20
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """A small table over all cores; a large one as its files are split, without an exchange."""
+    if pages.isStreaming:
+        return pages
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.repartition(2 * cores) if size < SMALL * cores else pages
+
+
 def extract(pages: DataFrame, mode: str = "generic", with_content: bool = True, with_links: bool = True, batch_rows: int = 256) -> DataFrame:
     """page_id, url and, as asked for, title, content, metadata, elements, api_sections, success,
     extraction_method, error; and links.  What isn't asked for is neither made nor sent.
@@ -68,7 +81,7 @@ def extract(pages: DataFrame, mode: str = "generic", with_content: bool = True,
                     rows.append(found | {"page_id": row["page_id"], "url": row["url"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, ddl)
+    return spread(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))).mapInArrow(run, ddl)
 
 
 def candidates(extracted: DataFrame) -> DataFrame:
@@ -78,8 +91,15 @@ def candidates(extracted: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame, mode: str = "generic") -> DataFrame:
     """The links of each page as its strategy returns them."""
-    found = candidates(extract(pages, mode, with_content=False))
+    return links_of(candidates(extract(pages, mode, with_content=False)), mode)
+
+
+def links_of(found: DataFrame, mode: str = "generic") -> DataFrame:
+    """What a strategy makes of its candidates: deduplicated, merged, filtered, ordered.
+
+    Candidates carry their page's URL; pages that share an id without sharing a URL would be taken for one.
+    """
+    found = links.by_page(found)
     if mode == "wiki":
-        merged = links.merge_wiki(found.drop("page_url")).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
-        return links.ordered_wiki(links.documentation_only(merged))
+        return links.ordered_wiki(links.documentation_only(links.merge_wiki(found)))
     return links.dedupe_then_filter(found)

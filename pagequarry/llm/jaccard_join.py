@@ -52,7 +52,7 @@ LOT = 512
 #: Prefix shingles that a task looks through for shared ones before it gives them out.
 HELD = 200_000
 #: Sequences that a task remembers to show a repeated text once.
-SEEN = 500_000
+SEEN = 100_000
 
 
 def _as_long(x: np.ndarray) -> pa.Array:

@@ -10,9 +10,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def stripped(text) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def sanitized_filename(name) -> Column:
     r"""Each of <>:"/\|?* becomes _; trimmed, cut to 100 characters; empty becomes untitled."""
-    out = F.substring(F.trim(F.regexp_replace(_c(name), r'[<>:"/\\|?*]', "_")), 1, 100)
+    out = F.substring(stripped(F.regexp_replace(_c(name), r'[<>:"/\\|?*]', "_")), 1, 100)
     return F.when(out == "", F.lit("untitled")).otherwise(out)
 
 
@@ -45,16 +50,17 @@ def page_number(n) -> Column:
 def clean_title(title) -> Column:
     """What stands before " | ", or else before " - "."""
     t = _c(title)
-    return F.trim(F.when(F.instr(t, " | ") > 0, F.substring_index(t, " | ", 1)).otherwise(F.substring_index(t, " - ", 1)))
+    return stripped(F.when(F.instr(t, " | ") > 0, F.substring_index(t, " | ", 1)).otherwise(F.substring_index(t, " - ", 1)))
 
 
 def without_suffix(title) -> Column:
     """Without a trailing site or section name of wiki titles."""
+    # The names.
     return F.regexp_replace(F.regexp_replace(_c(title), r"\s*[-|]\s*DeepWiki$", ""), r"\s*[-|]\s*Documentation$", "")
 
 
 def class_language(classes) -> Column:
-    """language- or lang- prefix of a class list."""
+    """language- or lang- prefix of a class list, as ``content.class_language`` reads it for Markdown and content alike."""
     return F.regexp_extract(_c(classes), r"(?:^|\s)(?:language|lang)-([^-\s]*)", 1)
 
 
@@ -70,7 +76,7 @@ def markdown_postprocessed(md) -> Column:
 
 def stripped_text(html) -> Column:
     """get_text of markup without scripts: strings stripped one by one and joined; four entities decoded."""
-    out = F.trim(F.regexp_replace(_c(html), r"\s*<[^>]*>\s*", ""))
+    out = stripped(F.regexp_replace(_c(html), r"\s*<[^>]*>\s*", ""))
     return decoded(out)
 
 
@@ -83,7 +89,7 @@ def decoded(text) -> Column:
 
 
 def looks_like_html(text) -> Column:
-    return F.ltrim(_c(text)).startswith("<") & F.contains(_c(text), F.lit("</"))
+    return _c(text).rlike(r"^\s*<") & F.contains(_c(text), F.lit("</"))
 
 
 def content_warnings(text) -> Column:

@@ -115,15 +115,15 @@ def looks_like_doc(href, text, base) -> Column:
 def wiki_should_follow(url, current, text) -> Column:
     """Wiki strategy's own follow predicate."""
     foreign = (netloc(url) != "") & (netloc(url) != netloc(current))
-    bare = (path(url) == "") & (fragment(url) != "")
+    bare = (path(url) == "") & (fragment(url) != "") & (path(current) == "")
     return ~excluded(url) & ~foreign & ~bare & looks_like_doc(url, text, current)
 
 
 def likely_documentation(url) -> Column:
-    """On the path only: documentation patterns win over excluded ones; else more than one segment."""
+    """On the path only, in any case: documentation patterns win over excluded ones; else more than one segment."""
     p = path(url)
     segments = F.size(F.array_remove(F.split(p, "/", -1), ""))
-    return F.when(p.rlike(_any(rules.RELEVANT_PATHS)), True).when(p.rlike(_any(rules.IRRELEVANT_PATHS)), False).otherwise(segments > 1)
+    return F.when(p.rlike("(?i)" + _any(rules.RELEVANT_PATHS)), True).when(p.rlike("(?i)" + _any(rules.IRRELEVANT_PATHS)), False).otherwise(segments > 1)
 
 
 def wiki_link_priority(text, href, depth, active, heading) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import rules, urls, validation
 
 from . import crawl, enrich, export, pages, relevance
+from .shared import kept
 
 
 def operation_id_column() -> Column:
@@ -51,6 +52,7 @@ class Operation:
     ended_at: str | None = None
     url_count: int = 0
     error: str | None = None
+    content_map: str | None = None
     exports: list[dict] = field(default_factory=list)
 
 
@@ -85,6 +87,7 @@ class Pipeline:
             if output_dir:
                 os.makedirs(output_dir, exist_ok=True)
                 project = self.project(op.url)
+                op.content_map = export.export_content_map(content, output_dir)["path"]
                 op.exports = export.export_all(content, output_dir, project, export_format, {"base_url": op.url})
             op.status = "completed" if op.status != "canceled" else op.status
             op.progress = 100.0
@@ -99,21 +102,27 @@ class Pipeline:
         return {"operation_id": op.id, "status": op.status, "message": message, "url_count": op.url_count, "exports": op.exports}
 
     def extract(self, url: str, mode: str, max_depth: int, use_ai: bool) -> DataFrame:
-        """seq, url, title, content, depth, metadata, elements of the pages reached from url."""
+        """seq, url, title, content, depth, metadata, elements of the pages reached from url.
+
+        Each page is parsed once, for content and links together; both are written before anything reads
+        them again, and so is the result with what the models made of it: crawl levels and exporters read tables.
+        """
         pages.select_strategy(mode)
-        found = pages.extract(self.table, mode, with_links=False)
-        links = pages.page_links(self.table, mode)
+        found = kept(pages.extract(self.table, mode), "extracted")
+        links = pages.links_of(pages.candidates(found), mode)
         if use_ai:
-            links = relevance.relevant(links, self.settings.relevance_threshold, self.settings.link_model)
+            near = links.join(found.select(F.col("page_id"), F.col("title").alias("page_title"), F.col("content").alias("page_content")), "page_id", "left")
+            links = relevance.filter_links(near, url, self.settings.relevance_threshold, self.settings.link_model)
         links = links.filter(urls.glob_filter("url", self.settings.include, self.settings.exclude))
         seeds = self.spark.range(1).select(urls.with_scheme(F.lit(url)).alias("node"))
-        reached = crawl.walk(seeds, links.select(F.col("page_url").alias("src"), F.col("url").alias("dst"), F.col("seq").alias("link_seq")), max_depth, self.settings.max_pages)
+        edges = kept(links.select(F.col("page_url").alias("src"), F.col("url").alias("dst"), F.col("seq").alias("link_seq")), "links")
+        reached = crawl.walk(seeds, edges, max_depth, self.settings.max_pages)
         content = found.join(reached.withColumnRenamed("node", "url"), "url").filter("success")
         content = content.select(F.struct("depth", "page_id").alias("seq"), "url", "title", "content", "depth", "metadata", "elements")
         if use_ai and self.settings.content_model is not None:
-            done = enrich.process(content, self.settings.content_model, batch_size=self.settings.content_batch)
+            done = kept(enrich.process(content, self.settings.content_model, batch_size=self.settings.content_batch), "enriched")
             content = enrich.written_back(content, done)
-        return content
+        return kept(content, "content")
 
     @staticmethod
     def project(url: str) -> str:
@@ -134,7 +143,7 @@ class Pipeline:
         return True
 
     def operations_table(self) -> DataFrame:
-        rows = [{k: v for k, v in asdict(op).items() if k != "exports"} for op in self.operations.values()]
+        rows = [{k: v for k, v in asdict(op).items() if k not in ("exports", "content_map")} for op in self.operations.values()]
         return self.spark.createDataFrame(rows, "id string, url string, mode string, status string, progress double, started_at string, ended_at string, url_count long, error string")
 
 

@@ -33,7 +33,7 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int | None = 5, max_page
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         if max_pages is not None and n >= max_pages:
             break
-        found = frontier.join(edges.withColumnRenamed("link_seq", "seq"), F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.col("src").alias("parent"), F.col("seq").alias("link_seq"))
+        found = frontier_links(frontier, edges, depth)
         first = found.groupBy("node").agg(F.min(F.struct("parent", "link_seq")).alias("f")).select("node", F.lit(depth).alias("depth"), "f.parent", "f.link_seq")
         frontier = cut(first.join(visited.select("node"), "node", "left_anti"))
         new = frontier.count()
@@ -59,9 +59,11 @@ def fetched(frontier: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     return both.filter(ok), both.filter(~F.coalesce(ok, F.lit(False))).select("url", F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status"))).otherwise("no content").alias("error"))
 
 
-def frontier_links(links: DataFrame, depth_of: DataFrame, max_depth: int) -> DataFrame:
-    """Links found on pages above the depth limit, with the depth that they would have."""
-    return links.join(depth_of, links["page_url"] == depth_of["url"]).filter(F.col("page_depth") < max_depth).withColumn("new_depth", F.col("page_depth") + 1)
+def frontier_links(frontier: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """node, depth, parent, link_seq: where the links of the frontier (node) lead, one level down."""
+    ends = edges.select(F.col("src").alias("parent"), F.col("dst"), F.col("link_seq").alias("seq"))
+    found = frontier.select(F.col("node").alias("parent")).join(ends, "parent")
+    return found.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent", F.col("seq").alias("link_seq"))
 
 
 def stats(log: DataFrame) -> DataFrame:

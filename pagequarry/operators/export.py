@@ -2,13 +2,16 @@
 
 Rendering is a projection to (file_name, text) rows; the sink is a Python data source whose tasks
 write their own rows into the (shared) folder under temporary names and whose commit puts them in
-place and writes the manifest.  So a retried or lost task leaves no half-written file.
+place.  So a retried or lost task leaves no half-written file.  The file that holds all pages in order is inherently one
+writer's work: it is streamed, one partition of sorted rows at a time.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,10 +36,12 @@ def numbered_pages(pages: DataFrame) -> DataFrame:
 
 
 def json_pages(pages: DataFrame, project: str, pretty: bool = True) -> DataFrame:
-    """A JSON file for each page."""
+    """A JSON file for each page; a page without a title is named after its number."""
     body = F.struct(*[c for c in ("url", "title", "content", "depth", "metadata", "elements") if c in pages.columns])
-    name = F.concat(F.lit(f"{project}_pages/"), "file_stem", F.lit(".json"))
-    return numbered_pages(pages).select(name.alias("file_name"), F.to_json(body, {"pretty": "true"} if pretty else {}).alias("text"), "url", "page_number")
+    rows = numbered(pages, "seq").withColumn("page_number", T.page_number(F.col("row_ix") + 1)).drop("row_ix")
+    stem = F.concat("page_number", F.lit("_"), T.sanitized_filename(F.coalesce("title", F.concat(F.lit("page_"), F.col("page_number")))))
+    name = F.concat(F.lit(f"{project}_pages/"), stem, F.lit(".json"))
+    return rows.select(name.alias("file_name"), F.to_json(body, {"pretty": "true"} if pretty else {}).alias("text"), "url", "page_number")
 
 
 def markdown_body(pages: DataFrame) -> Column:
@@ -116,57 +121,89 @@ def write_files(rendered: DataFrame, folder: str) -> None:
     rendered.select("file_name", "text").write.format("page_files").mode("append").save(folder)
 
 
-def _single(pages: DataFrame):
-    """The pages of a small export, in order; the caller has counted them."""
-    return pages.orderBy("seq").limit(SINGLE_FILE_PAGES).collect()
+def safe_name(project: str) -> str:
+    r"""A project's name as part of a path: each of <>:"/\|?* becomes _; stripped, cut to 100 characters; empty becomes untitled."""
+    return re.sub(r'[<>:"/\\|?*]', "_", project).strip()[:100] or "untitled"
+
+
+def streamed(path: str, head: str, rows: DataFrame, between: str, tail: str) -> int:
+    """A single file of all rows (text) in the order of seq, written from one partition at a time; its size.
+
+    The driver holds a partition's rows, never the export.
+    """
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        f.write(head)
+        for k, row in enumerate(rows.orderBy("seq").toLocalIterator(prefetchPartitions=True)):
+            f.write((between if k else "") + (row["text"] or ""))
+        f.write(tail)
+    os.replace(part, path)
+    return os.path.getsize(path)
+
+
+def _indented(text: str, by: str) -> str:
+    return text.replace("\n", "\n" + by)
 
 
 def export_json(pages: DataFrame, folder: str, project: str, metadata: dict | None = None, pretty: bool = True) -> dict:
-    n = pages.count()
+    """One file with every page; above ``SINGLE_FILE_PAGES`` a file for each page as well."""
+    n, name = pages.count(), safe_name(project)
     os.makedirs(folder, exist_ok=True)
-    head = {"project": project, "page_count": n} | (metadata or {})
-    path = os.path.join(folder, f"{project}.json")
-    shown = []
-    if n <= SINGLE_FILE_PAGES:
-        keep = [c for c in ("url", "title", "content", "depth") if c in pages.columns]
-        shown = [{k: r[k] for k in keep} for r in _single(pages)]
-    files = []
+    head = json.dumps({"project": project, "page_count": n} | (metadata or {}), ensure_ascii=False, indent=2 if pretty else None, default=str)
+    item = F.struct(*[c for c in ("url", "title", "content", "depth", "metadata") if c in pages.columns])
+    rows = pages.select("seq", F.to_json(item, {"ignoreNullFields": "false"}).alias("text"))
+    path, gap = os.path.join(folder, f"{name}.json"), "\n  " if pretty else ""
+    head = "{" + gap + '"metadata": ' + (_indented(head, "  ") if pretty else head) + "," + gap + '"content": ['
+    size = streamed(path, head + ("\n    " if pretty and n else ""), rows, ",\n    " if pretty else ", ", (gap if n else "") + "]" + ("\n}" if pretty else "}"))
+    files = [{"path": path, "size": size, "url_count": n}]
     if n > SINGLE_FILE_PAGES:
-        rendered = json_pages(pages, project, pretty)
+        rendered = json_pages(pages, name, pretty)
         write_files(rendered, folder)
         sums = totals(manifest(rendered)).first()
-        files.append({"path": os.path.join(folder, f"{project}_pages"), "size": int(sums["total_size"]), "url_count": int(sums["url_count"])})
-        head["pages"] = f"{project}_pages"
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"metadata": head, "content": shown}, f, ensure_ascii=False, indent=2 if pretty else None, default=str)
-    files.insert(0, {"path": path, "size": os.path.getsize(path), "url_count": n})
+        files.append({"path": os.path.join(folder, f"{name}_pages"), "size": int(sums["total_size"]), "url_count": int(sums["url_count"])})
     return {"format": "json", "files": files, "total_size": sum(x["size"] for x in files), "file_count": 1 + (n if n > SINGLE_FILE_PAGES else 0), "success": True}
 
 
 def export_markdown(pages: DataFrame, folder: str, project: str, metadata: dict | None = None, contents: bool = True) -> dict:
-    n = pages.count()
+    """One file with every page; above ``SINGLE_FILE_PAGES`` a file for each page and an index as well."""
+    n, name = pages.count(), safe_name(project)
     os.makedirs(folder, exist_ok=True)
-    head = [f"# {project}", "", "## Metadata", "", f"- **Pages:** {n}"] + ([scalar_metadata(metadata)] if scalar_metadata(metadata) else []) + [""]
+    head = [f"# {project}", "", "## Metadata", "", f"- **Pages:** {n}"] + ([scalar_metadata(metadata)] if scalar_metadata(metadata) else []) + ["", ""]
+    path, title = os.path.join(folder, f"{name}.md"), F.coalesce("title", F.lit("Untitled"))
+    if contents and n > 1:
+        listed = pages.select("seq", F.concat(F.lit("- ["), title, F.lit("](#"), T.anchor(title), F.lit(")")).alias("text"))
+        toc = f"{path}.{uuid.uuid4().hex}.toc"
+        streamed(toc, "\n".join([*head, "## Table of Contents", "", ""]), listed, "\n", "\n\n---\n\n")
+    else:
+        toc = None
+    rows = pages.select("seq", F.concat(F.lit("## "), title, F.lit("\n\n"), markdown_body(pages)).alias("text"))
+    size = streamed(path, "" if toc else "\n".join(head), rows, "\n\n---\n\n", "\n")
+    if toc:  # what stands before the pages, then the pages
+        with open(toc, "ab") as whole, open(path, "rb") as body:
+            shutil.copyfileobj(body, whole)
+        os.replace(toc, path)
+        size = os.path.getsize(path)
+    files, file_count = [{"path": path, "size": size, "url_count": n}], 1
     if n > SINGLE_FILE_PAGES:
-        rendered = markdown_pages(pages, project)
+        rendered = markdown_pages(pages, name)
         write_files(rendered, folder)
-        index = os.path.join(folder, f"{project}_pages", "README.md")
-        with open(index, "w", encoding="utf-8") as f:
-            f.write("\n".join([*head, "## Pages", ""]))
-            for r in numbered_pages(pages).select("page_number", "title", "file_stem").orderBy(F.length("page_number"), "page_number").toLocalIterator():
-                f.write(f"\n{int(r['page_number'])}. [{r['title']}]({r['file_stem']}.md)")
+        index = os.path.join(folder, f"{name}_pages", "README.md")
+        listed = numbered_pages(pages).select("seq", F.concat(F.col("page_number").cast("int"), F.lit(". ["), title, F.lit("]("), F.col("file_stem"), F.lit(".md)")).alias("text"))
+        index_size = streamed(index, "\n".join([*head, "## Pages", "", ""]), listed, "\n", "\n")
         sums = totals(manifest(rendered)).first()
-        files = [{"path": index, "size": os.path.getsize(index), "url_count": n}, {"path": os.path.dirname(index), "size": int(sums["total_size"]), "url_count": int(sums["url_count"])}]
-        return {"format": "markdown", "files": files, "total_size": sum(x["size"] for x in files), "file_count": n + 1, "success": True}
-    rows = pages.withColumn("body", markdown_body(pages)).withColumn("anchor", T.anchor("title"))
-    rows = _single(rows)
-    if contents and n > 1:
-        head += ["## Table of Contents", "", *[f"- [{r['title']}](#{r['anchor']})" for r in rows], ""]
-    path = os.path.join(folder, f"{project}.md")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(head) + "\n" + "\n\n---\n\n".join(f"## {r['title']}\n\n{r['body']}" for r in rows) + "\n")
-    size = os.path.getsize(path)
-    return {"format": "markdown", "files": [{"path": path, "size": size, "url_count": n}], "total_size": size, "file_count": 1, "success": True}
+        files += [{"path": index, "size": index_size, "url_count": n}, {"path": os.path.dirname(index), "size": int(sums["total_size"]), "url_count": int(sums["url_count"])}]
+        file_count += n + 1
+    return {"format": "markdown", "files": files, "total_size": sum(x["size"] for x in files), "file_count": file_count, "success": True}
+
+
+def export_content_map(pages: DataFrame, folder: str) -> dict:
+    """content_map.json: the extracted pages by URL, as they are before any exporter."""
+    os.makedirs(folder, exist_ok=True)
+    item = F.struct(*[c for c in ("title", "content", "depth", "metadata", "elements") if c in pages.columns])
+    quoted = F.regexp_replace(F.to_json(F.struct(F.col("url").alias("u"))), r'^\{"u":|\}$', "")
+    rows = pages.filter("url IS NOT NULL").select("seq", F.concat(quoted, F.lit(": "), F.to_json(item, {"ignoreNullFields": "false"})).alias("text"))
+    path = os.path.join(folder, "content_map.json")
+    return {"path": path, "size": streamed(path, "{\n  ", rows, ",\n  ", "\n}\n")}
 
 
 EXPORTERS: dict[str, Callable[..., dict]] = {"json": export_json, "markdown": export_markdown}

@@ -28,7 +28,7 @@ def link_text(html, url) -> Column:
     quoted = F.regexp_replace(url if isinstance(url, Column) else F.col(url), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     pattern = F.concat(F.lit(r"(?s)<a[^>]*href=[\"'](?:[^\"']*)"), quoted, F.lit(r"[\"'][^>]*>(.*?)</a>"))
     found = F.call_function("regexp_extract", html if isinstance(html, Column) else F.col(html), pattern, F.lit(1))
-    return F.trim(F.regexp_replace(found, "<[^>]*>", ""))
+    return text.stripped(F.regexp_replace(found, "<[^>]*>", ""))
 
 
 def context_of(content, link) -> Column:
@@ -110,6 +110,19 @@ def analyzed(links: DataFrame, model: Model | None = None, cache: DataFrame | No
     return out if known is None else out.unionByName(known.select(*out.columns))
 
 
+def filter_links(links: DataFrame, base_url: str, threshold: float = rules.RELEVANCE_THRESHOLD, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """The chain over links (url, page_url, page_title, page_content, ...): resolved against the site's base, of its site
+    only, with the link's text in the page, the text around it and a sample of the page for the model; relevant with at least the threshold.
+
+    The columns that the chain adds (link_text, context, sample) stay; page_content doesn't.
+    """
+    whole = links.withColumn("href", F.col("url")).withColumn("url", urls.join(F.lit(base_url), "url")).filter(F.col("url").isNotNull())
+    near = whole.filter(urls.same_site("url", F.lit(base_url)))
+    near = near.withColumn("link_text", F.coalesce(link_text("page_content", "href"), F.lit("")))
+    near = near.withColumn("context", context_of("page_content", "link_text")).withColumn("sample", content_sample("page_content")).drop("page_content", "href")
+    return analyzed(near, model, cache).filter(F.col("is_relevant") & (F.col("relevance_score") >= threshold))
+
+
 def relevant(links: DataFrame, threshold: float = rules.RELEVANCE_THRESHOLD, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:
     """Links of the page's own site whose verdict is relevant with at least the threshold."""
     near = links.filter(urls.same_site("url", "page_url"))

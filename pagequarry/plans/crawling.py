@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from pagequarry.operators import crawl
+from pagequarry.operators.shared import shared_folder
 from pagequarry.sources import derived
 from pagequarry.streaming import frontier
 
@@ -71,7 +70,7 @@ def crawl_levels(spark, sf_dir):
 @query("SELECT url, min(page_id % 5)::BIGINT AS depth FROM pages GROUP BY 1")
 def stream_first_visits(spark, sf_dir):
     """A stream of discovered URLs through the stateful frontier, to its end."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = shared_folder(spark)
     import uuid
 
     folder = f"{folder}/stream-{uuid.uuid4().hex}"

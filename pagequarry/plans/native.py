@@ -9,7 +9,7 @@ from pagequarry.functions import rules, text, urls
 from pagequarry.operators import control, crawl, export, relevance
 from pagequarry.sources import pages as page_source
 
-from .registry import NAV, Registry, any_of, decoded, depth, follow, likely, part, read
+from .registry import NAV, Registry, any_of, decoded, depth, follow, likely, part, read, stripped
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -22,7 +22,7 @@ def nav_candidates(pages):
     hrefs, texts = (F.regexp_extract_all("h", F.lit(ANCHOR), F.lit(k)) for k in (1, 2))
     rows = pages.select("page_id", F.col("url").alias("page_url"), nav.alias("h")).select("page_id", "page_url", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("text"))).alias("pos", "a"))
     rows = rows.select("page_id", "page_url", "pos", "a.href", "a.text").filter("href <> '' AND href <> '#' AND NOT startswith(href, 'javascript:')")
-    return rows.select("page_id", "page_url", "pos", text.decoded(F.trim("text")).alias("text"), urls.join_rooted("page_url", "href").alias("url"))
+    return rows.select("page_id", "page_url", "pos", text.decoded(text.stripped("text")).alias("text"), urls.join_rooted("page_url", "href").alias("url"))
 
 
 def nav_firsts(pages):
@@ -80,7 +80,7 @@ def relevant_links(spark, sf_dir):
 
 
 @query(
-    f"WITH {NAV} SELECT c.page_id, f.pos::INTEGER AS pos, {decoded('c.t')} AS link_text FROM (SELECT page_id, pos FROM firsts) f JOIN (SELECT a.page_id, a.pos, trim((SELECT b.text FROM anchors b WHERE b.page_id = a.page_id AND ends_with(b.href, a.href) ORDER BY b.pos LIMIT 1)) AS t FROM anchors a) c ON c.page_id = f.page_id AND c.pos = f.pos"
+    f"WITH {NAV} SELECT c.page_id, f.pos::INTEGER AS pos, {decoded('c.t')} AS link_text FROM (SELECT page_id, pos FROM firsts) f JOIN (SELECT a.page_id, a.pos, regexp_replace((SELECT b.text FROM anchors b WHERE b.page_id = a.page_id AND ends_with(b.href, a.href) ORDER BY b.pos LIMIT 1), '^\\s+|\\s+$', '', 'g') AS t FROM anchors a) c ON c.page_id = f.page_id AND c.pos = f.pos"
 )
 def link_texts(spark, sf_dir):
     """The text of each navigation URL looked up in the page again, by a pattern made from the URL."""
@@ -90,19 +90,18 @@ def link_texts(spark, sf_dir):
     return firsts.select("page_id", (F.col("pos") + 1).alias("pos"), text.decoded(relevance.link_text("html", href)).alias("link_text"))
 
 
-_TITLE = decoded("trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1))")
+_TITLE = decoded(stripped("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"))
 _CUT = "CASE WHEN contains(t, ' | ') THEN string_split(t, ' | ')[1] ELSE string_split(t, ' - ')[1] END"
-_SAFE = """left_100 AS (SELECT *, trim(left(trim(regexp_replace(t, '[<>:"/\\\\|?*]', '_', 'g'), ' '), 100)) AS x FROM titles)"""
 
 
 @query(
-    f"WITH titles AS (SELECT page_id, {_TITLE} AS t FROM pages), s AS (SELECT *, left(trim(regexp_replace(t, '[<>:\"/\\\\|?*]', '_', 'g'), ' '), 100) AS x FROM titles) "
-    f"SELECT page_id, trim({_CUT}) AS clean_title, CASE WHEN x = '' THEN 'untitled' ELSE x END AS file_name, "
+    f"WITH titles AS (SELECT page_id, {_TITLE} AS t FROM pages), s AS (SELECT *, left({stripped("regexp_replace(t, '[<>:\"/\\\\|?*]', '_', 'g')")}, 100) AS x FROM titles) "
+    f"SELECT page_id, {stripped(_CUT)} AS clean_title, CASE WHEN x = '' THEN 'untitled' ELSE x END AS file_name, "
     r"regexp_replace(regexp_replace(regexp_replace(replace(lower(t), ' ', '-'), '[^\p{L}\p{N}_-]', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor FROM s"
 )
 def page_names(spark, sf_dir):
     """Cleaned title, file name and anchor of every page's title."""
-    t = text.decoded(F.trim(F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)))
+    t = text.decoded(text.stripped(F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)))
     rows = read(spark, sf_dir, "pages").select("page_id", t.alias("t"))
     return rows.select("page_id", text.clean_title("t").alias("clean_title"), text.sanitized_filename("t").alias("file_name"), text.anchor("t").alias("anchor"))
 
@@ -133,7 +132,7 @@ def export_manifest(spark, sf_dir):
     return export.totals(export.manifest(rendered))
 
 
-_LOOK = "starts_with(ltrim(c, ' '), '<') AND contains(c, '</')"
+_LOOK = "regexp_matches(c, '^\\s*<') AND contains(c, '</')"
 
 
 @query(

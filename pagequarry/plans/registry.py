@@ -40,6 +40,11 @@ def any_of(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def stripped(text: str) -> str:
+    """Without white space at both ends."""
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
 def decoded(text: str) -> str:
     for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = f"replace({text}, '{entity}', '{char}')"
@@ -49,8 +54,8 @@ def decoded(text: str) -> str:
 def likely(url: str) -> str:
     p = part(url, 3)
     return (
-        f"CASE WHEN regexp_matches({p}, '{any_of(rules.RELEVANT_PATHS)}') THEN true "
-        f"WHEN regexp_matches({p}, '{any_of(rules.IRRELEVANT_PATHS)}') THEN false "
+        f"CASE WHEN regexp_matches({p}, '(?i){any_of(rules.RELEVANT_PATHS)}') THEN true "
+        f"WHEN regexp_matches({p}, '(?i){any_of(rules.IRRELEVANT_PATHS)}') THEN false "
         f"ELSE len(list_filter(string_split({p}, '/'), lambda x: x <> '')) > 1 END"
     )
 
@@ -73,5 +78,5 @@ NAV = r"""nav AS (SELECT page_id, url AS page_url, regexp_extract(html, '(?s)<na
 anchors AS (SELECT page_id, page_url, unnest(regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text, generate_subscripts(regexp_extract_all(h, '<a href="([^"]*)">([^<]*)</a>', 1), 1) AS pos FROM nav),
 cand AS (SELECT page_id, page_url, pos, DECODED AS text, lower(SCHEME) || '://' || HOST || href AS url FROM anchors WHERE href <> '' AND href <> '#' AND NOT starts_with(href, 'javascript:')),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS nth FROM cand) WHERE nth = 1)""".replace(
-    "DECODED", decoded("trim(text)")
+    "DECODED", decoded(stripped("text"))
 ).replace("SCHEME", part("page_url", 1)).replace("HOST", part("page_url", 2))

@@ -19,6 +19,11 @@ def test_likely_documentation(spark):
     assert values(spark, urls.likely_documentation("u"), rows, "u string") == [True] * len(TRUE_PATHS) + [False] * len(FALSE_PATHS)
 
 
+def test_likely_documentation_in_any_case(spark):
+    rows = [("https://x.org/Docs/A",), ("https://x.org/a/LOGIN",), ("https://x.org/README.MD",), ("https://x.org/a/b.PNG",)]
+    assert values(spark, urls.likely_documentation("u"), rows, "u string") == [True, False, True, False]
+
+
 def test_same_site(spark):
     base = "https://docs.example.com"
     rows = [("https://docs.example.com/a", base), ("https://api.example.com/b", base), ("https://otherdomain.com", base), ("https://example.org", base)]
@@ -29,6 +34,10 @@ def test_same_site(spark):
     ("function", "rows", "expected"),
     [
         (text.sanitized_filename, ["file:with?invalid*chars", "  trim spaces  ", "", "a" * 200], ["file_with_invalid_chars", "trim spaces", "untitled", "a" * 100]),
+        (text.sanitized_filename, ["\n Title \n", "\t\r\n", "a\tb"], ["Title", "untitled", "a\tb"]),
+        (text.clean_title, ["\n A \n | B", "\tA\n"], ["A", "A"]),
+        (text.stripped_text, ["\n<p>\t a </p>\n"], ["a"]),
+        (text.looks_like_html, ["\n<div>a</div>", " \t<p>a</p>", "a<p></p>", "<p>"], [True, True, False, False]),
         (text.anchor, ["Test Heading", "Test & Heading!", "ALL CAPS", "Über uns"], ["test-heading", "test-heading", "all-caps", "über-uns"]),
         (text.token_estimate, ["", "abcd", "abcdefg"], [0, 1, 1]),
         (text.clean_title, ["A | B - C", "A - B", "plain"], ["A", "A", "plain"]),
@@ -70,6 +79,39 @@ def test_link_text(spark):
     assert values(spark, relevance.link_text("h", F.col("u")), rows, "h string, u string") == ["API Reference", ""]
 
 
+def test_link_text_is_stripped(spark):
+    assert values(spark, relevance.link_text("h", F.col("u")), [("<a href='/a'>\n\tA <b>b</b>\n</a>", "/a")], "h string, u string") == ["A b"]
+
+
+def test_context_and_sample(spark):
+    page = "x" * 150 + "the link" + "y" * 150
+    assert values(spark, relevance.context_of("c", "t"), [(page, "the link"), (page, "none"), (page, ""), ("the link", "the link")], "c string, t string") == ["x" * 100 + "the link" + "y" * 100, None, None, "the link"]
+    assert values(spark, relevance.content_sample("c", 10), [("a" * 10,), ("a" * 11,)], "c string") == ["a" * 10, "a" * 10 + "..."]
+
+
+def test_wiki_should_follow(spark):
+    base = "https://x.org/docs/a"
+    rows = [("https://x.org/docs/b", base, "b"), ("https://x.org/docs/b/edit/1", base, "b"), ("https://y.org/docs/b", base, "b"), ("/docs/c", base, "c"), ("https://x.org#top", base, "t"), ("https://x.org#top", "https://x.org", "t")]
+    assert values(spark, urls.wiki_should_follow("u", "b", "t"), rows, "u string, b string, t string") == [True, False, False, True, True, False]
+
+
+def test_expressions_and_tree_helpers_agree(spark):
+    """What the DOM pass says in Python is said in expressions elsewhere: both must say the same."""
+    from pagequarry.operators import content, links
+
+    cases = ["https://x.org", "https://x.org/", "https://x.org/a/b/", "https://docs.x.org/a/getting-started_now", "https://x.org/docs/b.md?x#y", "https://y.org/wiki/A", "https://x.org/edit/1", "https://x.org/search?q"]
+    rows, base = [(u,) for u in cases], "https://x.org/docs/"
+    assert values(spark, urls.path_depth("u"), rows, "u string") == [links.path_depth(u) for u in cases]
+    assert values(spark, urls.title_from_url("u"), rows, "u string") == [content.title_from_url(u) for u in cases]
+    assert values(spark, urls.looks_like_doc("u", F.lit("Guide"), F.lit(base)), rows, "u string") == [links.looks_like_doc(u, "Guide", base) for u in cases]
+    assert values(spark, urls.looks_like_doc("u", F.lit("x"), F.lit(base)), rows, "u string") == [links.looks_like_doc(u, "x", base) for u in cases]
+    for classes in ("language-python", "x lang-c", "plain", "language-a-b"):
+        assert values(spark, text.class_language("c"), [(classes,)], "c string") == [content.class_language(classes.split()) or ""]
+    points = [("Overview", "/a", d, a, h) for d in range(4) for a in (True, False) for h in (True, False)] + [("Legacy", "/INDEX", 1, False, False)]
+    found = values(spark, urls.wiki_link_priority("t", "h", "d", "a", "k"), points, "t string, h string, d int, a boolean, k boolean")
+    assert found == [links.wiki_priority(*p) for p in points]
+
+
 def test_glob_filter(spark):
     rows = [("https://x.org/docs/a",), ("https://x.org/docs/private/a",), ("https://x.org/blog",)]
     assert values(spark, urls.glob_filter("u", ["*/docs/*"], ["*private*"]), rows, "u string") == [True, False, False]

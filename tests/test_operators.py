@@ -107,7 +107,33 @@ def test_large_exports_are_a_file_each(spark, tmp_path):
     assert all(x["success"] for x in out), out
     assert len([n for n in names if n.endswith(".md")]) == 21 and len([n for n in names if n.endswith(".json")]) == 20
     assert names[0] == "001_Page 0.json" and "Back to Index" in (tmp_path / "demo_pages" / "001_Page 0.md").read_text()
-    assert not [n for n in names if n.endswith(".part")]
+    assert not [n for n in names if n.endswith(".part")] and sorted(os.listdir(tmp_path)) == ["demo.json", "demo.md", "demo_pages"]
+    # The main files hold every page as well, in order.
+    data = json.loads((tmp_path / "demo.json").read_text())
+    assert [p["url"] for p in data["content"]] == [f"https://example.com/page{i}" for i in range(20)] and data["metadata"]["page_count"] == 20
+    text = (tmp_path / "demo.md").read_text()
+    assert [x for x in text.split("\n") if x.startswith("## Page ")] == [f"## Page {i}" for i in range(20)] and text.count("- [Page") == 20
+    assert "\n1. [Page 0](001_Page 0.md)\n2. " in (tmp_path / "demo_pages" / "README.md").read_text()
+
+
+def test_exports_of_odd_projects_titles_and_of_nothing(spark, tmp_path):
+    rows = [(i, f"u{i}", None, None, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "seq long, url string, title string, content string, depth int")
+    out = export.export_all(df, str(tmp_path / "a"), "a/b: c?", "both")
+    assert all(x["success"] for x in out), out
+    assert sorted(os.listdir(tmp_path / "a")) == ["a_b_ c_.json", "a_b_ c_.md", "a_b_ c__pages"]
+    assert "001_page_001.json" in os.listdir(tmp_path / "a" / "a_b_ c__pages")
+    out = export.export_all(df.limit(0), str(tmp_path / "b"), "none", "both")
+    assert all(x["success"] for x in out) and json.loads((tmp_path / "b" / "none.json").read_text())["content"] == []
+    for pretty in (True, False):
+        export.export_json(df.limit(2), str(tmp_path / "c"), "p", {"k": {"a": [1]}}, pretty)
+        assert json.loads((tmp_path / "c" / "p.json").read_text())["metadata"]["k"] == {"a": [1]}
+
+
+def test_content_map(spark, tmp_path):
+    df = spark.createDataFrame([(0, 'https://x.org/"a"', "T", "<p>\n</p>", 0), (1, "u", None, None, 1)], "seq long, url string, title string, content string, depth int")
+    export.export_content_map(df, str(tmp_path))
+    assert json.loads((tmp_path / "content_map.json").read_text()) == {'https://x.org/"a"': {"title": "T", "content": "<p>\n</p>", "depth": 0}, "u": {"title": None, "content": None, "depth": 1}}
 
 
 def test_exporters_are_isolated(spark, tmp_path, monkeypatch):
@@ -170,6 +196,68 @@ def fake_fetch(url, timeout):
     return ("<p>ok</p>", 200) if "ok" in url else ("", 500)
 
 
+def test_a_run_parses_each_page_and_asks_the_model_for_each_content_once(spark, tmp_path):
+    counted = str(tmp_path / "counted")
+
+    def content_of(tree, url):
+        with open(counted, "a") as f:
+            f.write("parse\n")
+        return pages.content.generic(tree)
+
+    def model(contents, mode, kind):
+        with open(counted, "a") as f:
+            f.write("model\n" * len(contents))
+        return [c.upper() for c in contents]
+
+    pages.STRATEGIES["counted"] = (content_of, pages.links.generic)
+    try:
+        table = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+        line = control.Pipeline(spark, table, control.Settings(content_model=model, relevance_threshold=0.5))
+        out = line.run("https://example.com/docs/", "counted", str(tmp_path / "out"), max_depth=3, use_ai=True)
+    finally:
+        del pages.STRATEGIES["counted"]
+    assert out["status"] == "completed" and out["url_count"] == 4 and all(x["success"] for x in out["exports"]), out
+    lines = open(counted).read().split()
+    assert lines.count("parse") == len(PAGES) and lines.count("model") == 4
+    found = json.loads((tmp_path / "out" / "content_map.json").read_text())
+    assert len(found) == 4 and "<H1>DOCS</H1>" in found["https://example.com/docs/"]["content"]
+    assert json.loads((tmp_path / "out" / "operation_info.json").read_text())["content_map"].endswith("content_map.json")
+
+
+def test_links_are_filtered_as_a_chain(spark):
+    page = "<p>" + "about " * 30 + "<a href='/docs/a'>The API</a> and more</p>"
+    rows = [("/docs/a", "https://x.org/p", "P", page), ("https://api.x.org/b", "https://x.org/p", "P", page), ("https://y.org/docs/a", "https://x.org/p", "P", page), ("/blog/a", "https://x.org/p", "P", page)]
+    df = spark.createDataFrame(rows, "url string, page_url string, page_title string, page_content string")
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        near = frame["context"].fillna("").str.contains("and more") & (frame["sample"].str.len() <= 1003)
+        return pd.DataFrame({"is_relevant": near, "relevance_score": near.map({True: 0.9, False: 0.1}), "reason": frame["link_text"]})
+
+    got = relevance.filter_links(df, "https://x.org/", 0.7, model).collect()
+    assert [(r["url"], r["link_text"], r["reason"], r["method"]) for r in got] == [("https://x.org/docs/a", "The API", "The API", "ai")]
+    assert [r["url"] for r in relevance.filter_links(df, "https://x.org/").collect()] == ["https://x.org/docs/a"]
+
+
+def test_frontier_links_lead_one_level_down(spark):
+    edges = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("x", "y", 0)], "src string, dst string, link_seq int")
+    got = crawl.frontier_links(spark.createDataFrame([("a",)], "node string"), edges, 2).collect()
+    assert sorted(tuple(r) for r in got) == [("b", 2, "a", 0), ("c", 2, "a", 1)]
+
+
+def test_local_folders_serve_local_masters_only(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pagequarry.operators import shared
+
+    for master, fails in (("local[4]", False), ("spark://h:7077", True), ("local-cluster[2,1,1024]", True)):
+        session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
+        if fails:
+            with pytest.raises(ValueError):
+                shared.shared_folder(session)
+        else:
+            assert os.path.isdir(shared.shared_folder(session))
+
+
 def test_live_source(spark):
     reader = page_source._Reader({"urls": "https://a.x/ok1\nhttps://a.x/ok2\nhttps://b.x/no", "batchSize": "1", "delay": "0"})
     assert len(reader.partitions()) == 3

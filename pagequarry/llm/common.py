@@ -27,13 +27,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_local: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set, as in tests."""
+    """The shared folder of the cluster, as spark.checkpoint.dir names it; where it isn't set, one of this machine, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _local[context.applicationId]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

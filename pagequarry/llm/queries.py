@@ -15,7 +15,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=("doc_id",), budget_share=1.5)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import crawling, documents, native, rich
+from . import crawling, documents, native, rich, varied
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (native, documents, rich, crawling):
+for _module in (native, documents, rich, varied, crawling):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

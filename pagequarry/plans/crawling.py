@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagequarry.functions import urls
 from pagequarry.operators import crawl
 from pagequarry.operators.shared import shared_folder
 from pagequarry.sources import derived
 from pagequarry.streaming import frontier
 
-from .registry import Registry, read
+from .registry import Registry, part, read
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -17,15 +18,24 @@ QUERIES, SQL = query.queries, query.sql
 _EDGES = "e AS (SELECT p.page_id AS src, t.dst FROM pages p, LATERAL (SELECT unnest([2 * p.page_id + 1, 2 * p.page_id + 2, p.page_id // 3]) AS dst) t WHERE t.dst IN (SELECT page_id FROM pages))"
 
 
+#: The walk to its fixed point.  SQL has no visited set, so its recursion ends at a depth that no walk over such ids reaches: they at least
+#: double from level to level.
+_WALK = (
+    f"{_EDGES}, seeds AS (SELECT min(page_id) AS node FROM pages GROUP BY {part('url', 2)}), "
+    "w AS (SELECT node, 0 AS depth FROM seeds UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 64), "
+    "first AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)"
+)
+
+
 @query(
-    f"WITH RECURSIVE {_EDGES}, w AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 12), first AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) "
+    f"WITH RECURSIVE {_WALK} "
     "SELECT f.node, f.depth::INTEGER AS depth, (SELECT min(e.src) FROM e JOIN first g ON g.node = e.src WHERE e.dst = f.node AND g.depth = f.depth - 1) AS parent FROM first f"
 )
 def crawl_bfs(spark, sf_dir):
-    """Breadth-first from page 0 over a graph with cycles and repeated edges, twelve levels deep at most."""
-    pages = read(spark, sf_dir, "pages").select("page_id")
-    seeds = pages.filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return crawl.walk(seeds, derived.page_edges(pages), max_depth=12)
+    """Breadth-first from the least page of every host, over a graph with cycles and repeated edges, until a level finds nothing new."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    seeds = pages.groupBy(urls.netloc("url").alias("host")).agg(F.min("page_id").alias("node"))
+    return crawl.walk(seeds, derived.page_edges(pages), max_depth=None)
 
 
 _LOG = "log AS (SELECT url, page_id % 7 <> 0 AS ok, TIMESTAMP '2024-01-01' + to_seconds(page_id) AS started, TIMESTAMP '2024-01-01' + to_seconds(page_id + 1) AS ended FROM pages)"
@@ -60,9 +70,7 @@ def crawl_errors(spark, sf_dir):
     return crawl.errors(_log(spark, sf_dir))
 
 
-@query(
-    f"WITH RECURSIVE {_EDGES}, w AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 12), first AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT depth::INTEGER AS depth, count(*) AS n_pages FROM first GROUP BY 1"
-)
+@query(f"WITH RECURSIVE {_WALK} SELECT depth::INTEGER AS depth, count(*) AS n_pages FROM first GROUP BY 1")
 def crawl_levels(spark, sf_dir):
     return crawl.levels(crawl_bfs(spark, sf_dir))
 

@@ -46,20 +46,20 @@ def markdown_postprocess(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.markdown_postprocessed(raw).alias("markdown"))
 
 
-def head_model(contents: list[str], mode: str, content_type: str) -> list[str]:
+def echo_model(contents: list[str], mode: str, content_type: str) -> list[str]:
     """A deterministic stand-in for a language model."""
-    return [f"{mode}: {c[:200]}" for c in contents]
+    return [f"{mode}: {c}" for c in contents]
 
 
 _CACHED = "WITH c AS (SELECT DISTINCT left(text, 100) || right(text, 100) || 'clean' || length(text) AS k FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id, text, left(text, 100) || right(text, 100) || 'clean' || length(text) AS k FROM documents)"
 
 
-@query(f"{_CACHED} SELECT doc_id, k IN (SELECT k FROM c) AS cached, CASE WHEN k IN (SELECT k FROM c) THEN 'cached ' || length(text) ELSE 'clean: ' || left(text, 200) END AS result FROM r")
+@query(f"{_CACHED} SELECT doc_id, k IN (SELECT k FROM c) AS cached, CASE WHEN k IN (SELECT k FROM c) THEN 'cached ' || length(text) ELSE 'clean: ' || text END AS result FROM r")
 def enrich_with_cache(spark, sf_dir):
     """Contents whose key is cached aren't processed again; the rest goes through the model in batches."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     cache = docs.filter("doc_id % 3 = 0").select(text.content_cache_key("content", F.lit("clean")).alias("cache_key"), F.concat(F.lit("cached "), F.length("content")).alias("result"))
-    return enrich.process(docs, head_model, cache=cache).select("doc_id", "cached", "result")
+    return enrich.process(docs, echo_model, cache=cache).select("doc_id", "cached", "result")
 
 
 @query(f"{_CACHED}, f AS (SELECT k, k IN (SELECT k FROM c) AS hit FROM r) SELECT count(DISTINCT k) AS cache_size, count_if(hit)::BIGINT AS hits, count_if(NOT hit)::BIGINT AS misses, round(count_if(hit) / greatest(1, count(*)) * 100, 6) AS hit_rate FROM f")
@@ -70,11 +70,11 @@ def cache_hit_rate(spark, sf_dir):
     return stats.withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new ' || left(text, 50) ELSE text END AS content, doc_id % 2 = 0 AS ai_processed FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new ' || text ELSE text END AS content, doc_id % 2 = 0 AS ai_processed FROM documents")
 def batch_write_back(spark, sf_dir):
     """Results of a batch put back by URL where there are any."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("u"), "doc_id").alias("url"), F.col("text").alias("content"))
-    done = docs.filter("doc_id % 2 = 0").select("url", F.concat(F.lit("new "), F.substring("content", 1, 50)).alias("result"), F.lit(True).alias("processed"))
+    done = docs.filter("doc_id % 2 = 0").select("url", F.concat(F.lit("new "), F.col("content")).alias("result"), F.lit(True).alias("processed"))
     return enrich.written_back(docs, done).select("doc_id", "content", "ai_processed")
 
 

@@ -42,6 +42,44 @@ def rich_pages(documents: DataFrame) -> DataFrame:
     return documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("page_id"), url.alias("url"), _text(RICH, **values).alias("html"))
 
 
+def varied_pages(documents: DataFrame) -> DataFrame:
+    """page_id, url, html: a page for each document, of its own words, with parts that depend on its id.
+
+    The container is an article, a div of content, a div without a known name, or none; lists, code, attributes, related sections,
+    links and framework marks come and go.  Words are runs of letters a-z and A-Z, so that markup needs no escapes.
+    """
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", -1), lambda w: w != "")
+    head, body = F.coalesce(F.get(words, F.lit(0)), F.lit("none")), F.array_join(words, " ")
+    extra, box = k % 5, k % 4
+    related = _text('<section class="related-links"><h3>More</h3><a href="/docs/r{i}">Related {i}</a></section>', i=i)
+    inner = F.concat(
+        _text("<h1>{head}</h1><p>{body}</p><p>{fill}</p>", head=head, body=body, fill=F.lit("filling words of the page " * 9 + "filling words of the page")),
+        F.when(extra == 0, _text("<ul><li>one<ul><li>deep {i}</li></ul></li><li>two</li></ul>", i=i)).otherwise(""),
+        F.when(extra == 1, _text("<pre>bare {i}</pre>", i=i)).when(extra == 2, _text('<pre><code class="lang-sql">set {i}</code></pre>', i=i)).otherwise(""),
+        F.when(extra == 3, F.lit('<p onclick="x()" data-lang="en" data-x="1">kept</p>')).otherwise(""),
+        F.lit('<p></p><div class="ads">Buy</div><script>x()</script>'),
+    )
+    # Admonitions, edit links and the like, where the wiki strategy takes the article; the generic one takes them out as noise.
+    wiki = _text(
+        '<div class="admonition"><div class="note">Mind {i}</div><div class="plain-box">plain {i}</div><div class="deepwiki-sidebar">s</div><a class="edit-page" href="/e">Edit</a>'
+        '<a href="https://github.com/x">Source</a><!-- c --><div class="toc-wrapper">t</div></div>', i=i)
+    whole = (
+        F.when(box == 0, F.concat(F.lit("<article>"), inner, wiki, F.lit("</article>")))
+        .when(box == 1, F.concat(F.lit('<div class="content">'), inner, F.lit("</div>")))
+        .when(box == 2, F.concat(F.lit('<div class="page">'), inner, F.lit("</div>")))
+        .otherwise(inner)
+    )
+    mark = F.when(k % 9 == 0, "MkDocs 1").when(k % 9 == 1, "Docusaurus").when(k % 9 == 2, "sphinx 7").when(k % 9 == 3, "Hugo 0").otherwise("none")
+    first = F.when(k % 3 == 0, F.concat(F.lit("/Docs/"), i)).when(k % 3 == 1, "/a/LOGIN").otherwise(F.concat(F.lit("/p"), i))
+    nav = _text('<nav><a href="{first}">A</a><a href="/guide/{i}">B</a><a href="{first}">C</a><a href="#">D</a></nav>', first=first, i=i)
+    html = F.concat(
+        _text('<html><head><meta name="generator" content="{mark}"></head><body>', mark=mark), nav, whole, F.when(extra == 4, related).otherwise(""), F.lit("</body></html>")
+    )
+    url = F.concat(F.lit("https://s"), (k % 7).cast("string"), F.lit(".example.org/docs/"), i)
+    return documents.filter("doc_id IS NOT NULL").select(k.alias("page_id"), url.alias("url"), html.alias("html"))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """src, dst, link_seq: a binary tree over page ids with a back edge and a repeated one for each page.
 

@@ -74,6 +74,14 @@ def stats(log: DataFrame) -> DataFrame:
     ).withColumn("pages_per_second", F.col("processed") / F.greatest(F.lit(1.0), F.col("duration_s")))
 
 
+def run_stats(log: DataFrame, enriched: DataFrame) -> DataFrame:
+    """``stats`` with what the models did: ai_processed, batches_processed and cache_hits of enriched (processed, cached, batch_id)."""
+    asked = F.col("processed") & ~F.col("cached")
+    done = enriched.agg(F.count_if(asked).alias("ai_processed"), F.count_distinct(F.when(asked, F.col("batch_id"))).alias("batches_processed"), F.count_if(F.col("cached")).alias("cache_hits"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  (a row on either side)
+    return one(stats(log)).join(one(done), "_one").drop("_one")
+
+
 def progress(visited: DataFrame, discovered: DataFrame, elapsed_s: float, max_pages: int | None = None) -> DataFrame:
     """visited, queued, progress_percent, rate, eta_s, is_complete."""
     seen = visited.select("url", F.lit(1).alias("v"), F.lit(0).alias("d")).union(discovered.select("url", F.lit(0), F.lit(1)))

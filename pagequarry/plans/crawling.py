@@ -77,7 +77,7 @@ def crawl_levels(spark, sf_dir):
 
 @query("SELECT url, min(page_id % 5)::BIGINT AS depth FROM pages GROUP BY 1")
 def stream_first_visits(spark, sf_dir):
-    """A stream of discovered URLs through the stateful frontier, to its end."""
+    """A stream of discovered URLs through the stateful frontier, to its end; the least depth of each, whatever the batches."""
     folder = shared_folder(spark)
     import uuid
 
@@ -85,7 +85,13 @@ def stream_first_visits(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     stream = spark.readStream.schema(pages.schema).parquet(f"{sf_dir}/page[s].parquet")
     links = stream.select("url", (F.col("page_id") % 5).cast("long").alias("depth"))
-    visits = frontier.first_visits(links)
-    run = visits.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    visits = frontier.first_visits(links).drop("depth").writeStream.format("parquet").option("path", f"{folder}/visits").option("checkpointLocation", f"{folder}/visited")
+    visits.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    depths = frontier.least_depths(links)
+    last = lambda batch, batch_id: batch.write.parquet(f"{folder}/out/batch={batch_id}", mode="overwrite")
+    run = depths.writeStream.foreachBatch(last).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("host string, url string, depth long").parquet(f"{folder}/out").select("url", "depth")
+    # A URL that several batches saw has a row in each; the later ones are no deeper.
+    written = spark.read.schema("host string, url string, depth long, batch long").parquet(f"{folder}/out")
+    least = written.groupBy("url").agg(F.min("depth").alias("depth"))
+    return spark.read.schema("host string, url string").parquet(f"{folder}/visits").select("url").join(least, "url")

@@ -1,7 +1,7 @@
 """Pages: tables of them, and a live source that fetches URLs.
 
-The live source is a Python data source: a partition per batch of URLs of one host, so that a host's minimum
-delay holds within a task.  Fetching is a plain HTTP GET, or any callable given by
+The live source is a Python data source: a partition per host, whose URLs are fetched in batches one after the other, so that a host's minimum
+delay holds over all of them.  Fetching is a plain HTTP GET, or any callable given by
 import path (a browser, a test double).  A page never fails its task: errors have status 500.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import importlib
 import random
+import re
 import time
 import urllib.error
 import urllib.request
@@ -53,7 +54,7 @@ def http_get(url: str, timeout: float) -> tuple[str, int]:
 
 
 @dataclass
-class _Batch(InputPartition):
+class _Host(InputPartition):
     urls: tuple[str, ...]
 
 
@@ -67,16 +68,16 @@ class _Reader(DataSourceReader):
         by_host: dict[str, list[str]] = {}
         for url in self.urls:
             by_host.setdefault(urlparse(url).netloc, []).append(url)
-        return [_Batch(tuple(v[k : k + self.batch])) for v in by_host.values() for k in range(0, len(v), self.batch)]
+        return [_Host(tuple(v)) for v in by_host.values()]
 
-    def read(self, partition: _Batch) -> Iterator[tuple]:
+    def read(self, partition: _Host) -> Iterator[tuple]:
         fetch = http_get
         if self.fetcher:
             module, _, name = self.fetcher.rpartition(".")
             fetch = getattr(importlib.import_module(module), name)
         for k, url in enumerate(partition.urls):
-            if k:
-                time.sleep(self.delay + random.uniform(0, self.delay))
+            if k:  # a longer pause between batches
+                time.sleep((1 if k % self.batch else 2) * self.delay + random.uniform(0, self.delay))
             html, status = fetch(url, self.timeout)
             yield url, html, status
 
@@ -96,5 +97,7 @@ class LivePages(DataSource):
 
 
 def fetch(spark: SparkSession, urls: list[str], **options) -> DataFrame:
+    """url, html, status of each of the URLs that is worth fetching."""
     spark.dataSource.register(LivePages)
+    urls = [u for u in urls if not re.search(PRUNED, u)]
     return spark.read.format("live_pages").option("urls", "\n".join(urls)).options(**{k: str(v) for k, v in options.items()}).load()

@@ -1,50 +1,39 @@
 """Streams of pages: incremental extraction, live metrics, and a visited set as state.
 
-``first_visits`` keeps, per host, the URLs already seen, so a stream of discovered links yields each
-once; state is dealt by host and kept by the engine's state store.  ``extract_stream`` is the
+``first_visits`` keeps the URLs already seen, so a stream of discovered links yields each
+once; its state is an entry for each URL in the engine's state store.  ``extract_stream`` is the
 micro-batch form of the page pass; ``enrich_stream`` works on new rows only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagequarry.functions import urls
 from pagequarry.operators import pages
 
-#: Sub-keys of a host, so that a large site's URLs aren't the state of one task.
-SALTS = 64
-
-
 def extract_stream(stream: DataFrame, mode: str = "generic") -> DataFrame:
     """Extraction of a stream of (page_id, url, html), with processed and failed counts as observed metrics."""
     out = pages.extract(stream, mode)
     return out.observe("extraction", F.count_if(F.col("success")).alias("processed"), F.count_if(~F.col("success")).alias("failed"))
 
 
-def _visit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = set(state.get[0]) if state.exists else set()
-    new = []
-    for frame in frames:
-        for url, depth in sorted(zip(frame["url"], frame["depth"], strict=True), key=lambda x: (x[1], x[0])):
-            if url not in seen:
-                seen.add(url)
-                new.append((key[0], url, depth))
-    state.update((sorted(seen),))
-    yield pd.DataFrame(new, columns=["host", "url", "depth"])
+def first_visits(links: DataFrame, max_depth: int = 5) -> DataFrame:
+    """host, url, depth of every URL's first arrival in a stream of (url, depth).
+
+    The state is one small entry for each URL, dealt by URL: a large site is no group, and a micro-batch touches only its own
+    URLs.  The depth is that of the arrival, of several in one batch any; ``least_depths`` gives the least over all that was written.
+    """
+    near = links.filter(F.col("depth") <= max_depth).select(urls.netloc("url").alias("host"), "url", "depth")
+    return near.dropDuplicates(["url"])
 
 
-def first_visits(links: DataFrame, max_depth: int = 5) -> DataFrame:
-    """host, url, depth of every URL's first discovery in a stream of (url, depth)."""
-    keyed = links.filter(F.col("depth") <= max_depth).select(urls.netloc("url").alias("host"), "url", "depth", F.pmod(F.xxhash64("url"), F.lit(SALTS)).alias("salt"))
-    return keyed.groupBy("host", "salt").applyInPandasWithState(
-        _visit, "host string, url string, depth long", "seen array<string>", "append", GroupStateTimeout.NoTimeout
-    )
+def least_depths(arrivals: DataFrame) -> DataFrame:
+    """host, url and the least depth of each URL, from a stream of (url, depth); for update or complete output."""
+    return arrivals.groupBy(urls.netloc("url").alias("host"), "url").agg(F.min("depth").alias("depth"))
 
 
 def enrich_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

@@ -260,18 +260,48 @@ def test_local_folders_serve_local_masters_only(spark, monkeypatch):
 
 def test_live_source(spark):
     reader = page_source._Reader({"urls": "https://a.x/ok1\nhttps://a.x/ok2\nhttps://b.x/no", "batchSize": "1", "delay": "0"})
-    assert len(reader.partitions()) == 3
+    assert [len(p.urls) for p in reader.partitions()] == [2, 1]  # all of a host's in one task
     reader.urls = ["http://127.0.0.1:9/none"]
     assert [x[2] for p in reader.partitions() for x in reader.read(p)] == [500]
 
 
 def test_stream_of_links_visits_each_once(spark, tmp_path):
+    rows = spark.createDataFrame([("https://x.org/a", 0), ("https://x.org/a", 0), ("https://x.org/b", 9)], "url string, depth long")
+    rows.write.parquet(str(tmp_path / "in"))
+    for n in range(2):  # the second run finds nothing new
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        run = frontier.first_visits(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert [(r["host"], r["url"], r["depth"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("x.org", "https://x.org/a", 0)]
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_stream_gives_the_least_depths(spark, tmp_path):
     rows = spark.createDataFrame([("https://x.org/a", 1), ("https://x.org/a", 0), ("https://x.org/b", 9)], "url string, depth long")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    run = frontier.first_visits(stream).writeStream.format("memory").queryName("visits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run = frontier.least_depths(stream).writeStream.format("memory").queryName("depths").option("checkpointLocation", str(tmp_path / "c")).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
-    assert [(r["url"], r["depth"]) for r in spark.sql("SELECT * FROM visits").collect()] == [("https://x.org/a", 0)]
+    assert sorted((r["url"], r["depth"]) for r in spark.sql("SELECT * FROM depths").collect()) == [("https://x.org/a", 0), ("https://x.org/b", 9)]
+
+
+def test_stats_of_a_run_with_models(spark):
+    at = "2024-01-01 00:00:0"
+    log = spark.createDataFrame([("a", True, at + "0", at + "2"), ("b", False, at + "1", at + "4")], "url string, ok boolean, started string, ended string")
+    log = log.withColumn("started", F.to_timestamp("started")).withColumn("ended", F.to_timestamp("ended"))
+    enriched = spark.createDataFrame([(True, False, 0), (True, False, 0), (True, False, 1), (True, True, None), (False, False, 2)], "processed boolean, cached boolean, batch_id int")
+    got = crawl.run_stats(log, enriched).first().asDict()
+    assert got == {"discovered": 2, "processed": 1, "failed": 1, "duration_s": 4.0, "pages_per_second": 0.25, "ai_processed": 3, "batches_processed": 2, "cache_hits": 1}
+
+
+def test_parallel_progress_is_capped_until_all_are_done(spark):
+    shown = lambda oks: crawl.parallel_progress(spark.createDataFrame([(o,) for o in oks], "ok boolean")).first()[0]
+    assert shown([True, False, None, None]) == 50.0 and shown([True] * 1999 + [None]) == 99.9 and shown([True, False]) == 100.0
+
+
+def test_pruned_urls_are_not_fetched(spark):
+    rows = spark.createDataFrame([("https://x.org/a.png",), ("https://x.org/a.CSS?v=1",), ("https://x.org/a.html",)], "url string")
+    assert [r["url"] for r in page_source.worth_fetching(rows).collect()] == ["https://x.org/a.html"]
 
 
 def test_extract_stream_and_foreach_batch(spark, tmp_path):

@@ -11,8 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes for each core below which a table of few files is dealt over the cores: its one row group would be one task.
+SMALL = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores; any other as its files are split, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -23,13 +23,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, fresh
+from .common import fresh
 
 #: Words in a window of the repetition measure.
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WS_CLASS = r"[\x20\x09-\x0D]+"
+WORD_CHAR = r"[^\x20\x09-\x0D]"
+#: Runs of characters that no rule counts; what is left of a text is short, so counting in it costs little.
+NO_MARKS = r"[^A-Z!#*$%&|<>]+"
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bangs")
 
@@ -66,22 +69,23 @@ POLICIES = (BASE, V1, V2)
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the measurements of each text, as long columns."""
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, WS_CHARS, "") != "")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD_CHAR))
     first = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).select(
         "id",
         F.array_remove(F.split("text", WS_CLASS, -1), "").alias("words"),
-        F.length(F.translate("text", WS_CHARS, "")).alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        (F.length("text") - F.length(F.translate("text", CAPITALS, ""))).alias("n_capitals"),
-        (F.length("text") - F.length(F.translate("text", "!", ""))).alias("n_bangs"),
+        F.regexp_replace("text", NO_MARKS, F.lit("")).alias("marks"),
         lines.alias("lines"),
     )
+
+    def marks(chars: str) -> Column:
+        return F.length("marks") - F.length(F.translate("marks", chars, ""))
+
     hashed = first.select(
         "id",
-        "word_chars",
-        "n_symbols",
-        "n_capitals",
-        "n_bangs",
+        F.length(F.array_join("words", "")).alias("word_chars"),
+        marks(SYMBOLS).alias("n_symbols"),
+        marks(CAPITALS).alias("n_capitals"),
+        marks("!").alias("n_bangs"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size("words").alias("n_words"),
@@ -100,7 +104,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "*",
         F.when(
             F.size("windows") > F.size(F.array_distinct("windows")),
-            F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ).alias("sorted"),
     ).drop("windows")
 
@@ -112,7 +116,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "*",
         F.when(
             F.col("sorted").isNotNull(),
-            F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), twice), lambda k: F.get("sorted", k)["i"])),
+            F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), twice), lambda k: F.get("sorted", k)["i"])),
         ).alias("places"),
     ).drop("sorted")
     steps = F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))))

@@ -110,8 +110,8 @@ def analyzed(links: DataFrame, model: Model | None = None, cache: DataFrame | No
     return out if known is None else out.unionByName(known.select(*out.columns))
 
 
-def filter_links(links: DataFrame, base_url: str, threshold: float = rules.RELEVANCE_THRESHOLD, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """The chain over links (url, page_url, page_title, page_content, ...): resolved against the site's base, of its site
+def filter_links(links: DataFrame, base_url: str | Column, threshold: float = rules.RELEVANCE_THRESHOLD, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """The chain over links (url, page_url, page_title, page_content, ...): resolved against the base (a site's, or a column), of its site
     only, with the link's text in the page, the text around it and a sample of the page for the model; relevant with at least the threshold.
 
     The columns that the chain adds (link_text, context, sample) stay; page_content doesn't.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import crawling, documents, native, rich, varied
+from . import connected, crawling, documents, native, rich, varied
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (native, documents, rich, varied, crawling):
+for _module in (native, documents, rich, varied, crawling, connected):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS_CHARS, fresh, written
+from .common import WS_CLASS, fresh, written
 
 #: Rows of a block, about.
 BLOCK_ROWS = 1024
@@ -44,8 +44,7 @@ HALVINGS = 50
 
 def n_tokens(text: str) -> Column:
     """Words as tokens: runs without white space."""
-    blank = F.translate(F.coalesce(F.col(text), F.lit("")), WS_CHARS, " " * len(WS_CHARS))
-    return F.size(F.array_remove(F.split(blank, " +", -1), "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), WS_CLASS, -1), "")).cast("long")
 
 
 def _powers(totals: str, exponent: Column) -> Column:

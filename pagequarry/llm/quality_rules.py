@@ -23,13 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import WS_CLASS, fresh
 
 #: Words in a window of the repetition measure.
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-WS_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 #: Runs of characters that no rule counts; what is left of a text is short, so counting in it costs little.
 NO_MARKS = r"[^A-Z!#*$%&|<>]+"

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words in every contract here: blank, tab, line feed, VT, FF, CR.
@@ -39,6 +41,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what Arrow holds unused is given back after each, as it else stays with a Python worker for its next tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 _local: dict[str, str] = {}
 
 

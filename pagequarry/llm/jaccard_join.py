@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import released, written
 from .idfilter import drop_ids, id_filter, may_hold, split_by_ids
 from .wordhash import mix, shingle_hashes, word_hashes
 
@@ -70,7 +70,7 @@ def _sequence_keys(words: np.ndarray) -> tuple[int, int]:
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Iterator[np.ndarray]]]:
     """Ids of a lot of rows and the word hashes of their texts."""
-    for batch in batches:
+    for batch in released(batches):
         for k in range(0, batch.num_rows, LOT):
             part = batch.slice(k, LOT)
             texts = part.column(1).cast(pa.binary()).to_pylist()
@@ -163,7 +163,7 @@ def first_order(docs: DataFrame) -> DataFrame:
 
 def _all_shingles(field: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
             chosen = pa.array(may_hold(field, ids) & np.asarray(batch.column(0).is_valid()))
             for part, hashes in _lots([batch.filter(chosen)]):

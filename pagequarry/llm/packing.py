@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .word_tokens import WordTokens
 
 #: Pieces that one task packs together, about.
@@ -43,7 +43,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         tokens = _loaded.get(path)
         if tokens is None:
             tokens = _loaded[path] = WordTokens(path)
-        for batch in batches:
+        for batch in released(batches):
             for k in range(0, batch.num_rows, LOT):
                 part = batch.slice(k, LOT)
                 rows = []

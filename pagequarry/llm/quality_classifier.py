@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 from .wordhash import mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -59,7 +59,7 @@ def _grams(words: np.ndarray) -> np.ndarray:
 
 
 def _lots(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
+    for batch in released(batches):
         for k in range(0, batch.num_rows, LOT):
             part = batch.slice(k, LOT)
             yield part.column(0), list(word_hashes(part.column(1).cast(pa.binary()).to_pylist()))
@@ -217,7 +217,7 @@ def drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, share: f
 
 def _labelled(good: np.ndarray, bad: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in released(batches):
             ids, w = batch.column("doc_id"), batch.column("mean_weight")
             is_good, is_bad = _member(ids, good), _member(ids, bad)
             chosen = pa.array(is_good | is_bad)

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space that separates words in every contract here: blank, tab, line feed, VT, FF, CR.
@@ -49,6 +51,20 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+def text_lots(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
+    """First column and texts (the second, as UTF-8) of up to ``rows`` rows with ``size`` bytes of text, or of one longer text."""
+    for batch in released(batches):
+        texts = batch.column(1).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = min(low + rows, max(low + 1, int(np.searchsorted(ends, before + size))))
+            high = min(high, batch.num_rows)
+            yield batch.column(0).slice(low, high - low), texts.slice(low, high - low).to_pylist()
+            low = high
+
+
 _local: dict[str, str] = {}
 
 
@@ -65,10 +81,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends here,
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder (with a folder for each value of ``by``), read back: its lineage ends here,
     and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, html_main, jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, shard
+from . import ann, chat_format, divergence, html_main, jaccard_join, lexical, license_scan, mixing, packing, quality_classifier, quality_rules, setsketch, shard
 from .common import table
 from .sql import SQL
 
@@ -72,6 +72,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_rows(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op11_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_df=10, top=10)
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_html_extraction": op2_html_extraction,
@@ -83,6 +95,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_sharding": op10_sharding,
+    "op11_setsketch_near_dedup": op11_setsketch_near_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 __all__ = ["QUERIES", "SQL", "TOKENIZER"]

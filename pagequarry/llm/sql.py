@@ -56,17 +56,59 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-NEAR_DUPLICATES = r"""
+
+
+def _near(size: int, percent: int, rest: str) -> str:
+    """Components over links of shingle sets; ``rest`` ends the query over w (doc_id, ws), n (sizes), k (components), c (classes)."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0),
-s AS (SELECT DISTINCT doc_id, ws[i:i+4] AS g FROM p),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {size - 1}) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, ws[i:i+{size - 1}] AS g FROM p),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1),
 c AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY ws) END AS class_id FROM w)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, class_id FROM w LEFT JOIN n USING (doc_id) JOIN k USING (doc_id) JOIN c USING (doc_id)
+{rest}
+"""
+
+
+NEAR_DUPLICATES = _near(5, 80, "SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, class_id FROM w LEFT JOIN n USING (doc_id) JOIN k USING (doc_id) JOIN c USING (doc_id)")
+SKETCHED = _near(3, 85, "SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)")
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY 1, 2),
+a AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+u AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM t) GROUP BY 1, 2, 3),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score FROM t JOIN f USING (term) JOIN w USING (term), a GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+u AS (SELECT lang, source, unnest(ws) AS term FROM d),
+o AS (SELECT lang, unnest(list_distinct(ws)) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+e AS (SELECT lang, source, term, count(*) AS n FROM u JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN e USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM c JOIN v USING (lang)),
+m AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM m JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM y UNION ALL SELECT * FROM z))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
 """
 
 SQL = {
@@ -74,4 +116,7 @@ SQL = {
     "op7_quality_rules": QUALITY,
     "op8_nearest_neighbours": NEIGHBOURS,
     "op9_jaccard_join": NEAR_DUPLICATES,
+    "op11_setsketch_near_dedup": SKETCHED,
+    "op12_lexical_search": LEXICAL,
+    "op13_source_divergence": DIVERGENCE,
 }

@@ -3,8 +3,8 @@
 Texts are joined into one byte array and hashed without a Python loop over
 words: with B(i) the prefix sums of byte(i) * R**i modulo 2**64 and R odd (so that
 it has an inverse), a word from s to e hashes to (B(e) - B(s)) * R**-s, mixed with its
-length.  Words are runs of bytes other than blank, tab, LF, VT, FF and CR; A-Z are
-lower-cased.  Bytes of other UTF-8 characters stay as they are.
+length.  Words are runs of bytes other than blank, tab, LF, VT, FF and CR, or of another class
+that leaves those out as well; A-Z are lower-cased.  Bytes of other UTF-8 characters stay as they are.
 
 A text of any length is hashed in pieces of at most ``PIECE`` bytes cut at white
 space (a single longer word grows its piece), so the arrays are bounded by the piece
@@ -27,6 +27,9 @@ _powers: dict[str, np.ndarray] = {}
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters, digits and all bytes beyond ASCII.
+ALPHANUMERIC = np.ones(256, dtype=bool)
+ALPHANUMERIC[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += 0x20
 _LOWER += np.uint64(1)
@@ -51,18 +54,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def piece_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def piece_hashes(data: bytes, lower: bool, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of data, and where they start and end."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    starts, ends = word_bounds(raw)
+    starts, ends = word_bounds(raw, is_word)
     return range_hashes((_LOWER if lower else _KEEP)[raw], starts, ends), starts, ends
 
 
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of the bytes start and end."""
-    edge = np.diff(_IS_WORD[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    edge = np.diff(is_word[raw].view(np.int8), prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
@@ -88,13 +91,13 @@ def pieces(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = True) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes | None], lower: bool = True, is_word: np.ndarray = _IS_WORD) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order; texts are hashed together up to a piece."""
     lot: list[bytes] = []
     held = 0
 
     def flush() -> Iterator[np.ndarray]:
-        hashes, starts, _ = piece_hashes(b"\n".join(lot), lower)
+        hashes, starts, _ = piece_hashes(b"\n".join(lot), lower, is_word)
         ends = np.cumsum([len(t) + 1 for t in lot])
         cuts = np.searchsorted(starts, ends)
         low = 0
@@ -108,7 +111,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> Iterator[np.nd
             yield from flush()
             lot, held = [], 0
         if len(text) > PIECE:
-            yield np.concatenate([piece_hashes(p, lower)[0] for p in pieces(text)])
+            yield np.concatenate([piece_hashes(p, lower, is_word)[0] for p in pieces(text)])
         else:
             lot.append(text)
             held += len(text) + 1

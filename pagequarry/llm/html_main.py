@@ -3,9 +3,10 @@ r"""Main text of HTML pages by tree scoring.
 A page is parsed once into a light tree.  Elements that are never part of an
 article (scripts, forms, navigation, page headers and footers, adverts, notices,
 reader comments, hidden parts) are taken out.  By class and id this takes a whole name of
-such a part on a box that is short or mostly links (adverts and reader comments: of any length); boxes
+such a part on a box: a sidebar, a notice of cookies or of anything else, a newsletter, an advert and reader comments go whatever their length, unless
+the page's ``main`` or first heading is in it (or an article in anything but comments); other parts go if they are short or mostly links.  Boxes
 that merely have such a word in their names are left out of the choice, but stay inside the
-container chosen.  A form that wraps the page (half of its text and a paragraph) is a container; any other form goes.  A ``header``
+container chosen.  If names leave a page without any text, it is read without regard to names.  A form that wraps the page (half of its text and a paragraph) is a container; any other form goes.  A ``header``
 inside an article is the head of that article if it has a heading, and stays; else, and anywhere else, it goes.  Then each paragraph passes points
 for its length and its commas to its ancestors, the whole to the parent and less
 to each one above; an ancestor's points are discounted by its link density.  The
@@ -66,10 +67,12 @@ NEVER_WORDS = READERS | frozenset(
 #: Adverts and comment threads are no text of the article at any length.
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adunit adsbygoogle sponsored outbrain taboola".split())
 THREADS = READERS - {"reply", "replies"}
+#: A box with one of these as its whole name is no text of the article at any length.
+FIRM = ADVERTS | frozenset("sidebar sidebars cookie cookies consent gdpr newsletter notice notices".split())
 #: A name with one of these is that of a part, whatever else is in it.
 STRONG = ADVERTS | frozenset("sidebar sidebars navbar topnav subnav breadcrumb breadcrumbs cookie cookies consent gdpr newsletter paywall".split())
 #: Words that go with those of a part in its name, and those that turn it into a property of the page.
-FILLERS = frozenset("area articles bar block box button buttons container group icons inner item items links list posts site thread top bottom left right wrap wrapper".split())
+FILLERS = frozenset("area articles bar block box button buttons container group icons inner item items links list posts site thread top bottom left right wrap wrapper slot unit zone label space placement".split())
 READER_FILLERS = FILLERS | frozenset("author body content form meta post section text title".split())
 PROPERTIES = frozenset("has no with without is".split())
 #: Elements that may be a part of the page; a row, cell, heading or piece of a line is text whatever its class.
@@ -177,21 +180,21 @@ def is_hidden(node: Node) -> bool:
     return "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
-def _shares(root: Node) -> dict[int, tuple[int, int, bool, bool]]:
-    """By node: length of its text and of that in links, whether an article or main and whether a p is below or with it."""
-    out: dict[int, tuple[int, int, bool, bool]] = {}
+def _shares(root: Node) -> dict[int, tuple[int, int, bool, bool, bool]]:
+    """By node: length of its text and of that in links, whether an article or main, a p, and a main or h1 is below or with it."""
+    out: dict[int, tuple[int, int, bool, bool, bool]] = {}
     for node in reversed(list(nodes(root))):
         if node.tag in NEVER_TAGS and node.tag != "form":
-            out[id(node)] = (0, 0, False, False)
+            out[id(node)] = (0, 0, False, False, False)
             continue
-        text, link, article, p = 0, 0, node.tag in ARTICLES, node.tag == "p"
+        text, link, article, p, head = 0, 0, node.tag in ARTICLES, node.tag == "p", node.tag in ("main", "h1")
         for child in node.children:
             if isinstance(child, str):
                 text += len(child.strip())
             else:
-                t, k, a, q = out[id(child)]
-                text, link, article, p = text + t, link + k, article or a, p or q
-        out[id(node)] = (text, text if node.tag == "a" else link, article, p)
+                t, k, a, q, h = out[id(child)]
+                text, link, article, p, head = text + t, link + k, article or a, p or q, head or h
+        out[id(node)] = (text, text if node.tag == "a" else link, article, p, head)
     return out
 
 
@@ -227,6 +230,13 @@ def _opens_with(node: Node, words: set[str], shares: dict) -> bool:
         at = child
 
 
+def _is_section(node: Node, words: set[str], shares: dict) -> bool:
+    """Whether a box whose id is that of reader comments is a section of a text about them: marked as one, opened by a heading
+    that has one of the words, and without a reader's comment in it."""
+    marked = node.tag == "section" or re.search(r"(^|\s)(section|level\d)(\s|$)", node.attrs.get("class", ""))
+    return bool(marked) and _opens_with(node, words, shares) and not any(c.tag in BOXES and _whole(_names(c.attrs.get("class", "")), READERS) for c in nodes(node))
+
+
 def _strings(top: Node) -> Iterator[str]:
     stack: list = [top]
     while stack:
@@ -246,21 +256,25 @@ def is_part(node: Node, shares: dict, total: int) -> bool:
     tag = node.tag
     if tag in ROWS or tag in HEADINGS or tag in ("html", "body"):
         return False
-    text, link, article, p = shares[id(node)]
-    half = tag in ("div", "section") and 2 * text >= total and p
+    text, link, article, p, head = shares[id(node)]
     classes = _names(node.attrs.get("class", ""))
-    if _whole(classes, ADVERTS) and not article and not half:
+    if _whole(classes, ADVERTS) and not article and not head:
         return True
     if tag not in BOXES:
         return False
     if _whole(classes, READERS):
-        return not half
+        return not head
     ids = _names(node.attrs.get("id", "")) if tag in PARTS else []
-    if _whole(ids, READERS) and not half and not _opens_with(node, set().union(*ids) & READERS, shares):
+    if _whole(ids, READERS) and not head and not _is_section(node, set().union(*ids) & READERS, shares):
         return text <= SHORT or _whole(ids, THREADS)
-    if article or half or not (_whole(classes, NEVER_WORDS) or any(words & STRONG for words in classes)):
+    if article or head:
         return False
-    return text <= SHORT or 2 * link >= text
+    if tag != "dl" and _whole(classes, FIRM):
+        return True
+    half = tag in ("div", "section") and 2 * text >= total and p
+    if half or not (_whole(classes, NEVER_WORDS) or any(words & STRONG for words in classes)):
+        return False
+    return text <= SHORT and tag not in ("p", "dl") or 2 * link >= text
 
 
 def is_doubtful(node: Node, shares: dict, total: int) -> bool:
@@ -269,7 +283,7 @@ def is_doubtful(node: Node, shares: dict, total: int) -> bool:
     bad = words_of(node) & NEVER_WORDS
     if not bad or tag in ("html", "body", "tr") or tag in HEADINGS or tag in ROWS and not bad & STRONG:
         return False
-    text, _, article, p = shares[id(node)]
+    text, _, article, p, _ = shares[id(node)]
     # A wrapper of the whole page may be named after one of its parts.
     if article or tag in ("div", "section") and 2 * text >= total and p:
         return False
@@ -280,15 +294,15 @@ def is_doubtful(node: Node, shares: dict, total: int) -> bool:
 def goes(node: Node, inside: bool, shares: dict, total: int) -> bool:
     """Whether the tag of a node is that of a part of the page; inside: in an article."""
     if node.tag == "form":
-        text, _, _, p = shares[id(node)]
+        text, _, _, p, _ = shares[id(node)]
         return not (p and 2 * text >= total)
     if node.tag == "header" and inside:
         return not any(c.tag in HEADINGS for c in nodes(node))
     return node.tag in NEVER_TAGS
 
 
-def strip(root: Node) -> None:
-    """Take out what is never part of an article; mark what is in doubt."""
+def strip(root: Node, by_name: bool = True) -> None:
+    """Take out what is never part of an article; mark what is in doubt (by its names)."""
     shares = _shares(root)
     total = shares[id(root)][0]
     stack = [(root, False)]
@@ -302,7 +316,7 @@ def strip(root: Node) -> None:
             tag = child.tag
             if tag in NEVER_TAGS and goes(child, inside, shares, total) or child.attrs and (is_hidden(child) or child.attrs.get("role", "").lower() in NEVER_ROLES and tag != "form" and not (tag == "header" and inside)):
                 continue
-            if child.attrs and ("class" in child.attrs or "id" in child.attrs):
+            if by_name and child.attrs and ("class" in child.attrs or "id" in child.attrs):
                 if is_part(child, shares, total):
                     continue
                 child.doubt = not inside and not is_article(child) and is_doubtful(child, shares, total)
@@ -431,9 +445,13 @@ def block_texts(top: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
-    strip(root)
-    return "\n\n".join(text for top in pick(root) for text in block_texts(top))
+    for by_name in (True, False):
+        root = parse(html)
+        strip(root, by_name)
+        text = "\n\n".join(text for top in pick(root) for text in block_texts(top))
+        if text:
+            return text
+    return ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

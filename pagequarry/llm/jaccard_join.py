@@ -2,8 +2,8 @@
 
 Two texts link when 5 * |A & B| >= 4 * |A | B| over their sets of five-word shingles.
 
-*Classes.*  Texts with one word sequence are one class; its least id stands for it.
-The work below is on representatives; the rest follow through the class table.
+*Classes.*  Texts with one word sequence are one class, whatever their ids; the work below is on classes, named by the sequence's hash,
+of which the text with the least id is read again.  The rows follow through the class table.
 
 *First order: by hash.*  A set of n shingles shows its first n - ceil(4n/5) + l under this
 order, l = 1 + n // 20.  Linked sets share at least the smaller l of both prefixes, so a set
@@ -28,9 +28,9 @@ different texts is lost as to reachability, and a group of near copies costs pai
 proportion to its size.
 
 Defined results: null and empty texts, and texts without words, have no shingles and stand
-alone; fewer than five words are one shingle; a null id is in no component (null); repeated
-rows of one id and text are one document; an empty table gives no rows; further columns are
-ignored.  Shingles and word sequences are compared by 64- and 128-bit hashes.
+alone; fewer than five words are one shingle; a null id is in no component (null); each row has its row, also where ids
+repeat with one text or with several, and a component's id is the least id in it; an empty table gives no rows; further columns are
+ignored.  Shingles and word sequences are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,10 +41,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .common import released, written
-from .idfilter import drop_ids, id_filter, may_hold, split_by_ids
+from .common import fresh, released, written
+from .idfilter import id_filter, may_hold, suspects
 from .wordhash import mix, shingle_hashes, word_hashes
 
 #: Texts hashed between two record batches.
@@ -144,7 +144,7 @@ def _hash_prefixes(batches):
                 seen.clear()
             seen.add(key)
             shingles = np.unique(shingle_hashes(words))
-            held.add(doc, shingles[: prefix_length(len(shingles))], len(shingles))
+            held.add(key[0], shingles[: prefix_length(len(shingles))], len(shingles))
             if held.n >= HELD:
                 yield held.rows()
                 held = _Prefixes()
@@ -153,10 +153,11 @@ def _hash_prefixes(batches):
 
 
 def first_order(docs: DataFrame) -> DataFrame:
-    """doc: those that share enough of their prefix by hash."""
-    shown = docs.mapInArrow(_hash_prefixes, "token long, doc long, n int, known int")
-    by_token = shown.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    shared = by_token.filter("doc IS NOT NULL AND (df > 1 OR known > 0)")
+    """doc (a class): those that share enough of their prefix by hash."""
+    # Dealt by token once: the count and the join find their rows in the same exchange.
+    shown = docs.mapInArrow(_hash_prefixes, "token long, doc long, n int, known int").repartition("token")
+    shared = shown.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", F.lit(True).alias("again"))
+    shared = shown.filter("doc IS NOT NULL").join(shared, "token", "left").filter("again OR known > 0")
     shared = shared.groupBy("doc").agg(F.sum(F.greatest("known", F.lit(1))).alias("shared"), F.max("n").alias("n"))
     return shared.filter("shared >= 1 + ((4 * n + 4) div 5) div 20").select("doc")
 
@@ -166,27 +167,28 @@ def _all_shingles(field: np.ndarray):
         for batch in released(batches):
             ids = np.asarray(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), dtype=np.int64)
             chosen = pa.array(may_hold(field, ids) & np.asarray(batch.column(0).is_valid()))
-            for part, hashes in _lots([batch.filter(chosen)]):
+            for _, hashes in _lots([batch.filter(chosen)]):
+                hashes = list(hashes)
                 sets = [np.unique(shingle_hashes(w)) for w in hashes]
                 sizes = [len(s) for s in sets]
-                owner = np.repeat(part.to_numpy(zero_copy_only=False), sizes)
+                owner = np.repeat(np.array([_sequence_keys(w)[0] for w in hashes], dtype=np.int64), sizes)
                 yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(sets)), pa.array(owner), pa.array(np.repeat(np.array(sizes, dtype=np.int32), sizes))], names=["token", "doc", "n"])
 
     return run
 
 
 def second_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc, n, its shared shingles rarest first (tokens), how many of them its prefix has (m), and the
+    """Of the chosen classes (doc, class_id): doc, n, its shared shingles rarest first (tokens), how many of them its prefix has (m), and the
     prefix under the third order (other).
 
     Under both orders the shingles of one set alone come first, so both prefixes have m shared ones.
     """
-    shingles = docs.mapInArrow(_all_shingles(id_filter(chosen)), "token long, doc long, n int")
+    shingles = docs.mapInArrow(_all_shingles(id_filter(chosen.select("class_id"))), "token long, doc long, n int")
     # Counted apart and joined, not in a window: counts are added up before they are shuffled, and a join's hot key is split.
     counts = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     counted = shingles.join(counts, "token")
-    sets = counted.groupBy("doc").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    sets = sets.join(chosen, "doc", "left_semi")
+    sets = counted.groupBy("doc").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("ranked"))
+    sets = sets.join(chosen.select("doc"), "doc", "left_semi")
     return (
         sets.withColumn("m", F.expr("n - (4 * n + 4) div 5 + 1 - (n - size(ranked))"))
         .filter("m > 0")
@@ -273,36 +275,63 @@ def linked(sets: DataFrame) -> DataFrame:
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id (least id with the same word sequence), component_id."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k1, k2, n of every row of docs (doc_id, text); and k1, k2, class_id, component (a class of it), component_id of the classes.
+
+    Both are written.  Several components may share their least id, where that id has several texts.
+    """
     every = written(nodes(docs), "nodes")
-    classes = every.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    members = written(every.join(classes, ["k1", "k2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
-    near = first_order(docs)
-    chosen = members.join(near.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.col("class_id").alias("doc")).distinct()
-    chosen = written(chosen, "chosen")
+    own = every.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = written(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
+    near = first_order(docs).withColumnRenamed("doc", "k1")
+    chosen = written(classes.join(near, "k1", "left_semi").select(F.col("k1").alias("doc"), "class_id"), "chosen")
     sets = written(second_order(docs, chosen), "sets")
-    labels = linked(sets).select(F.col("node").alias("class_id"), F.col("component"))
-    out = members.join(labels, "class_id", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-    ).distinct()
+    named = classes.join(linked(sets).withColumnRenamed("node", "k1"), "k1")
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    far = named.join(least, "component").select("k1", "k2", "component", "component_id")
+    labelled = classes.join(far, ["k1", "k2"], "left").select("k1", "k2", "class_id", F.coalesce("component", "k1").alias("component"), F.coalesce("component_id", "class_id").alias("component_id"))
+    return every, written(labelled, "labelled")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least id with the same word sequence) of every row."""
+    every, labelled = _components(_plain(docs, id_col, text_col))
+    out = every.join(labelled, ["k1", "k2"], "left")
+    own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"))
+
+
+@F.arrow_udf(T.LongType())
+def _first_key(texts: pa.Array) -> pa.Array:
+    out = []
+    for k in range(0, len(texts), LOT):
+        out += [_sequence_keys(w)[0] for w in word_hashes(texts.slice(k, LOT).cast(pa.binary()).to_pylist())]
+    return pa.array(out, pa.int64())
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of docs for each component: the one with its least id, once if it is repeated.
+    """A row of docs for each component: of the rows with its least id one of the least sequence hash, once if it is repeated.
 
-    Rows with a null id, and texts without words, stand for themselves.
+    Rows with a null id stay all.  Texts without words stand for themselves, once for an id that repeats them.
+    A row goes by its id and its own text: other texts of a repeated id are judged for themselves.  Texts are
+    read again only where the id has a row that goes.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = written(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    kept = drop_ids(docs, gone, id_col)
-    repeated = written(kept.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    single, several = split_by_ids(kept, repeated, id_col)
-    return single.unionByName(several.dropDuplicates([id_col]))
+    every, labelled = _components(_plain(docs, id_col, text_col))
+    rows = every.filter("doc_id IS NOT NULL").join(labelled, ["k1", "k2"], "left")
+    best = rows.filter("n > 0").groupBy("component").agg(F.min(F.struct("doc_id", "k1")).alias("best"))
+    judged = rows.join(best, "component", "left").withColumn("goes", F.col("n") > 0)
+    judged = judged.withColumn("goes", F.col("goes") & (F.struct("doc_id", "k1") != F.col("best")))
+    judged = judged.groupBy("doc_id", "k1").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("times")).filter("goes OR times > 1")
+    judged = written(judged, "judged")
+    key, listed, own, goes = fresh(docs, "sequence_key", "listed_id", "listed_key", "goes")
+    clear, open_ = suspects(docs, judged.select("doc_id").distinct(), id_col)
+    marked = judged.select(F.col("doc_id").alias(listed), F.col("k1").alias(own), F.col("goes").alias(goes))
+    open_ = open_.withColumn(key, _first_key(F.coalesce(F.col(text_col), F.lit(""))))
+    found = open_.join(marked, (open_[id_col].cast("long") == marked[listed]) & (open_[key] == marked[own]), "left")
+    single = found.filter(F.col(goes).isNull())
+    again = found.filter(~F.col(goes)).dropDuplicates([id_col, key])
+    return clear.unionByName(single.unionByName(again).select(*docs.columns))

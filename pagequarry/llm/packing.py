@@ -1,7 +1,7 @@
 """Packing tokenised documents into sequences by the sum-of-squares rule.
 
 Documents become ids of a public tokenizer and an end id; only those longer than a
-sequence are cut.  Pieces are dealt by hash into slices of a bounded number, each
+sequence are cut.  Pieces are dealt by their row's number into slices of a bounded number, whatever their ids, each
 packed by one task: longest first, a piece goes where the sum over gaps of the squared
 number of open sequences with that gap becomes smallest (a new sequence counts as
 gap ``capacity``).  Sequences that the rule leaves with much room are then opened again and
@@ -9,7 +9,7 @@ their pieces packed once more by best fit.  A piece's tokens don't travel: packi
 lengths only.
 
 Defined results: a null or empty text is the end id alone; ties in length are ordered by
-document and piece; repeated rows are packed each for itself; an empty table gives no
+document and piece; repeated rows, repeated and null ids are packed each for itself; an empty table gives no
 rows; further columns are ignored.  Texts are tokenised whole.
 """
 
@@ -150,8 +150,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, slice_pieces: int = SLICE_PIEC
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     slices = max(1, math.ceil(pieces.count() / slice_pieces))
-    dealt = pieces.repartition(slices, F.xxhash64("doc_id", "piece", F.lit(11)))
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece")
+    # The row's number in the written table: ids may be null or repeat, so a hash of them could make one slice of all rows.
+    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).repartition(slices, F.xxhash64("row", F.lit(11)))
+    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32", "row").drop("row")
     return ordered.mapInArrow(_pack(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
@@ -162,7 +163,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
 
 def sequences(packed: DataFrame, pieces_with_ids: DataFrame) -> DataFrame:
     """sequence_id and its ids as bytes: the training rows, each of a sequence at most."""
-    own = pieces_with_ids.select("doc_id", "piece", "ids")
+    key = ("doc_id", "piece", "length", "ids_crc32")  # null and repeated ids as well: rows that agree in all four hold the same ids
+    own = pieces_with_ids.select(*(F.col(c).alias(f"own_{c}") for c in key), "ids").dropDuplicates([f"own_{c}" for c in key])
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    joined = packed.join(own, ["doc_id", "piece"]).groupBy("sequence_id").agg(parts.alias("parts"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    joined = packed.join(own, same).groupBy("sequence_id").agg(parts.alias("parts"))
     return joined.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))

@@ -6,13 +6,13 @@ its n-grams of log target - log raw.  Adding Gumbel noise and keeping the k larg
 texts without replacement in proportion to their tempered weights.
 
 Counting is one scan that adds up at most ``BUCKETS`` rows; weighing is a second one.  Only the
-two tables of bucket counts reach the driver.  So that length itself neither helps nor hurts, the
-log weight is divided by the number of n-grams (``PRIOR`` more of even odds) to the power ``LENGTH_POWER``, which is 1: their mean.
-The score is this log weight over a temperature, plus standard Gumbel noise.  The temperature is ``TEMPERATURE`` times the distance of the quartiles
-of held-out good texts, so the noise goes with the spread that weights have within the target, whatever their unit: at 1 it exceeds that spread, and the smaller it is, the more the draw is a ranking.  The k-th largest score is found by
-a few grouped counts over (id, score); nothing is sorted as a whole.
+two tables of bucket counts reach the driver.
 
-k: given, or the number of texts whose mean weight reaches a floor.  The floor is calibrated on labelled
+*Draw.*  The score is the log weight over the number of n-grams to the power ``LENGTH_POWER`` (a half: the spread of a sum grows
+so, and a long text is not drawn for its length alone) and over a temperature, which is 1, plus standard Gumbel noise.  The k-th largest score is found by
+a few grouped counts over (id, score); nothing is sorted as a whole.  k is stated: a number, or a share of the texts that pass the guard (all of them, unless told otherwise).
+
+*Guard.*  What is drawn from are the texts whose mean weight (log weight by n-gram, with ``PRIOR`` more of even odds) reaches a floor.  The floor is calibrated on labelled
 texts that the target was not fitted on: half of the good ones and the bad ones, up to ``LABELLED``
 of each label.  It is the cut that separates the two best (largest share of good kept less share of
 bad kept) among those that lose ``LOSS`` of the good at most, halfway to the next labelled text below.  Where
@@ -22,12 +22,13 @@ the distance of the quartiles.  Neither rule has the number of texts in it.
 Defined results: null and empty texts have no n-grams and weight 0; the noise is a function
 of seed and id, so repeated rows get one verdict; each row is judged by its own text, also where ids
 are null or repeated, and ``keep`` and ``resample`` keep the same rows; texts that tie with the k-th are all
-kept; k below 1 draws nothing; an empty table gives no rows; without any good label everything weighs 0 and stays;
+kept; k below 1 draws nothing; a k above the number of texts that pass the guard draws all of these; an empty table gives no rows; without any good label everything weighs 0 and stays;
 further columns are kept by ``keep`` and ignored by ``weigh``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import fresh, released, written
 from .wordhash import mix, word_hashes
 
 BUCKETS = 1 << 16
@@ -45,15 +46,17 @@ LABELLED = 100_000
 LOSS = 0.02
 #: Counts added to each bucket of both models.
 SMOOTHING = 1.0
-#: N-grams of even odds that temper the weights of short texts, and the power of the number of n-grams that weights are divided by.
-PRIOR, LENGTH_POWER = 100, 1.0
-#: Temperature of the draw, in distances of the quartiles of held-out good texts.
-TEMPERATURE = 0.1
+#: N-grams of even odds that temper the mean weights of short texts (the guard).
+PRIOR = 100
+#: Power of the number of n-grams that the log weight is divided by, and the temperature of the draw.
+LENGTH_POWER, TEMPERATURE = 0.5, 1.0
 LOT = 512
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
     """Buckets of the words and of the pairs of neighbours."""
+    if not len(words):
+        return np.empty(0, np.int64)
     pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
     return (np.concatenate([words, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -77,12 +80,11 @@ def _count(good: np.ndarray):
     def run(batches):
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for ids, texts in _lots(batches):
-            for words, is_good in zip(texts, _member(ids, good), strict=True):
-                if len(words):
-                    own = np.bincount(_grams(words), minlength=BUCKETS)
-                    raw += own
-                    if is_good:
-                        target += own
+            grams = [_grams(w) for w in texts]
+            chosen = [g for g, is_good in zip(grams, _member(ids, good), strict=True) if is_good]
+            raw += np.bincount(np.concatenate(grams), minlength=BUCKETS)
+            if chosen:
+                target += np.bincount(np.concatenate(chosen), minlength=BUCKETS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, good_ids: np.ndarray) -> np.ndarray:
 def _weigh(ratio: np.ndarray):
     def run(batches):
         for ids, texts in _lots(batches):
-            grams = [_grams(w) if len(w) else np.empty(0, np.int64) for w in texts]
+            grams = [_grams(w) for w in texts]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(g) for g in grams], pa.int64()), pa.array([float(ratio[g].sum()) for g in grams], pa.float64())], names=["doc_id", "n_grams", "log_weight"]
             )
@@ -124,10 +126,14 @@ def halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[~odd], ids[odd]
 
 
-def _score(mean: Column, ids: Column, seed: int, temperature: float) -> Column:
+def _mean(log_weight: Column, n_grams: Column) -> Column:
+    return log_weight / (n_grams + PRIOR)
+
+
+def _score(log_weight: Column, n_grams: Column, ids: Column, seed: int, temperature: float) -> Column:
     """The tempered log weight with Gumbel noise."""
     uniform = (F.shiftrightunsigned(F.xxhash64(ids.cast("long"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return mean / F.lit(temperature) - F.log(-F.log(uniform))
+    return log_weight / F.pow(F.greatest(n_grams, F.lit(1)), F.lit(LENGTH_POWER)) / F.lit(temperature) - F.log(-F.log(uniform))
 
 
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +147,7 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bad = np.setdiff1d(labelled_ids(labels, quality=0), good)
     ratio = fit(texts, fitted)
     rows = texts.mapInArrow(_weigh(ratio), "doc_id long, n_grams long, log_weight double")
-    return written(rows.withColumn("mean_weight", F.col("log_weight") / F.pow(F.col("n_grams") + PRIOR, F.lit(LENGTH_POWER))), "weights"), ratio, held_out, bad
+    return written(rows.withColumn("mean_weight", _mean(F.col("log_weight"), F.col("n_grams"))), "weights"), ratio, held_out, bad
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
@@ -191,28 +197,21 @@ def floor_of(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cut) if below is None else float((cut + below) / 2)
 
 
-def temperature_of(good: np.ndarray, share: float = TEMPERATURE) -> float:
-    """By the weights of held-out good texts; 1 where they are all alike or none."""
-    if not len(good):
-        return 1.0
-    low, high = np.quantile(good, [0.25, 0.75])
-    return float(share * (high - low)) or 1.0
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None, share: float, seed: int, temperature: float, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float, float]:
+    """The weights with their scores; the log ratios; the floor of the guard; the least score that is drawn.
 
-
-def drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, share: float, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, float, float]:
-    """The weights with their scores; the log ratios; the temperature; the least score that is drawn.
-
-    k: None for the number of texts whose weight reaches the floor.  Floor and temperature are fitted on bounded
+    k: None for a share of the texts that pass the guard.  The floor is fitted on bounded
     samples of both labels; the count covers all texts.
     """
     weights, ratio, *ids = weigh(docs, labels, id_col, text_col)
-    good, bad = held_out_weights(weights, *ids)
-    temperature = temperature_of(good, share)
-    scored = weights.withColumn("score", _score(F.col("mean_weight"), F.col("doc_id"), seed, temperature))
-    if k is None:
-        k = weights.filter(F.col("mean_weight") >= F.lit(floor_of(good, bad))).count()
-    least = kth_largest(scored, k) if k > 0 and not weights.isEmpty() else float("inf")
-    return scored, ratio, temperature, least
+    floor = floor_of(*held_out_weights(weights, *ids))
+    scored = weights.withColumn("score", _score(F.col("log_weight"), F.col("n_grams"), F.col("doc_id"), seed, temperature))
+    passed = scored.filter(F.col("mean_weight") >= F.lit(floor))
+    n = passed.count()
+    k = math.ceil(share * n) if k is None else k
+    if k >= n:
+        return scored, ratio, floor, -math.inf
+    return scored, ratio, floor, kth_largest(passed, k) if k > 0 else math.inf
 
 
 def _labelled(good: np.ndarray, bad: np.ndarray):
@@ -226,27 +225,35 @@ def _labelled(good: np.ndarray, bad: np.ndarray):
     return run
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn: the k largest scores, with those that tie with the k-th."""
-    scored, _, _, least = drawn(docs, labels, k, seed, temperature, id_col, text_col)
-    return scored.filter(F.col("score") >= F.lit(least))
+def resample(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, share: float = 1.0, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_grams, log_weight, mean_weight, score of the texts drawn: of those that pass the guard the k largest scores, with those that tie with the k-th."""
+    scored, _, floor, least = drawn(docs, labels, k, share, seed, temperature, id_col, text_col)
+    return scored.filter((F.col("mean_weight") >= F.lit(floor)) & (F.col("score") >= F.lit(least)))
 
 
-def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, share: float = 1.0, seed: int = 17, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of docs that are drawn, with the columns of docs.
 
     Texts are weighed once more in the scan that returns them, so no row is found again by its id.
     """
-    _, ratio, temperature, least = drawn(docs, labels, k, seed, temperature, id_col, text_col)
+    _, ratio, floor, least = drawn(docs, labels, k, share, seed, temperature, id_col, text_col)
 
-    @F.arrow_udf("double")
-    def mean_weight(texts: pa.Array) -> pa.Array:
-        out = []
+    @F.arrow_udf("log_weight double, n_grams long")
+    def weight(texts: pa.Array) -> pa.Array:
+        weights, sizes = [], []
         for at in range(0, len(texts), LOT):
             for words in word_hashes(texts.slice(at, LOT).cast(pa.binary()).to_pylist()):
-                grams = _grams(words) if len(words) else np.empty(0, np.int64)
-                out.append(float(ratio[grams].sum()) / float(np.power(len(grams) + PRIOR, LENGTH_POWER)))
-        return pa.array(out, pa.float64())
-
-    mean = mean_weight(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.filter(_score(mean, F.col(id_col), seed, temperature) >= F.lit(least))
+                grams = _grams(words)
+                weights.append(float(ratio[grams].sum()))
+                sizes.append(len(grams))
+        return pa.StructArray.from_arrays([pa.array(weights, pa.float64()), pa.array(sizes, pa.int64())], names=["log_weight", "n_grams"])
+
+    (name,) = fresh(docs, "weight")
+    own = docs.withColumn(name, weight(F.coalesce(F.col(text_col), F.lit(""))))
+    log_weight, n_grams = F.col(name)["log_weight"], F.col(name)["n_grams"]
+    drawn_rows = (_mean(log_weight, n_grams) >= F.lit(floor)) & (_score(log_weight, n_grams, F.col(id_col), seed, temperature) >= F.lit(least))
+    return own.filter(drawn_rows).drop(name)

@@ -22,8 +22,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_text(table(spark, sf_dir, "pages"))
 
 
+#: Share of the texts that pass the classifier's guard which its query draws.
+DRAWN = 0.98
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    drawn = quality_classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), share=DRAWN)
     return drawn.withColumn("kept", F.lit(True))
 
 

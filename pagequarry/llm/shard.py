@@ -5,22 +5,24 @@ tightest bin that still holds them; the bins stand in a balanced search tree
 ordered by remaining capacity.  One task packs one hash slice of the groups
 into *blocks* of a fixed capacity, so no task sees more than its slice.  The
 blocks, of which there are a bounded number per shard plus one or two per slice, are
-then packed the same way into the shards: for a given number of shards the
-capacity is bisected, for a given capacity the number of shards follows.
+then packed the same way into the shards: for a given number of shards the capacity is the level to which
+they would fill like water (what is larger than that has a shard alone), and what
+fits no longer enters the emptiest shard; for a given capacity the number of shards follows.
 
 A group larger than a whole shard cannot be indivisible and the shards near
 equal; only such a group is cut, into parts of block size by a hash of its row
-ids.  Groups up to a shard's size stay whole, however many rows they have: their
+numbers.  Groups up to a shard's size stay whole, however many rows they have: their
 rows are numbered in salted lots, so no task orders a whole hot group.
 
 Defined results: a null or empty text has size 1 and is one group with all
 such texts; ties are ordered by the group's hash; an empty table gives no
-rows.  Row ids may repeat; each row gets its own slot.  Equality of texts is that of
+rows.  Row ids may repeat or be null; each row gets its own slot.  A single row larger than a shard has one alone.  Equality of texts is that of
 their SHA-256.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -127,17 +129,14 @@ class CapacityTree:
         return best
 
 
-def best_fit(sizes, capacity: int, tree: CapacityTree | None = None, opened: int = 0, at_most: int | None = None) -> list[int] | None:
-    """The bin of each size, in the given order; None if more than at_most bins are needed.
-    A size above the capacity gets a bin of its own."""
+def best_fit(sizes, capacity: int, tree: CapacityTree | None = None, opened: int = 0) -> list[int]:
+    """The bin of each size, in the given order.  A size above the capacity gets a bin of its own."""
     tree = tree or CapacityTree()
     bins = []
     for size in sizes:
         size = int(size)
         found = tree.tightest(size)
         if found is None:
-            if at_most is not None and opened >= at_most:
-                return None
             found, left = (capacity, opened), capacity - size
             opened += 1
         else:
@@ -149,21 +148,36 @@ def best_fit(sizes, capacity: int, tree: CapacityTree | None = None, opened: int
     return bins
 
 
+def level(sizes: list[int], n_shards: int) -> int:
+    """The mean of what is left for each shard when every size above it has a shard alone."""
+    left, rest = n_shards, sum(sizes)
+    for size in sorted(sizes, reverse=True):
+        if left <= 1 or size * left <= rest:
+            break
+        left, rest = left - 1, rest - size
+    return max(1, math.ceil(rest / max(1, left)))
+
+
 def into_shards(sizes: list[int], n_shards: int) -> list[int]:
-    """Best fit decreasing with the least capacity (bisected) that needs no more than n_shards bins."""
+    """Best fit decreasing into shards filled up to their level; what then fits nowhere goes, still the largest first, to the emptiest."""
+    capacity, out, fills = level(sizes, n_shards), [0] * len(sizes), [0] * n_shards
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    falling = [sizes[i] for i in order]
-    low, high = max(math.ceil(sum(sizes) / n_shards), max(sizes, default=1)), sum(sizes) or 1
-    best = best_fit(falling, high, at_most=n_shards)
-    while low < high:
-        mid = (low + high) // 2
-        if (found := best_fit(falling, mid, at_most=n_shards)) is not None:
-            best, high = found, mid
-        else:
-            low = mid + 1
-    out = [0] * len(sizes)
-    for i, b in zip(order, best, strict=True):
-        out[i] = b
+    tree = CapacityTree()
+    for b in range(n_shards):
+        tree.add((capacity, b))
+    empty = [(0, b) for b in range(n_shards)]  # fills, some of them out of date
+    for i in order:
+        found = tree.tightest(sizes[i])
+        if found is None:
+            while fills[empty[0][1]] != empty[0][0]:
+                heapq.heapreplace(empty, (fills[empty[0][1]], empty[0][1]))
+            found = (capacity - empty[0][0], empty[0][1])
+        b = out[i] = found[1]
+        if found[0] > 0:
+            tree.remove(found)
+        fills[b] += sizes[i]
+        if capacity > fills[b]:
+            tree.add((capacity - fills[b], b))
     return out
 
 
@@ -202,7 +216,7 @@ def shard_rows(
     share a shard.  With ``capacity`` (bytes) instead of ``n_shards``, as few shards
     of that capacity as best fit decreasing finds."""
     spark = docs.sparkSession
-    rows = written(measured(docs, id_col, text_col), "shard-rows")
+    rows = written(measured(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.approx_count_distinct("text_hash")).first()
     bytes_all, n_rows, n_groups = int(total[0]), int(total[1]), int(total[2])
     shard_bytes = max(1, capacity if capacity else math.ceil(bytes_all / n_shards))
@@ -215,13 +229,13 @@ def shard_rows(
     cut = whole.filter(F.col("group_bytes") > shard_bytes).select("text_hash", F.ceil(F.col("group_bytes") / block_bytes).alias("lots"))
     cut = {bytes(r["text_hash"]): int(r["lots"]) for r in cut.collect()}  # fewer than there are shards
 
-    def lot(hash_col, id_expr):
+    def lot(hash_col, row):
         out = F.lit(0).cast("long")
         for text_hash, lots in cut.items():
-            out = F.when(hash_col == F.lit(text_hash), F.pmod(F.xxhash64(id_expr), F.lit(lots))).otherwise(out)
+            out = F.when(hash_col == F.lit(text_hash), F.pmod(F.xxhash64(row), F.lit(lots))).otherwise(out)
         return out
 
-    rows = rows.withColumn("lot", lot(F.col("text_hash"), F.col("doc_id")))
+    rows = rows.withColumn("lot", lot(F.col("text_hash"), F.col("row")))
     groups = rows.groupBy("text_hash", "lot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
     packed = written(
         groups.repartition(slices, "text_hash", "lot")
@@ -247,7 +261,7 @@ def shard_rows(
     placed = spark.createDataFrame(placed, "block long, shard int, block_start long, block_lots int")
 
     home = packed.select("text_hash", "lot", "block").join(F.broadcast(placed), "block") if len(blocks) <= 200_000 else packed.select("text_hash", "lot", "block").join(placed, "block")
-    kept = written(rows.join(home, ["text_hash", "lot"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("block_lots"))).select("doc_id", "size", "text_crc32", "shard", "block", "block_start", "sub"), "shard-placed")
+    kept = written(rows.join(home, ["text_hash", "lot"]).withColumn("sub", F.pmod(F.xxhash64("row", F.lit(3)), F.col("block_lots"))).select("doc_id", "size", "text_crc32", "shard", "block", "block_start", "sub"), "shard-placed")
     subs = kept.groupBy("block", "sub").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("block").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     subs = subs.select("block", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("sub_start"))

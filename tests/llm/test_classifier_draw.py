@@ -53,3 +53,27 @@ def test_repeated_rows_long_texts_and_no_texts(spark):
     assert twice == sorted(once * 2)
     assert quality_classifier.keep(docs, labels, k=0).count() == 0 == quality_classifier.keep(docs.limit(0), labels).count()
     assert quality_classifier.keep(docs.withColumn("score", F.lit(1)), labels.limit(0)).count() == len(rows)
+
+
+def test_shares_by_decile_follow_the_weights(spark):
+    """Half of the texts are drawn; each decile's share is that of draws with other noise, and noise decides within deciles."""
+    rng = random.Random(44)
+    # Good texts differ in how many of their words are known from labelled ones.
+    texts = [" ".join(f"w{rng.randrange(60)}" if rng.random() < share else f"v{rng.randrange(4000)}" for _ in range(rng.randrange(60, 200))) for share in (k % 10 / 20 + 0.5 for k in range(2000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 10 > 6), 0) for i in range(0, 1000)], "doc_id long, quality int, toxic int").filter("quality = 1")
+    rows = quality_classifier.resample(docs, labels).collect()
+    z = np.array([r["log_weight"] / np.sqrt(max(1, r["n_grams"])) for r in rows])
+    ids = np.array([r["doc_id"] for r in rows])
+    k = len(rows) // 2
+    drawn = {r["doc_id"] for r in quality_classifier.resample(docs, labels, k=k).collect()}
+    assert len(drawn) == k == len({r["doc_id"] for r in quality_classifier.resample(docs, labels, share=0.5).collect()}) - len(rows) % 2
+    tenth = np.argsort(np.argsort(z)) * 10 // len(z)
+    own = np.array([np.mean([i in drawn for i in ids[tenth == d]]) for d in range(10)])
+    other, generator = np.zeros(10), np.random.default_rng(5)
+    for _ in range(200):
+        chosen = np.zeros(len(z), dtype=bool)
+        chosen[np.argsort(z + generator.gumbel(size=len(z)))[-k:]] = True
+        other += np.array([chosen[tenth == d].mean() for d in range(10)]) / 200
+    assert np.abs(own - other).max() < 0.13 and own[-1] - own[0] > 0.15
+    assert ((own > 0.02) & (own < 0.98)).sum() >= 6

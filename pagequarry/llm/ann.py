@@ -142,16 +142,24 @@ def _encode(rotation: np.ndarray, centres: np.ndarray):
     return run
 
 
-def _probe(centres: np.ndarray, probes: int):
+def _probe(centres: np.ndarray, probes: int, held: np.ndarray, k: int):
+    """Each query with the lists nearest to it: ``probes`` of them, and more where these hold fewer than k vectors beside its own."""
     d = centres.shape[1]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = nearest_lists(_matrix(batch.column(1), d), centres, probes)
-            take = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(lists.ravel().astype(np.int32))], names=["query_id", "query", "list"])
+            points, own = _matrix(batch.column(1), d), batch.column(2).to_numpy()
+            lists = nearest_lists(points, centres, probes)
+            rows, chosen = [np.repeat(np.arange(len(points)), lists.shape[1])], [lists.ravel()]
+            for row in np.flatnonzero(held[lists].sum(axis=1) < k + own):
+                order = nearest_lists(points[row : row + 1], centres, len(centres))[0]
+                enough = np.searchsorted(np.cumsum(held[order]), k + own[row]) + 1
+                rows.append(np.full(max(0, min(enough, len(order)) - probes), row))
+                chosen.append(order[probes:enough])
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(chosen).astype(np.int32))], names=["query_id", "query", "list"])
 
     return run
 
@@ -242,12 +250,15 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, pr
     asked = rows.filter(F.col("vec_id") % 100 == 0) if queries is None else usable(queries, id_col, vector_col)[0].filter(F.size("vector") == d)
     if not d:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = written(asked.groupBy("vec_id").agg(F.min("vector").alias("vector")), "ann-asked")
+    asked = written(asked.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count(F.lit(1)).alias("times")), "ann-asked")
     rotation, centres = fit(rows, d, list_count(rows.count()))
     kind = rows.schema["vector"].dataType.simpleString()
     index = written(rows.mapInArrow(_encode(rotation, centres), f"vec_id long, vector {kind}, list int, code binary, norm double, own double"), "ann-index")
     probes = min(len(centres), probes or measured_probes(index, asked, centres, k))
-    routed = written(asked.mapInArrow(_probe(centres, probes), f"query_id long, query {kind}, list int"), "ann-queries")
+    counts = index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row per list
+    held = np.zeros(len(centres), dtype=np.int64)
+    held[counts.column("list").to_numpy()] = counts.column("n").to_numpy()
+    routed = written(asked.mapInArrow(_probe(centres, probes, held, k), f"query_id long, query {kind}, list int"), "ann-queries")
 
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUB_ROWS).alias("subs"))
     sizes = sizes.join(routed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks")), "list")

@@ -28,8 +28,8 @@ different texts is lost as to reachability, and a group of near copies costs pai
 proportion to its size.
 
 Defined results: null and empty texts, and texts without words, have no shingles and stand
-alone; fewer than five words are one shingle; a null id is in no component (null); each row has its row, also where ids
-repeat with one text or with several, and a component's id is the least id in it; an empty table gives no rows; further columns are
+alone; fewer than five words are one shingle; a null id is in no component (null); repeated rows of one id and text are one document, an id's other texts
+are documents of their own, and a component's id is the least id in it; an empty table gives no rows; further columns are
 ignored.  Shingles and word sequences are compared by 64-bit hashes.
 """
 
@@ -177,18 +177,18 @@ def _all_shingles(field: np.ndarray):
     return run
 
 
-def second_order(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Of the chosen classes (doc, class_id): doc, n, its shared shingles rarest first (tokens), how many of them its prefix has (m), and the
+def second_order(docs: DataFrame, chosen: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Of the texts whose id is chosen (doc), or of those of them that are of the given classes (doc): doc (the class), n, its shared shingles rarest first (tokens), how many of them its prefix has (m), and the
     prefix under the third order (other).
 
     Under both orders the shingles of one set alone come first, so both prefixes have m shared ones.
     """
-    shingles = docs.mapInArrow(_all_shingles(id_filter(chosen.select("class_id"))), "token long, doc long, n int")
+    shingles = docs.mapInArrow(_all_shingles(id_filter(chosen)), "token long, doc long, n int")
     # Counted apart and joined, not in a window: counts are added up before they are shuffled, and a join's hot key is split.
     counts = shingles.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     counted = shingles.join(counts, "token")
     sets = counted.groupBy("doc").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("df", "token"))).alias("ranked"))
-    sets = sets.join(chosen.select("doc"), "doc", "left_semi")
+    sets = sets if classes is None else sets.join(classes, "doc", "left_semi")
     return (
         sets.withColumn("m", F.expr("n - (4 * n + 4) div 5 + 1 - (n - size(ranked))"))
         .filter("m > 0")
@@ -285,7 +285,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(own.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
     near = first_order(docs).withColumnRenamed("doc", "k1")
     chosen = written(classes.join(near, "k1", "left_semi").select(F.col("k1").alias("doc"), "class_id"), "chosen")
-    sets = written(second_order(docs, chosen), "sets")
+    sets = written(second_order(docs, chosen.select("class_id"), chosen.select("doc")), "sets")
     named = classes.join(linked(sets).withColumnRenamed("node", "k1"), "k1")
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     far = named.join(least, "component").select("k1", "k2", "component", "component_id")
@@ -298,9 +298,9 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (least id with the same word sequence) of every row."""
+    """doc_id, n_shingles, component_id, class_id (least id with the same word sequence) of every id and text."""
     every, labelled = _components(_plain(docs, id_col, text_col))
-    out = every.join(labelled, ["k1", "k2"], "left")
+    out = every.dropDuplicates(["doc_id", "k1", "k2"]).join(labelled, ["k1", "k2"], "left")
     own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"))
 

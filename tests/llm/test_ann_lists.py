@@ -55,3 +55,16 @@ def test_repeated_ids_are_candidates_each_and_one_query(spark):
 def test_lists_grow_with_the_table():
     counts = [ann.list_count(n) for n in (0, 10, 2_000, 2_000_000, 10**8, 10**9, 10**12)]
     assert counts == sorted(counts) and counts[:3] == [1, 1, 1] and counts[3] == 1000 and counts[4] == 40_000 and counts[-1] == ann.SAMPLE // 4
+
+
+def test_queries_of_small_lists_find_k(spark):
+    """Two queries far from all others, each with a list of its own or nearly so."""
+    rng = np.random.default_rng(9)
+    rows = [(k + 1000, (rng.normal(0, 1, 8) + 20 * (k % 25)).tolist()) for k in range(2500) if (k + 1000) % 100]
+    rows += [(100, [900.0] * 8), (100, [900.5] * 8), (200, [-700.0] * 8), (201, [-701.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, k=10, probes=1).collect()
+    for q, vector in ((100, [900.0] * 8), (200, [-700.0] * 8)):
+        mine = [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert len(mine) == 10 and q not in mine
+    assert [r["vec_id"] for r in found if r["query_id"] == 200 and r["rank"] == 1] == [201]

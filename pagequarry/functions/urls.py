@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import rules
 
@@ -54,20 +50,77 @@ def path_depth(url) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, "/", -1)))
 
 
-@F.pandas_udf(T.StringType())
-def _urljoin(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(b, h):
-        try:
-            return None if b is None or h is None else urljoin(b, h)
-        except ValueError:
-            return None
+# Schemes under which references are relative, and of these the one without an authority.
+RELATIVE_SCHEMES = ("", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss")
+#: Schemes whose last path segment may have parameters behind a semicolon.
+PARAMETER_SCHEMES = ("", "ftp", "http", "prospero", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu", "mms", "sftp")
+
+
+def _named(text: Column, at: int) -> Column:
+    return F.regexp_extract(text, _URL, at)
+
+
+def _cleaned(reference: Column) -> Column:
+    """Without leading control signs and blanks, tabs and line ends."""
+    return F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
 
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+def _path_and_parameters(path: Column, scheme: Column) -> tuple[Column, Column]:
+    """The path, and what stands behind the first semicolon of its last segment."""
+    split = r"^((?:[^/]*/)*[^/;]*)(?:;([^/]*))?$"
+    has = scheme.isin(*PARAMETER_SCHEMES)
+    return F.when(has, F.regexp_extract(path, split, 1)).otherwise(path), F.when(has, F.regexp_extract(path, split, 2)).otherwise("")
+
+
+def without_dots(segments: Column) -> Column:
+    """The segments after "." is dropped and ".." has taken the one before it away: a stack folded over them."""
+    pushed = lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(s == ".", held).otherwise(F.concat(held, F.array(s)))
+    return F.aggregate(segments, F.array().cast("array<string>"), pushed)
+
+
+def _unsplit(scheme: Column, authority: Column, path: Column, parameters: Column, query_: Column, fragment_: Column) -> Column:
+    whole = F.concat(path, F.when(parameters != "", F.concat(F.lit(";"), parameters)).otherwise(""))
+    rooted = F.when((whole != "") & ~whole.startswith("/"), F.concat(F.lit("/"), whole)).otherwise(whole)
+    empty = (scheme != "") & ((whole == "") | whole.startswith("/"))  # all relative schemes have an authority, if an empty one
+    placed = F.when(authority != "", F.concat(F.lit("//"), authority, rooted)).when(whole.startswith("//") | empty, F.concat(F.lit("//"), whole)).otherwise(whole)
+    out = F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), placed)
+    out = F.concat(out, F.when(query_ != "", F.concat(F.lit("?"), query_)).otherwise(""))
+    return F.concat(out, F.when(fragment_ != "", F.concat(F.lit("#"), fragment_)).otherwise(""))
 
 
 def join(base, href) -> Column:
-    """urljoin(base, href) of any reference, Arrow-batched."""
-    return _urljoin(_c(base), _c(href))
+    """The reference href resolved against base (RFC 3986, with empty segments inside a relative path dropped); JVM-side.
+
+    Null where either is null or an authority has one bracket without the other.
+    """
+    b, h = _c(base), _c(href)
+    bc, hc = _cleaned(b), _cleaned(h)
+    bs, hs = F.lower(_named(bc, 1)), F.lower(_named(hc, 1))
+    hs = F.when(hs == "", bs).otherwise(hs)
+    bn, hn, bq, hq, hf = _named(bc, 2), _named(hc, 2), _named(bc, 4), _named(hc, 4), _named(hc, 5)
+    bp, bw = _path_and_parameters(_named(bc, 3), bs)
+    hp, hw = _path_and_parameters(_named(hc, 3), hs)
+    one_bracket = F.lit(False)
+    for authority in (bn, hn):
+        one_bracket = one_bracket | (F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]")))
+    itself = _unsplit(bs, bn, bp, bw, F.when(hq == "", bq).otherwise(hq), hf)
+    # The base's segments without its last one (an empty one stays), then the reference's.
+    base_parts = F.split(bp, "/", -1)
+    base_parts = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, F.lit(1), F.size(base_parts) - 1)).otherwise(base_parts)
+    both = F.concat(base_parts, F.split(hp, "/", -1))
+    inner = F.filter(both, lambda s, i: (i == 0) | (i == F.size(both) - 1) | (s != ""))
+    segments = F.when(hp.startswith("/"), F.split(hp, "/", -1)).otherwise(inner)
+    kept = without_dots(segments)
+    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.array_join(kept, "/")
+    resolved = _unsplit(hs, bn, F.when(joined == "", "/").otherwise(joined), hw, hq, hf)
+    found = (
+        F.when((hs != bs) | ~hs.isin(*RELATIVE_SCHEMES), h)
+        .when(hn != "", _unsplit(hs, hn, hp, hw, hq, hf))
+        .when((hp == "") & (hw == ""), itself)
+        .otherwise(resolved)
+    )
+    return F.when(b == "", h).when(h == "", b).when(b.isNotNull() & h.isNotNull() & ~one_bracket, found)
 
 
 def join_rooted(base, href) -> Column:

@@ -1,4 +1,9 @@
-"""Operations: run, run in the background, status, cancel; and the tool catalogue over them."""
+"""Operations: run, run in the background, status, cancel; and the tool catalogue over them.
+
+A run has one log of all its pages, fetched or failed, and its statistics, errors and status come from that.  Operations are rows of
+an append-only table of events, where one is named in the settings: their latest state is a ``max_by``, so it outlives the driver that ran them, and a
+stream may follow them.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +12,22 @@ import os
 import re
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import rules, urls, validation
 
-from . import crawl, enrich, export, pages, relevance
+from pagequarry.sources import cache
+
+from . import crawl, enrich, export, live, pages, relevance
 from .shared import kept
 
+EVENTS = "operation_id string, seq long, at timestamp, url string, mode string, status string, progress double, url_count long, processed long, failed long, cache_hits long, ended_at string, error string"
+
 
 def operation_id_column() -> Column:
     return F.concat(F.lit("ex_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
@@ -39,6 +49,17 @@ class Settings:
     link_model: relevance.Model | None = None
     include: list[str] | None = None
     exclude: list[str] | None = None
+    #: How pages are fetched, level by level; without it they are read from the table.
+    fetch: live.FetchStage | None = None
+    #: Folders of the caches of contents and of verdicts on links, which runs read and add to.
+    content_cache: str | None = None
+    link_cache: str | None = None
+    #: Waves of a run's contents: after each its results are saved.  Batches of a task under way at a time; tries after a failure.
+    waves: int = 4
+    at_once: int = 4
+    retries: int = 1
+    #: Folder of the events of operations.
+    events: str | None = None
 
 
 @dataclass
@@ -54,20 +75,83 @@ class Operation:
     error: str | None = None
     content_map: str | None = None
     exports: list[dict] = field(default_factory=list)
+    #: Counts so far: discovered, processed and failed pages, seconds, contents that a model made and that a cache had.
+    statistics: dict = field(default_factory=dict)
+    errors: str | None = None
+
+
+@dataclass
+class Run:
+    """What a run has found: its pages, the log of all fetches, and what the models made."""
+
+    content: DataFrame
+    log: DataFrame
+    enriched: DataFrame | None = None
+
+    def statistics(self) -> dict:
+        """Counts of the log, with the contents that a model made (ai_processed) and that a cache had (cache_hits)."""
+        counts = crawl.stats(self.log).first().asDict()
+        done = {"ai_processed": 0, "cache_hits": 0}
+        if self.enriched is not None:
+            done = self.enriched.agg(F.count_if(F.col("processed") & ~F.col("cached")).alias("ai_processed"), F.count_if(F.col("cached")).alias("cache_hits")).first().asDict()
+        return counts | done
+
+
+class Events:
+    """The events of operations in a folder: one row for each change, added, never changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, op: Operation, seq: int) -> None:
+        got = op.statistics
+        row = (op.id, seq, datetime.now(), op.url, op.mode, op.status, float(op.progress), op.url_count, got.get("processed"), got.get("failed"), got.get("cache_hits"), op.ended_at, op.error)
+        self.spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(EVENTS).option("ignoreMissingFiles", "true").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(EVENTS).parquet(self.path)
+
+    def latest(self) -> DataFrame:
+        return latest_states(self.table())
+
+
+def latest_states(events: DataFrame) -> DataFrame:
+    """The last event of each operation, with the number of its events."""
+    columns = [c for c in events.columns if c != "operation_id"]
+    last = events.groupBy("operation_id").agg(F.max_by(F.struct(*columns), "seq").alias("r"), F.count(F.lit(1)).alias("events"))
+    return last.select("operation_id", "r.*", "events")
 
 
 class Pipeline:
-    """Crawl from a URL over a pages table, extract, enrich, export."""
+    """Crawl from a URL, over a pages table or by fetching, extract, enrich, export."""
 
-    def __init__(self, spark: SparkSession, table: DataFrame, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, table: DataFrame | None, settings: Settings | None = None):
         self.spark, self.table, self.settings = spark, table, settings or Settings()
         self.operations: dict[str, Operation] = {}
+        self.events = Events(spark, self.settings.events) if self.settings.events else None
+        self._changes: dict[str, int] = {}
+        self._lock = threading.Lock()
 
     def _start(self, url: str, mode: str) -> Operation:
         op = Operation(new_operation_id(), url, mode)
         self.operations[op.id] = op
+        self._changed(op)
         return op
 
+    def _changed(self, op: Operation, **values) -> None:
+        """Set values of an operation and add an event of it; progress doesn't fall."""
+        with self._lock:
+            values["progress"] = max(op.progress, values.get("progress", op.progress))
+            for name, value in values.items():
+                if name != "status" or op.status != "canceled":
+                    setattr(op, name, value)
+            self._changes[op.id] = seq = self._changes.get(op.id, -1) + 1
+        if self.events:
+            self.events.add(op, seq)
+
     def run(self, url: str, mode: str = "auto", output_dir: str | None = None, max_depth: int = 5, use_ai: bool = False, export_format: str = "both") -> dict:
         return self._run(self._start(url, mode), output_dir, max_depth, use_ai, export_format)
 
@@ -78,51 +162,91 @@ class Pipeline:
         return {"operation_id": op.id, "status": "running"}
 
     def _run(self, op: Operation, output_dir, max_depth, use_ai, export_format) -> dict:
-        op.status = "running"
+        self._changed(op, status="running")
         self.spark.sparkContext.setJobGroup(op.id, f"extract {op.url}", True)
         try:
             export.select_exporters(export_format)
-            content = self.extract(op.url, op.mode, max_depth, use_ai)
-            op.url_count = content.count()
+            found = self.collect(op.url, op.mode, max_depth, use_ai, lambda **values: self._changed(op, **values), lambda: op.status == "canceled")
+            self._changed(op, statistics=found.statistics(), url_count=found.content.count(), progress=85.0)
             if output_dir:
                 os.makedirs(output_dir, exist_ok=True)
+                op.errors = os.path.join(output_dir, "errors")
+                crawl.errors(found.log).write.mode("overwrite").json(op.errors)
                 project = self.project(op.url)
-                op.content_map = export.export_content_map(content, output_dir)["path"]
-                op.exports = export.export_all(content, output_dir, project, export_format, {"base_url": op.url})
-            op.status = "completed" if op.status != "canceled" else op.status
-            op.progress = 100.0
+                op.content_map = export.export_content_map(found.content, output_dir)["path"]
+                op.exports = export.export_all(found.content, output_dir, project, export_format, {"base_url": op.url})
+            self._changed(op, status="completed", progress=100.0, ended_at=datetime.now().isoformat())
             message = f"{op.url_count} pages"
         except Exception as error:  # the record says what happened
-            op.status = "canceled" if op.status == "canceled" else "failed"
-            op.error = message = str(error).split("\n")[0]
-        op.ended_at = datetime.now().isoformat()
+            message = str(error).split("\n")[0]
+            self._changed(op, status="failed", error=message, ended_at=datetime.now().isoformat())
         if output_dir and os.path.isdir(output_dir):
             with open(os.path.join(output_dir, "operation_info.json"), "w", encoding="utf-8") as f:
-                json.dump(asdict(op), f, indent=2)
-        return {"operation_id": op.id, "status": op.status, "message": message, "url_count": op.url_count, "exports": op.exports}
+                json.dump(asdict(op), f, indent=2, default=str)
+        return {"operation_id": op.id, "status": op.status, "message": message, "url_count": op.url_count, "exports": op.exports, "statistics": op.statistics}
 
     def extract(self, url: str, mode: str, max_depth: int, use_ai: bool) -> DataFrame:
-        """seq, url, title, content, depth, metadata, elements of the pages reached from url.
+        """seq, url, title, content, depth, metadata, elements of the pages reached from url."""
+        return self.collect(url, mode, max_depth, use_ai).content
+
+    def collect(self, url: str, mode: str, max_depth: int, use_ai: bool, told: Callable[..., None] = lambda **values: None, canceled: Callable[[], bool] = lambda: False) -> Run:
+        """The pages reached from url, and the log of all that were asked for.
 
         Each page is parsed once, for content and links together; both are written before anything reads
         them again, and so is the result with what the models made of it: crawl levels and exporters read tables.
+        told is given statistics and progress as they change.
         """
         pages.select_strategy(mode)
-        found = kept(pages.extract(self.table, mode), "extracted")
-        links = pages.links_of(pages.candidates(found), mode)
-        if use_ai:
-            near = links.join(found.select(F.col("page_id"), F.col("title").alias("page_title"), F.col("content").alias("page_content")), "page_id", "left")
-            links = relevance.filter_links(near, url, self.settings.relevance_threshold, self.settings.link_model)
-        links = links.filter(urls.glob_filter("url", self.settings.include, self.settings.exclude))
-        seeds = self.spark.range(1).select(urls.with_scheme(F.lit(url)).alias("node"))
-        edges = kept(links.select(F.col("page_url").alias("src"), F.col("url").alias("dst"), F.col("seq").alias("link_seq")), "links")
-        reached = crawl.walk(seeds, edges, max_depth, self.settings.max_pages)
-        content = found.join(reached.withColumnRenamed("node", "url"), "url").filter("success")
-        content = content.select(F.struct("depth", "page_id").alias("seq"), "url", "title", "content", "depth", "metadata", "elements")
-        if use_ai and self.settings.content_model is not None:
-            done = kept(enrich.process(content, self.settings.content_model, batch_size=self.settings.content_batch), "enriched")
-            content = enrich.written_back(content, done)
-        return kept(content, "content")
+
+        def chosen(links: DataFrame, found: DataFrame) -> DataFrame:
+            if use_ai:
+                near = links.join(found.select(F.col("page_id"), F.col("title").alias("page_title"), F.col("content").alias("page_content")), "page_id", "left")
+                links = self._relevant(near, url)
+            return links.filter(urls.glob_filter("url", self.settings.include, self.settings.exclude))
+
+        seeds = self.spark.range(1).select(urls.with_scheme(F.lit(url)).alias("url"))
+        columns = ("url", "title", "content", "depth", "metadata", "elements")
+        if self.settings.fetch is not None:
+            levels = lambda now: told(statistics={k: now[k] for k in ("processed", "failed", "queued")}, progress=0.7 * now["progress"])
+            done = live.crawl_site(seeds, self.settings.fetch, mode, max_depth, self.settings.max_pages, chosen, levels, canceled)
+            content, log = done.pages().select(F.struct("depth", "place", "page_id").alias("seq"), *columns), done.log()
+        else:
+            parsed = Observation()
+            rows = pages.extract(self.table, mode).observe(parsed, F.count_if("success").alias("processed"), F.count_if(~F.col("success")).alias("failed"))
+            found = kept(rows, "extracted")
+            told(statistics=dict(parsed.get), progress=40.0)
+            links = chosen(pages.links_of(pages.candidates(found), mode), found)
+            edges = kept(links.select(F.col("page_url").alias("src"), F.col("url").alias("dst"), F.col("seq").alias("link_seq")), "links")
+            reached = crawl.walk(seeds.withColumnRenamed("url", "node"), edges, max_depth, self.settings.max_pages)
+            told(progress=60.0)
+            now = F.current_timestamp()
+            asked = reached.withColumnRenamed("node", "url").join(found.withColumn("there", F.lit(True)), "url", "left")
+            ok = F.coalesce("success", F.lit(False))
+            asked = kept(asked.withColumn("ok", ok).withColumn("error", F.when(~ok, F.coalesce("error", F.lit("no content")))).drop("success", "parent"), "outcome")
+            log = asked.select("url", "ok", "error", "depth", now.alias("started"), now.alias("ended"))
+            content = asked.filter("ok").select(F.struct("depth", "page_id").alias("seq"), *columns)
+        if not use_ai or self.settings.content_model is None:
+            return Run(kept(content, "content"), log)
+        one = self.settings
+        options = {"batch_size": one.content_batch, "at_once": one.at_once, "retries": one.retries}
+        if one.content_cache:
+            enriched = enrich.process_saving(kept(content, "content"), one.content_model, one.content_cache, lambda rows, wave: kept(rows, f"enriched-{wave}"), one.waves, **options)
+        else:
+            enriched = kept(enrich.process(content, one.content_model, **options), "enriched")
+        # Each row is its own page: the results stand beside what they were made of, whatever URLs repeat.
+        new = F.when(F.col("processed"), F.col("result")).otherwise(F.col("content"))
+        return Run(kept(enriched.select("seq", "url", "title", new.alias("content"), "depth", "metadata", "elements"), "content"), log, enriched)
+
+    def _relevant(self, links: DataFrame, url: str) -> DataFrame:
+        """The links that are relevant, by the cache of verdicts where it has them; new verdicts of a model are saved."""
+        one = self.settings
+        if not one.link_cache or one.link_model is None:
+            return relevance.filter_links(links, url, one.relevance_threshold, one.link_model)
+        known = cache.load(self.spark, one.link_cache, cache.LINK_CACHE)
+        judged = kept(relevance.judged_links(links, url, one.link_model, known), "verdicts")
+        fresh = judged.filter("method = 'ai'").select("cache_key", "is_relevant", "relevance_score", "reason", "method").join(known.select("cache_key"), "cache_key", "left_anti")
+        cache.append(fresh, one.link_cache)
+        return relevance.passing(judged, one.relevance_threshold).drop("cache_key")
 
     @staticmethod
     def project(url: str) -> str:
@@ -130,20 +254,24 @@ class Pipeline:
         return (host[1] if host[0] == "www" and len(host) > 1 else host[0]).capitalize()
 
     def status(self, operation_id: str) -> dict:
-        if operation_id not in self.operations:
+        """The operation as it is now: of this driver, or by the events that an earlier one has left."""
+        if operation_id in self.operations:
+            return asdict(self.operations[operation_id])
+        found = self.events.latest().filter(F.col("operation_id") == operation_id).first() if self.events else None
+        if found is None:
             raise KeyError(operation_id)
-        return asdict(self.operations[operation_id])
+        return {"id": operation_id} | found.asDict()
 
     def cancel(self, operation_id: str) -> bool:
         op = self.operations[operation_id]
         if op.status not in ("pending", "running"):
             return False
-        op.status = "canceled"
+        self._changed(op, status="canceled")
         self.spark.sparkContext.cancelJobGroup(operation_id)
         return True
 
     def operations_table(self) -> DataFrame:
-        rows = [{k: v for k, v in asdict(op).items() if k not in ("exports", "content_map")} for op in self.operations.values()]
+        rows = [{k: v for k, v in asdict(op).items() if k not in ("exports", "content_map", "statistics", "errors")} for op in self.operations.values()]
         return self.spark.createDataFrame(rows, "id string, url string, mode string, status string, progress double, started_at string, ended_at string, url_count long, error string")
 
 
@@ -204,6 +332,33 @@ FRAMEWORK_MARKS = (
     ("docusaurus", r"(?i)docusaurus"), ("mkdocs", r"(?i)mkdocs"), ("sphinx", r"(?i)sphinx"), ("gitbook", r"(?i)gitbook"),
     ("vuepress", r"(?i)vuepress"), ("readthedocs", r"(?i)readthedocs"), ("jekyll", r"(?i)jekyll"), ("hugo", r'(?i)content="hugo'),
 )
+# Further marks, by framework, what they are, and their weight in hundredths; a name's is 50.
+FRAMEWORK_SIGNS = (
+    *((name, mark, "name", 50) for name, mark in FRAMEWORK_MARKS),
+    *((name, rf"(?i)<meta[^>]+generator[^>]+{name}", "generator", 40) for name in ("docusaurus", "mkdocs", "sphinx", "vuepress", "jekyll", "hugo")),
+    ("docusaurus", r"theme-doc-", "classes", 30), ("mkdocs", r"md-(content|nav|header)", "classes", 30), ("sphinx", r"(sphinxsidebar|toctree-wrapper|headerlink)", "classes", 30),
+    ("readthedocs", r"(wy-nav-side|rst-content)", "classes", 30), ("vuepress", r"theme-default-content", "classes", 30), ("gitbook", r"book-summary", "classes", 30),
+)
+
+
+def framework_evidence(html: str = "html") -> Column:
+    """framework, confidence (0 to 1) and indicators of the framework whose marks in the page weigh most, of equals the first in the
+    table of marks; ``unknown`` with 0 and no indicators where the page has none (or is null)."""
+    names = [name for name, _ in FRAMEWORK_MARKS]
+    found = []
+    for k, name in enumerate(names):
+        own = [(mark, label, weight) for n, mark, label, weight in FRAMEWORK_SIGNS if n == name]
+        shown = [F.when(F.col(html).rlike(mark), F.struct(F.lit(f"{label}:{name}").alias("indicator"), F.lit(weight).alias("weight"))) for mark, label, weight in own]
+        marks = F.array_compact(F.array(*shown))
+        weight = F.aggregate(marks, F.lit(0), lambda a, m: a + m["weight"])
+        found.append(F.struct(weight.alias("weight"), F.lit(-k).alias("place"), F.lit(name).alias("name"), F.transform(marks, lambda m: m["indicator"]).alias("indicators")))
+    best = F.array_max(F.array(*found))
+    known = F.coalesce(best["weight"] > 0, F.lit(False))
+    return F.struct(
+        F.when(known, best["name"]).otherwise("unknown").alias("framework"),
+        F.when(known, F.least(best["weight"], F.lit(100)) / 100.0).otherwise(0.0).alias("confidence"),
+        F.when(known, best["indicators"]).otherwise(F.array().cast("array<string>")).alias("indicators"),
+    )
 
 
 def detect_framework(html: str = "html") -> Column:

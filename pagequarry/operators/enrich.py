@@ -1,19 +1,23 @@
 """Content enrichment by an injected model, with a cache table and batches.
 
 The model is any callable from (list of contents, mode, content_type) to a list of texts.  Without one, contents
-pass through.  Hits come from the cache by a join; only misses reach the model, a batch at a
-time; a failing batch keeps its contents and is marked.
+pass through.  Hits come from the cache by one left join; only misses reach the model, in batches of which a task has a bounded number under
+way at a time; a failing batch is tried again, then keeps its contents and is marked.
 """
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import rules, text
+from pagequarry.sources import cache as cache_source
 
 Model = Callable[[list[str], str, str], list[str]]
 
@@ -31,34 +35,122 @@ def prompt(mode: str, content_type: str = "documentation") -> str:
     return f"You work on {content_type}. {INSTRUCTIONS.get(mode, INSTRUCTIONS['clean'])} Return only the result."
 
 
-def process(rows: DataFrame, model: Model | None = None, mode: str = "clean", content_type: str = "documentation", batch_size: int = 5, cache: DataFrame | None = None) -> DataFrame:
+def _asked(model: Model, contents: list[str], mode: str, content_type: str, retries: int, pause: float) -> tuple[list[str], str | None]:
+    """What the model makes of a batch, or the contents as they are and the error of the last try."""
+    for attempt in range(retries + 1):
+        try:
+            found = model(contents, mode, content_type)
+            if len(found) != len(contents):
+                raise ValueError(f"{len(found)} results for {len(contents)} contents")
+            return list(found), None
+        except Exception as error:  # one batch's failure is its own
+            failed = str(error)
+            if attempt < retries:
+                time.sleep(pause * 2**attempt)
+    return contents, failed
+
+
+def in_flight(batches: Iterator, call: Callable, at_once: int) -> Iterator[tuple]:
+    """(batch, call(batch)) in the order of the batches, with up to ``at_once`` calls under way; no more batches are held."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        waiting: deque = deque()
+        for batch in batches:
+            waiting.append((batch, pool.submit(call, batch)))
+            if len(waiting) >= max(1, at_once):
+                first, found = waiting.popleft()
+                yield first, found.result()
+        while waiting:
+            first, found = waiting.popleft()
+            yield first, found.result()
+
+
+def process(
+    rows: DataFrame,
+    model: Model | None = None,
+    mode: str = "clean",
+    content_type: str = "documentation",
+    batch_size: int = 5,
+    cache: DataFrame | None = None,
+    at_once: int = 1,
+    retries: int = 0,
+    pause: float = 0.5,
+) -> DataFrame:
     """rows (content, ...) with cache_key, result, processed, cached, error.
 
-    cache: (cache_key, result), of earlier calls; repeated keys count once.
+    cache: (cache_key, result), of earlier calls; repeated keys count once.  A task has up to ``at_once`` batches under way; a batch
+    that fails is tried again ``retries`` times, after a pause that doubles.
     """
     keyed = rows.withColumn("cache_key", text.content_cache_key("content", F.lit(mode if mode in rules.PROCESSING_MODES else "clean")))
     if cache is None:
-        misses, hits = keyed, None
-    else:
-        known = cache.select("cache_key", F.col("result")).dropDuplicates(["cache_key"])
-        hits = keyed.join(known, "cache_key").select(*keyed.columns, "result", F.lit(True).alias("processed"), F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"))
-        misses = keyed.join(known, "cache_key", "left_anti")
+        keyed = keyed.withColumn("_known", F.lit(None).cast("string"))
+    else:  # one pass over the rows: hits are those that the join finds
+        known = cache.filter("result IS NOT NULL").select("cache_key", F.col("result").alias("_known")).dropDuplicates(["cache_key"])
+        keyed = keyed.join(known, "cache_key", "left").select(*keyed.columns, "_known")
+    hit = F.col("_known").isNotNull()
     if model is None:
-        done = misses.select("*", F.col("content").alias("result"), F.lit(False).alias("processed"), F.lit(False).alias("cached"), F.lit(None).cast("string").alias("error"))
-        return done if hits is None else done.unionByName(hits)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+        return keyed.select("*", F.coalesce("_known", "content").alias("result"), hit.alias("processed"), hit.alias("cached"), F.lit(None).cast("string").alias("error")).drop("_known")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("_known").schema)
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in range(0, len(frame), batch_size):
-                part = frame.iloc[k : k + batch_size]
-                try:
-                    yield part.assign(result=model(part["content"].tolist(), mode, content_type), processed=True, cached=False, error=None)
-                except Exception as error:  # one batch's failure is its own
-                    yield part.assign(result=part["content"], processed=False, cached=False, error=str(error))
+        parts = (frame.iloc[k : k + batch_size] for frame in frames for k in range(0, len(frame), batch_size))
+        asked = lambda part: _asked(model, part["content"].tolist(), mode, content_type, retries, pause)
+        for part, (found, error) in in_flight(parts, asked, at_once):
+            yield part.assign(result=found, processed=error is None, cached=False, error=error)
 
-    done = misses.mapInPandas(call, f"{fields}, result string, processed boolean, cached boolean, error string")
-    return done if hits is None else done.unionByName(hits)
+    if cache is None:
+        return keyed.drop("_known").mapInPandas(call, f"{fields}, result string, processed boolean, cached boolean, error string")
+
+    def mixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Hits pass; misses are gathered over frames of the task into whole batches."""
+
+        def missed():
+            held = None
+            for frame in frames:
+                known = frame["_known"].notna()
+                if known.any():
+                    hits.append(frame[known])
+                some = frame[~known].drop(columns="_known")
+                held = some if held is None else pd.concat([held, some])
+                while len(held) >= batch_size:
+                    yield held.iloc[:batch_size]
+                    held = held.iloc[batch_size:]
+                if hits:
+                    yield held.iloc[:0]  # lets them out
+            if held is not None and len(held):
+                yield held
+
+        hits: list[pd.DataFrame] = []
+
+        def out():
+            while hits:
+                frame = hits.pop()
+                yield frame.drop(columns="_known").assign(result=frame["_known"], processed=True, cached=True, error=None)
+
+        asked = lambda part: _asked(model, part["content"].tolist(), mode, content_type, retries, pause) if len(part) else ([], None)
+        for part, (found, error) in in_flight(missed(), asked, at_once):
+            yield from out()
+            if len(part):
+                yield part.assign(result=found, processed=error is None, cached=False, error=error)
+        yield from out()
+
+    return keyed.mapInPandas(mixed, f"{fields}, result string, processed boolean, cached boolean, error string")
+
+
+def process_saving(rows: DataFrame, model: Model, path: str, save: Callable[[DataFrame, int], DataFrame], waves: int = 1, **options) -> DataFrame:
+    """``process`` with a cache at ``path``, in waves of rows by key: each wave's new results are in the cache before the next one begins, so
+    a run that is lost has lost one wave's calls.  Equal keys are of one wave; within it each is asked for once.
+
+    save: writes a wave and reads it back (it is used twice).
+    """
+    mode = options.get("mode", "clean")
+    keyed = rows.withColumn("_key", text.content_cache_key("content", F.lit(mode if mode in rules.PROCESSING_MODES else "clean")))
+    done = None
+    for wave in range(waves):
+        own = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(waves)) == wave).drop("_key")
+        found = save(process(own, model, cache=cache_source.load(rows.sparkSession, path), **options), wave)
+        cache_source.append(new_cache_rows(found), path)
+        done = found if done is None else done.unionByName(found)
+    return done
 
 
 def new_cache_rows(processed: DataFrame) -> DataFrame:
@@ -66,10 +158,14 @@ def new_cache_rows(processed: DataFrame) -> DataFrame:
     return processed.filter("processed AND NOT cached").select("cache_key", "result").dropDuplicates(["cache_key"])
 
 
-def written_back(pages: DataFrame, processed: DataFrame) -> DataFrame:
-    """pages (url, content, ...) with the new content where it was processed."""
-    new = processed.filter("processed").select("url", F.col("result").alias("_new"))
-    return pages.join(new, "url", "left").withColumn("content", F.coalesce("_new", "content")).withColumn("ai_processed", F.col("_new").isNotNull()).drop("_new")
+def written_back(pages: DataFrame, processed: DataFrame, key: str = "url") -> DataFrame:
+    """pages (key, content, ...) with the new content where it was processed.
+
+    Where pages may repeat a URL, the key is to be what tells them apart (seq, page_id).  A key with several results keeps
+    its pages as they are in number: they get the least of the results.
+    """
+    new = processed.filter("processed").groupBy(key).agg(F.min("result").alias("_new"))
+    return pages.join(new, key, "left").withColumn("content", F.coalesce("_new", "content")).withColumn("ai_processed", F.col("_new").isNotNull()).drop("_new")
 
 
 def cache_stats(processed: DataFrame) -> DataFrame:

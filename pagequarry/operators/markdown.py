@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,7 +33,7 @@ class _Writer:
             return "  \n"
         if tag == "img":
             return f"![{node.get('alt', '')}]({node.get('src', '')})" if self.images else ""
-        inner = "".join(map(self.inline, node.children))
+        inner = "".join([self.inline(c) for c in node.children])
         bare = inner.strip()
         if not bare:
             return inner
@@ -52,17 +53,28 @@ class _Writer:
         return f"```{language}\n{(code or pre).text().strip(chr(10))}\n```"
 
     def items(self, node: Element, depth: int) -> str:
-        out, k = [], 0
-        for li in (c for c in node.children if isinstance(c, Element) and c.tag == "li"):
-            k += 1
-            mark = f"{k}." if node.tag == "ol" else "*"
-            own = "".join(self.inline(c) for c in li.children if not (isinstance(c, Element) and c.tag in ("ul", "ol", "pre"))).strip()
-            out.append(f"{'  ' * depth}{mark} {own}")
-            for c in li.children:
-                if isinstance(c, Element) and c.tag in ("ul", "ol"):
-                    out.append(self.items(c, depth + 1))
-                elif isinstance(c, Element) and c.tag == "pre":
-                    out.append(self.fence(c))
+        """A list's lines.  A list right inside it is one level deeper; any other text right inside it is a line without a mark."""
+        out, k, indent = [], 0, "  " * depth
+        for c in node.children:
+            tag = c.tag if isinstance(c, Element) else ""
+            if tag in ("ul", "ol"):
+                out.append(self.items(c, depth + 1))
+            elif tag == "pre":
+                out.append(self.fence(c))
+            elif tag != "li":
+                text = self.inline(c).strip()
+                if text:
+                    out.append(indent + text)
+            else:
+                k += 1
+                mark = f"{k}." if node.tag == "ol" else "*"
+                own = "".join([self.inline(x) for x in c.children if not (isinstance(x, Element) and x.tag in ("ul", "ol", "pre"))]).strip()
+                out.append(f"{indent}{mark} {own}")
+                for x in c.children:
+                    if isinstance(x, Element) and x.tag in ("ul", "ol"):
+                        out.append(self.items(x, depth + 1))
+                    elif isinstance(x, Element) and x.tag == "pre":
+                        out.append(self.fence(x))
         return "\n".join(out)
 
     def table(self, node: Element) -> str:
@@ -87,7 +99,7 @@ class _Writer:
             tag = c.tag if isinstance(c, Element) else ""
             if tag in content.HEADS:
                 flush()
-                out.append(f"{'#' * int(tag[1])} {''.join(map(self.inline, c.children)).strip()}")
+                out.append(f"{'#' * int(tag[1])} {''.join([self.inline(x) for x in c.children]).strip()}")
             elif tag == "pre":
                 flush()
                 out.append(self.fence(c))
@@ -112,10 +124,22 @@ class _Writer:
         return [b for b in out if b]
 
 
+#: Levels of markup that are followed; the interpreter keeps them on its heap.
+LEVELS = 100_000
+
+
 def to_markdown(html: str | None, links: bool = True, images: bool = True) -> str:
+    """The Markdown of a page; markup nested beyond ``LEVELS`` gives its text alone."""
     if not html:
         return ""
-    return "\n\n".join(_Writer(links, images).blocks(dom.parse(html)))
+    held = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(held, 4 * LEVELS))
+    try:
+        return "\n\n".join(_Writer(links, images).blocks(dom.parse(html)))
+    except (RecursionError, ValueError, AssertionError):
+        return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", html)).strip()
+    finally:
+        sys.setrecursionlimit(held)
 
 
 def markdown(html, links: bool = True, images: bool = True) -> Column:

@@ -110,17 +110,26 @@ def analyzed(links: DataFrame, model: Model | None = None, cache: DataFrame | No
     return out if known is None else out.unionByName(known.select(*out.columns))
 
 
+def judged_links(links: DataFrame, base_url: str | Column, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """``filter_links`` before its filter: the links of the site with their verdicts."""
+    whole = links.withColumn("href", F.col("url")).withColumn("url", urls.join(F.lit(base_url), "url")).filter(F.col("url").isNotNull())
+    near = whole.filter(urls.same_site("url", F.lit(base_url)))
+    near = near.withColumn("link_text", F.coalesce(link_text("page_content", "href"), F.lit("")))
+    near = near.withColumn("context", context_of("page_content", "link_text")).withColumn("sample", content_sample("page_content")).drop("page_content", "href")
+    return analyzed(near, model, cache)
+
+
+def passing(judged: DataFrame, threshold: float = rules.RELEVANCE_THRESHOLD) -> DataFrame:
+    return judged.filter(F.col("is_relevant") & (F.col("relevance_score") >= threshold))
+
+
 def filter_links(links: DataFrame, base_url: str | Column, threshold: float = rules.RELEVANCE_THRESHOLD, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:
     """The chain over links (url, page_url, page_title, page_content, ...): resolved against the base (a site's, or a column), of its site
     only, with the link's text in the page, the text around it and a sample of the page for the model; relevant with at least the threshold.
 
     The columns that the chain adds (link_text, context, sample) stay; page_content doesn't.
     """
-    whole = links.withColumn("href", F.col("url")).withColumn("url", urls.join(F.lit(base_url), "url")).filter(F.col("url").isNotNull())
-    near = whole.filter(urls.same_site("url", F.lit(base_url)))
-    near = near.withColumn("link_text", F.coalesce(link_text("page_content", "href"), F.lit("")))
-    near = near.withColumn("context", context_of("page_content", "link_text")).withColumn("sample", content_sample("page_content")).drop("page_content", "href")
-    return analyzed(near, model, cache).filter(F.col("is_relevant") & (F.col("relevance_score") >= threshold))
+    return passing(judged_links(links, base_url, model, cache), threshold)
 
 
 def relevant(links: DataFrame, threshold: float = rules.RELEVANCE_THRESHOLD, model: Model | None = None, cache: DataFrame | None = None) -> DataFrame:

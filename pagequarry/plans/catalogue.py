@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import connected, crawling, documents, native, rich, varied
+from . import connected, crawling, documents, native, rich, running, varied
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (native, documents, rich, varied, crawling, connected):
+for _module in (native, documents, rich, varied, crawling, connected, running):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

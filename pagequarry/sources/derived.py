@@ -80,6 +80,20 @@ def varied_pages(documents: DataFrame) -> DataFrame:
     return documents.filter("doc_id IS NOT NULL").select(k.alias("page_id"), url.alias("url"), html.alias("html"))
 
 
+def site_pages(pages: DataFrame) -> DataFrame:
+    """url, html, status: a site of four hosts whose pages link to each other; one page in eleven is missing.
+
+    Page p is page p div 4 of host p mod 4; page i of a host points to 2i + 1, 2i + 2 and i div 3, and to a style sheet.
+    """
+    p = F.col("page_id")
+    i = F.floor(p / 4).cast("long")
+    path = lambda k: F.concat(F.lit("/p"), k.cast("string"))
+    nav = _text('<nav><a href="{a}">A</a><a href="{b}">B</a><a href="{c}">C</a><a href="{a}">A</a><a href="/style.css">S</a></nav>', a=path(2 * i + 1), b=path(2 * i + 2), c=path(F.floor(i / 3).cast("long")))
+    html = F.concat(F.lit("<html><body>"), nav, _text("<article><h1>Page {p}</h1><p>Words of page {p}.</p></article></body></html>", p=p.cast("string")))
+    url = F.concat(F.lit("https://h"), (p % 4).cast("string"), F.lit(".example.org"), path(i))
+    return pages.select(url.alias("url"), html.alias("html"), F.when(p % 11 == 10, 404).otherwise(200).alias("status"))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """src, dst, link_seq: a binary tree over page ids with a back edge and a repeated one for each page.
 

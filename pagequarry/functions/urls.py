@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,11 +67,25 @@ def _cleaned(reference: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
 
-def _path_and_parameters(path: Column, scheme: Column) -> tuple[Column, Column]:
-    """The path, and what stands behind the first semicolon of its last segment."""
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it: plans stay small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(reference: Column) -> Column:
+    """scheme, authority, path, parameters (behind the first semicolon of the last segment), query and fragment of a reference."""
     split = r"^((?:[^/]*/)*[^/;]*)(?:;([^/]*))?$"
+
+    def named(t: Column) -> Column:
+        return F.struct(F.lower(_named(t, 1)).alias("scheme"), *(_named(t, k).alias(n) for k, n in ((2, "authority"), (3, "path"), (4, "query"), (5, "fragment"))))
+
+    return _bound(_bound(_cleaned(reference), named), lambda p: F.struct(*(p[n].alias(n) for n in ("scheme", "authority", "query", "fragment")), p["path"].alias("whole"), F.regexp_extract(p["path"], split, 1).alias("path"), F.regexp_extract(p["path"], split, 2).alias("parameters")))
+
+
+def _split_path(p: Column, scheme: Column) -> tuple[Column, Column]:
+    """Path and parameters; without parameters where the scheme has none."""
     has = scheme.isin(*PARAMETER_SCHEMES)
-    return F.when(has, F.regexp_extract(path, split, 1)).otherwise(path), F.when(has, F.regexp_extract(path, split, 2)).otherwise("")
+    return F.when(has, p["path"]).otherwise(p["whole"]), F.when(has, p["parameters"]).otherwise("")
 
 
 def without_dots(segments: Column) -> Column:
@@ -94,33 +110,56 @@ def join(base, href) -> Column:
     Null where either is null or an authority has one bracket without the other.
     """
     b, h = _c(base), _c(href)
-    bc, hc = _cleaned(b), _cleaned(h)
-    bs, hs = F.lower(_named(bc, 1)), F.lower(_named(hc, 1))
-    hs = F.when(hs == "", bs).otherwise(hs)
-    bn, hn, bq, hq, hf = _named(bc, 2), _named(hc, 2), _named(bc, 4), _named(hc, 4), _named(hc, 5)
-    bp, bw = _path_and_parameters(_named(bc, 3), bs)
-    hp, hw = _path_and_parameters(_named(hc, 3), hs)
-    one_bracket = F.lit(False)
-    for authority in (bn, hn):
-        one_bracket = one_bracket | (F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]")))
-    itself = _unsplit(bs, bn, bp, bw, F.when(hq == "", bq).otherwise(hq), hf)
-    # The base's segments without its last one (an empty one stays), then the reference's.
-    base_parts = F.split(bp, "/", -1)
-    base_parts = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, F.lit(1), F.size(base_parts) - 1)).otherwise(base_parts)
-    both = F.concat(base_parts, F.split(hp, "/", -1))
-    inner = F.filter(both, lambda s, i: (i == 0) | (i == F.size(both) - 1) | (s != ""))
-    segments = F.when(hp.startswith("/"), F.split(hp, "/", -1)).otherwise(inner)
-    kept = without_dots(segments)
-    kept = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    joined = F.array_join(kept, "/")
-    resolved = _unsplit(hs, bn, F.when(joined == "", "/").otherwise(joined), hw, hq, hf)
-    found = (
-        F.when((hs != bs) | ~hs.isin(*RELATIVE_SCHEMES), h)
-        .when(hn != "", _unsplit(hs, hn, hp, hw, hq, hf))
-        .when((hp == "") & (hw == ""), itself)
-        .otherwise(resolved)
-    )
-    return F.when(b == "", h).when(h == "", b).when(b.isNotNull() & h.isNotNull() & ~one_bracket, found)
+
+    def against(both: Column) -> Column:
+        base_, own = both["base"], both["own"]
+        scheme = F.when(own["scheme"] == "", base_["scheme"]).otherwise(own["scheme"])
+        bp, bw = _split_path(base_, base_["scheme"])
+        hp, hw = _split_path(own, scheme)
+        named = F.struct(
+            base_["scheme"].alias("bs"), base_["authority"].alias("bn"), bp.alias("bp"), bw.alias("bw"), base_["query"].alias("bq"),
+            scheme.alias("hs"), own["authority"].alias("hn"), hp.alias("hp"), hw.alias("hw"), own["query"].alias("hq"), own["fragment"].alias("hf"),
+        )
+        return _bound(named, _resolved)
+
+    def _resolved(p: Column) -> Column:
+        same = (p["hs"] == p["bs"]) & p["hs"].isin(*RELATIVE_SCHEMES)
+        one_bracket = F.lit(False)
+        for authority in (p["bn"], p["hn"]):
+            one_bracket = one_bracket | (F.contains(authority, F.lit("[")) != F.contains(authority, F.lit("]")))
+        itself = (p["hp"] == "") & (p["hw"] == "")
+        # Which parts the answer has; its path is resolved last.
+        whole = F.struct(
+            p["hs"].alias("scheme"),
+            F.when(p["hn"] != "", p["hn"]).otherwise(p["bn"]).alias("authority"),
+            F.when(p["hn"] != "", p["hp"]).when(itself, p["bp"]).otherwise(_merged(p["bp"], p["hp"])).alias("path"),
+            F.when((p["hn"] == "") & itself, p["bw"]).otherwise(p["hw"]).alias("parameters"),
+            F.when((p["hn"] == "") & itself & (p["hq"] == ""), p["bq"]).otherwise(p["hq"]).alias("query"),
+            p["hf"].alias("fragment"),
+        )
+        built = _bound(whole, lambda w: _unsplit(*(w[n] for n in ("scheme", "authority", "path", "parameters", "query", "fragment"))))
+        return F.when(~one_bracket, F.when(same, built).otherwise(F.lit("\u0000")))  # of another scheme: the reference as it is
+
+    found = _bound(F.struct(_parts(b).alias("base"), _parts(h).alias("own")), against)
+    answer = _bound(found, lambda x: F.when(x == "\u0000", h).otherwise(x))
+    return F.when(b == "", h).when(h == "", b).when(b.isNotNull() & h.isNotNull(), answer)
+
+
+def _merged(base_path: Column, path: Column) -> Column:
+    """The path behind the base's last slash (or from the root), without dots; / for nothing."""
+
+    def resolved(segments: Column) -> Column:
+        last = F.element_at(segments, -1).isin(".", "..")
+        joined = F.array_join(F.concat(without_dots(segments), F.when(last, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+        return _bound(joined, lambda j: F.when(j == "", "/").otherwise(j))
+
+    def inner(both: Column) -> Column:
+        return F.filter(both, lambda s, i: (i == 0) | (i == F.size(both) - 1) | (s != ""))
+
+    # The base's segments without its last one (an empty one stays).
+    kept = _bound(F.split(base_path, "/", -1), lambda x: F.when(F.element_at(x, -1) != "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
+    segments = F.when(path.startswith("/"), F.split(path, "/", -1)).otherwise(_bound(F.concat(kept, F.split(path, "/", -1)), inner))
+    return _bound(segments, resolved)
 
 
 def join_rooted(base, href) -> Column:

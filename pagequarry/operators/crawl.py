@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 from .shared import cut
 
 
+#: Levels after which the visited nodes become one table.
+UNITED = 16
+
+
 def walk(seeds: DataFrame, edges: DataFrame, max_depth: int | None = 5, max_pages: int | None = None) -> DataFrame:
     """node, depth, parent of every node reached; links of nodes at max_depth are not followed;
     without one the walk ends where a level finds nothing new.
@@ -40,6 +44,8 @@ def walk(seeds: DataFrame, edges: DataFrame, max_depth: int | None = 5, max_page
         if not new:
             break
         visited, n = visited.unionByName(frontier), n + new
+        if depth % UNITED == 0:
+            visited = cut(visited)  # one scan in place of as many as there are levels
     if max_pages is not None:
         visited = visited.orderBy("depth", F.asc_nulls_first("parent"), "link_seq", "node").limit(max_pages)
     return visited.select("node", "depth", "parent")

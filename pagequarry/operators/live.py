@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry import schemas
 from pagequarry.functions import urls
 from pagequarry.sources import pages as page_source
 
@@ -34,6 +35,8 @@ from .shared import shared_folder
 Fetch = Callable[[str, float], tuple[str, int]]
 FetchStage = Callable[[DataFrame], DataFrame]
 
+#: A fetched page of a crawl, where no level says so.
+PAGE = f"url string, depth int, parent string, place long, html string, status int, started timestamp, ended timestamp, ok boolean, fetch_error string, page_id long, {schemas.CONTENT}, followed array<struct<seq:int,url:string>>"
 FETCHED = "url string, html string, status int, started timestamp, ended timestamp"
 
 
@@ -129,6 +132,8 @@ class Crawl:
 
     def table(self) -> DataFrame:
         """All fetched pages, failed ones too: url, depth, parent, place, page_id, status, ok, error, started, ended, content columns, links."""
+        if not self.levels:  # no seeds, or canceled before the first fetch
+            return self.spark.createDataFrame([], PAGE).drop("html")
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/level={n}" for n in range(self.levels)])
 
     def pages(self) -> DataFrame:

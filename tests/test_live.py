@@ -78,7 +78,8 @@ def test_limits_follow_the_queue(spark, tmp_path):
     found = live.crawl_site(seeds_of(spark, 1), live.reading(table), max_depth=None, max_pages=5)
     assert [r["url"].rsplit("/", 1)[1] for r in found.table().orderBy("place").collect()] == ["p0", "p1", "p2", "p3", "p4"]
     stopped = live.crawl_site(seeds_of(spark), live.reading(table), max_depth=None, canceled=lambda: True)
-    assert stopped.levels == 0
+    assert stopped.levels == 0 and set(stopped.table().columns) == set(found.table().columns) and stopped.log().count() == stopped.pages().count() == 0
+    assert live.crawl_site(seeds_of(spark).limit(0), live.reading(table)).table().count() == 0
 
 
 def test_a_host_is_asked_at_its_pace_and_again_after_errors(spark, tmp_path):

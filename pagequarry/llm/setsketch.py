@@ -13,8 +13,10 @@ sizes, the likelihood of every similarity follows; a candidate stays unless 0.85
 logarithm (five standard deviations) than the likeliest.
 
 *Verification.*  What stays is compared on the full shingle sets.  Texts with one shingle set are one class.  In a band's
-bucket each class is paired with two hubs, the same for all, at first its likeliest partner only; links are contracted
+bucket each class is compared with one hub, the same for all; its likeliest hub is verified first, then, across components, the next
+``HUBS`` - 1 likeliest.  Links are contracted
 to components and only pairs across components are looked at further, so a group of near copies costs pairs in proportion to its size.
+Pairs, many where a passage is common, never become rows: a task holds the sketches of a block of a bucket with its hub, or of two blocks, and gives out the pairs that may link.
 
 Links are exact; that none is missed holds with the probability above for a lone pair, and
 for more than that in a group, where one of several links is enough.
@@ -27,6 +29,8 @@ compared by 64-bit and whole sets by 128-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +50,12 @@ BASE, RATE = 2.0 ** (40 / 254), 20.0
 REACH = np.log(REGISTERS) + 3.7
 #: How much less likely (in logarithm) than the best the least linking similarity may be.
 SLACK = 12.5
+#: Share of equal registers below which a pair isn't looked at: eight standard deviations under what 0.85 gives.
+LEAST_EQUAL = 0.7
+#: Hubs of a class that are verified before all pairs across components are looked at.
+HUBS = 3
+#: Rows of a block of a bucket, about.
+BLOCK = 512
 #: Texts, and bytes of them, that are sketched together.
 LOT, LOT_BYTES = 512, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +113,11 @@ def log_likelihood(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.nd
 
 def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The likeliest similarity of each pair of sketches, and whether one of ``least`` or more may be."""
-    more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
+    return estimates_of((a > b).sum(axis=1), (a < b).sum(axis=1), na, nb, least)
+
+
+def estimates_of(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same by the numbers of registers that are larger in a, and in b."""
     most = np.minimum(na, nb) / np.maximum(na, nb)
     grid = np.linspace(0, 1, 101)[None, :] * most[:, None]
     likely = log_likelihood(more, less, na, nb, grid)
@@ -160,23 +174,98 @@ def _sets(field: np.ndarray, size: int):
     return run
 
 
-def _sizes_allow(na: str, nb: str, percent: int):
-    return F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb})")
+def _compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    node, n = (rows.column(c).to_numpy() for c in ("node", "n"))
+    return node, n, np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+
+
+def _near(own: np.ndarray, n: np.ndarray, k: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the others those that may be near k by size and equal registers, and how many of k's are larger and smaller."""
+    others = others[100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])]
+    more, less = (own[k] > own[others]).sum(axis=1), (own[k] < own[others]).sum(axis=1)
+    near = REGISTERS - more - less >= LEAST_EQUAL * REGISTERS
+    return others[near], more[near], less[near]
+
 
+def _likely(node: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, more: np.ndarray, less: np.ndarray, percent: int) -> pa.RecordBatch:
+    similarity, stays = estimates_of(more, less, n[i].astype(float), n[j].astype(float), percent / 100)
+    a, b = node[i[stays]], node[j[stays]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(similarity[stays])], names=["a", "b", "similarity"])
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, similarity (estimated) of the pairs that may link by their sketches."""
+
+def _pairs_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """The pairs across components that may link, of the rows of one bucket's two blocks (or one)."""
+    node, n, own = _compared(rows)
+    component, block = (rows.column(c).to_numpy() for c in ("component", "block"))
+    one_block, found = block.min() == block.max(), []
+    for k in range(len(node) - 1):
+        others = np.arange(k + 1, len(node))
+        fits = component[others] != component[k]
+        others, more, less = _near(own, n, k, others[fits if one_block else fits & (block[others] != block[k])], percent)
+        found.append((np.full(len(others), k), others, more, less))
+    i, j, more, less = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 4
+    return _likely(node, n, i, j, more, less, percent)
+
+
+def _pairs_with_hub(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """node, hub, similarity of those that may link with it, of the rows of one block with the bucket's hub."""
+    node, n, own = _compared(rows)
+    is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
+    k = int(np.flatnonzero(is_hub)[0])
+    others, more, less = _near(own, n, k, np.flatnonzero(~is_hub), percent)
+    similarity, stays = estimates_of(more, less, np.full(len(others), n[k], dtype=float), n[others].astype(float), percent / 100)
+    found = node[others[stays]]
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node[k])), pa.array(similarity[stays])], names=["node", "hub", "similarity"])
+
+
+def _by_key(key: tuple[str, ...], pairs: Callable[[pa.Table, int], pa.RecordBatch], percent: int):
+    """``pairs`` of the rows of each key, over rows sorted by key; what is held is the rows of one key."""
 
     def run(batches):
+        held = None
         for batch in released(batches):
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            own, stays = estimates(a, b, na, nb, percent / 100)
-            stays = pa.array(stays)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(stays), batch.column("b").filter(stays), pa.array(own).filter(stays)], names=["a", "b", "similarity"])
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([rows.column(c).to_numpy() for c in key])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for low, high in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield pairs(rows.slice(low, high - low), percent)
+            held = rows.slice(cuts[-1]) if len(cuts) else rows
+        if held is not None and held.num_rows:
+            yield pairs(held, percent)
 
-    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, similarity double")
+    return run
+
+
+_PAIRS = "a long, b long, similarity double"
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("blocks", F.expr(f"1 + df div {BLOCK}")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")))
+
+
+def with_hubs(buckets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, nth, a, b: each class with its likeliest hubs (nth from 0), of the hubs of its buckets (band, df, hub, node, n) that it may link with."""
+    rows = _in_blocks(buckets).withColumn("is_hub", F.col("hub") == F.col("node"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("is_hub"), every).otherwise(F.array("block"))))
+    rows = rows.join(nodes.select("node", "sketch"), "node").select("band", "block", "node", "n", "is_hub", "sketch")
+    dealt = rows.repartition("band", "block").sortWithinPartitions("band", "block")
+    found = dealt.mapInArrow(_by_key(("band", "block"), _pairs_with_hub, percent), "node long, hub long, similarity double")
+    # A class has a hub for each of its bands at most.
+    best = found.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("similarity", "hub")), asc=False), 1, HUBS).alias("hubs"))
+    best = best.select("node", F.posexplode("hubs").alias("nth", "h"))
+    return best.select("node", "nth", F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
+
+
+def across_components(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b that may link by their sketches: of mixed (band, df, node, n, component) those that share a band across components.
+
+    A bucket is dealt into blocks of about ``BLOCK`` rows; each pair of its blocks is a task's work.
+    """
+    rows = _in_blocks(mixed).join(nodes.select("node", "sketch"), "node").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"), "block", "node", "n", "component", "sketch")
+    dealt = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return dealt.mapInArrow(_by_key(("band", "low", "high"), _pairs_of, percent), _PAIRS).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,10 +276,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * overlap >= percent * (F.size("ta") + F.size("tb") - overlap)).select("a", "b")
 
 
-def _ordered(one: str, two: str):
-    return F.least(one, two).alias("a"), F.greatest(one, two).alias("b")
-
-
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     for end in "ab":
@@ -202,14 +287,10 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, component over the links among the nodes (node, k1, k2, class_id, n, sketch)."""
     shown = nodes.select("node", "n", "sketch").mapInArrow(_banded, "band long, node long, n long")
-    hub = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n"))
-    hubs = shown.groupBy("band").agg(F.count(F.lit(1)).alias("df"), hub(5).alias("one"), hub(7).alias("two")).filter("df > 1")
-    buckets = written(shown.join(hubs, "band"), "buckets")
-    partners = buckets.select("node", "n", F.explode(F.array("one", "two")).alias("o")).filter("o.node != node").filter(_sizes_allow("n", "o.n", percent))
-    tried = written(partners.select(*_ordered("node", "o.node")).distinct(), "tried")
-    may = written(likely(tried, nodes, percent), "likely")
-    ends = may.select("a", "b", "similarity", F.explode(F.array("a", "b")).alias("node"))
-    first = ends.groupBy("node").agg(F.max(F.struct("similarity", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    hubs = shown.groupBy("band").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct(F.xxhash64("node", F.lit(5)).alias("h"), "node")).alias("hub")).filter("df > 1")
+    buckets = written(shown.join(hubs.select("band", "df", F.col("hub.node").alias("hub")), "band"), "buckets")
+    may = written(with_hubs(buckets, nodes, percent), "likely")
+    first = may.filter("nth = 0").select("a", "b").distinct()
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """Written links among the pairs; only the classes in them are hashed again."""
@@ -221,19 +302,16 @@ def linked(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> Dat
 
     links = confirm(written(first, "first"))
     labels = components(links)
-    rest = written(_across(may.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"), "rest")
+    rest = written(_across(may.filter("nth > 0").select("a", "b").distinct(), labels).join(first, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(confirm(rest))
         labels = components(links)
     # What is left: pairs across components that share a band but are no pair with a hub.
-    marked = buckets.select("band", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    marked = buckets.select("band", "df", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     marked = written(marked, "marked")
-    mixed = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df")).filter("low < high AND df > 2")
-    mixed = written(marked.join(mixed.select("band"), "band"), "mixed")
-    one, two = mixed.toDF("band", "a", "na", "ca"), mixed.toDF("band", "b", "nb", "cb")
-    more = one.join(two, "band").filter("a < b AND ca != cb").filter(_sizes_allow("na", "nb", percent))
-    more = more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(likely(more, nodes, percent).select("a", "b"), "more")
+    mixed = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    mixed = marked.filter("df > 2").join(mixed, "band")
+    more = written(across_components(mixed, nodes, percent).join(may.select("a", "b").distinct(), ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return labels
     return components(links.unionByName(confirm(more)))

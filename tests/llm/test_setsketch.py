@@ -81,6 +81,18 @@ def test_a_group_of_near_copies_with_strays_and_chains(spark):
     assert found(setsketch.near_duplicates(table(spark, rows))) == brute(rows)
 
 
+def test_many_texts_with_a_common_passage(spark, monkeypatch):
+    """Texts that share half of their words link to none of each other but to their copies; buckets lie in several blocks."""
+    monkeypatch.setattr(setsketch, "BLOCK", 4)
+    rng = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(100))
+    rows = []
+    for k in range(150):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(25 if k % 3 else 60))
+        rows += [(k, f"{passage} {own}"), (1000 + k, edited(rng, f"{passage} {own}", 1 + k % 4))]
+    assert found(setsketch.near_duplicates(table(spark, rows))) == brute(rows)
+
+
 def test_null_and_repeated_ids_and_no_rows(spark):
     rng = random.Random(4)
     a, b, c, d = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(40)) for x in "abcd")

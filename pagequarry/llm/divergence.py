@@ -4,16 +4,17 @@
 largest integer as ``vocabSize``) keeps every term that enough of its documents hold, and makes an exact sparse vector
 of each document.
 
-*Group sums.*  The vectors' entries are added up by (source, term) in 64-bit integers, in tasks first and then after a
-shuffle, as a summarizer adds vectors, but sparse and without a mean in between, which would round; a lang's counts are the sums over its sources.
+*Group sums.*  A task adds the vectors of each source up in 64-bit integers, as a summarizer does (but without a mean in between, which would
+round), and gives out the entries that aren't 0 as lists, whenever its sums reach ``HELD`` bytes and at its end; these are added up after a
+shuffle by source and part of the terms, list by list.  A lang's counts are the sums over its sources.
 
 *Pairs.*  With count 0 a term has a share q0 that is the same for all terms of a source.  A pair's value is therefore V times the
 value of two such shares, and what the terms that either source holds differ from that: only entries that are there are looked at.  Sources are dealt into tiles of ``TILE`` and terms
 into parts of about ``PART_TERMS``; a task compares the columns of two tiles over the terms of a part, so what it holds is bounded and no pair of
 entries becomes a row.
 
-CountVectorizer keeps its vocabulary on the driver and in each task.  A lang whose documents hold more than ``MODEL_TERMS`` distinct terms (estimated, before anything
-is fitted) is counted by grouping (term, document) rows instead, with the same results; langs with fewer documents than ``min_df`` keep no term and are not fitted.
+CountVectorizer keeps its vocabulary on the driver and in each task.  A lang whose documents hold more than ``MODEL_TERMS`` distinct terms (estimated before anything
+is fitted, from one in ``SAMPLED`` of all possible terms over all documents) is counted by grouping (term, document) rows instead, with the same results; langs with fewer documents than ``min_df`` keep no term and are not fitted.
 
 Defined results: null text, lang and source are ''; every (lang, source) that occurs is a group, also without terms; a lang without
 kept terms has pairs of value 0 and no terms; a lang of one source has no pairs; repeated rows count each; equal values are ranked by item in the order of UTF-8;
@@ -32,15 +33,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import released, written
 
 #: Distinct terms of a lang up to which a CountVectorizer holds them.
 MODEL_TERMS = 2_000_000
+#: One of so many terms, by hash, is counted for that.
+SAMPLED = 64
+#: Terms whose sums of a source are shuffled together.
+SUM_TERMS = 8192
+#: Bytes of sums that a task holds.
+HELD = 64 << 20
 #: Sources of a tile, and terms of a part, about.
 TILE, PART_TERMS = 64, 4096
 #: Folders that langs are dealt into.
 FOLDERS = 32
 _BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters beyond ASCII other than the small letters of Latin-1.
+_OTHERS = r"[^\x00-\x7F\u00DF-\u00F6\u00F8-\u00FF]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BILLION = 1_000_000_000
 
@@ -48,7 +57,9 @@ _BILLION = 1_000_000_000
 def term_table(docs: DataFrame) -> DataFrame:
     """lang, source, terms (with repeats) of every document."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    terms = F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BREAKS), "")
+    # lower() knows other capitals as well; where a text may have some, letters are replaced one by one, which is slower.
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(_OTHERS)
+    terms = F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), _BREAKS), "")
     return docs.select(lang.alias("lang"), source.alias("source"), terms.alias("terms"))
 
 
@@ -56,6 +67,63 @@ def _folder(lang: Column) -> Column:
     return F.pmod(F.xxhash64(lang), F.lit(FOLDERS)).cast("int")
 
 
+def group_sums(width: int, terms: int, most: int):
+    """Sums of sparse vectors (at, n) of that width by source, in tasks: source, part (of so many terms), and the part's places and sums
+    that aren't 0; ``most`` bytes of sums are held."""
+
+    def entries(sums: dict[str, np.ndarray]):
+        for source, held in sums.items():
+            used = np.flatnonzero(held)
+            cuts = np.searchsorted(used, np.arange(0, width + terms, terms))
+            some = np.flatnonzero(np.diff(cuts))
+            ends = pa.array(np.append(cuts[some], len(used)), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (used.astype(np.int32), held[used]))
+            yield pa.RecordBatch.from_arrays([pa.array([source] * len(some), pa.string()), pa.array(some.astype(np.int32)), *lists], names=["source", "part", "at", "n"])
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in released(batches):
+            named = batch.column(0).dictionary_encode()
+            which, names = named.indices.to_numpy(), named.dictionary.to_pylist()
+            for k, source in enumerate(names):
+                rows = pa.array(np.flatnonzero(which == k))
+                if source not in sums:
+                    if sums and (len(sums) + 1) * width * 8 > most:
+                        yield from entries(sums)
+                        sums = {}
+                    sums[source] = np.zeros(width, dtype=np.int64)
+                at, n = (batch.column(c).take(rows).flatten().to_numpy() for c in (1, 2))
+                np.add.at(sums[source], at, n.astype(np.int64))
+        yield from entries(sums)
+
+    return run
+
+
+def merged_sums(terms: int):
+    """source, at, n over rows (source, part, at, n) sorted by source and part; what is held is the sums of one part."""
+
+    def entries(key, held):
+        used = np.flatnonzero(held)
+        at = (used + key[1] * terms).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(used), pa.string()), pa.array(at), pa.array(held[used])], names=["source", "at", "n"])
+
+    def run(batches):
+        key, held = None, np.zeros(terms, dtype=np.int64)
+        for batch in released(batches):
+            at, n = batch.column(2), batch.column(3)
+            for row, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own != key:
+                    if key is not None:
+                        yield entries(key, held)
+                    key = own
+                    held[:] = 0
+                held[at[row].values.to_numpy() - own[1] * terms] += n[row].values.to_numpy()
+        if key is not None:
+            yield entries(key, held)
+
+    return run
+
+
 def by_model(own: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     """term of the kept terms; source, term, n of their entries, by sparse vectors."""
     model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=(1 << 31) - 1).fit(own)
@@ -63,8 +131,8 @@ def by_model(own: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     kept = own.sparkSession.createDataFrame(words, "at int, term string")
     vector = F.unwrap_udt("counts")
     entries = model.transform(own).select("source", vector["indices"].alias("at"), vector["values"].alias("n"))
-    entries = entries.select("source", F.explode(F.arrays_zip("at", "n")).alias("e")).select("source", "e.at", F.col("e.n").cast("long").alias("n"))
-    sums = entries.groupBy("source", "at").agg(F.sum("n").alias("n"))
+    lists = entries.mapInArrow(group_sums(max(1, len(words)), SUM_TERMS, HELD), "source string, part int, at array<int>, n array<long>")
+    sums = lists.repartition("source", "part").sortWithinPartitions("source", "part").mapInArrow(merged_sums(SUM_TERMS), "source string, at int, n long")
     return kept.select("term"), sums.join(kept, "at").select("source", "term", "n")
 
 
@@ -82,8 +150,9 @@ def counted(docs: DataFrame, min_df: int, model_terms: int) -> tuple[DataFrame,
     base = written(named, "terms", by="folder")
     groups = written(base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")), "groups")
     langs = groups.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_df)
-    distinct = base.select("lang", F.explode("terms").alias("term")).groupBy("lang").agg(F.approx_count_distinct("term", 0.02).alias("terms"))
-    rows = langs.join(distinct, "lang").withColumn("folder", _folder(F.col("lang"))).collect()  # one for each lang
+    some = base.select("lang", F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(SAMPLED)) == 0)
+    distinct = some.groupBy("lang").agg((SAMPLED * F.approx_count_distinct("term", 0.02)).alias("terms"))
+    rows = langs.join(distinct, "lang", "left").fillna(0, ["terms"]).withColumn("folder", _folder(F.col("lang"))).collect()  # one for each lang
     parts = []
     for row in sorted(rows, key=lambda r: r["lang"]):
         own = base.filter((F.col("folder") == row["folder"]) & (F.col("lang") == row["lang"])).select("source", "terms")

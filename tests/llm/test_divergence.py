@@ -59,6 +59,8 @@ def case(seed):
 def test_audit_matches_brute_force(spark, monkeypatch, tile, part_terms, model_terms):
     monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "PART_TERMS", part_terms)
+    monkeypatch.setattr(divergence, "SUM_TERMS", 8192 if tile > 2 else 4)
+    monkeypatch.setattr(divergence, "HELD", 1 << 26 if tile > 2 else 100)
     rows = case(1)
     assert found(divergence.audit(table(spark, rows), min_df=10, top=4, model_terms=model_terms)) == brute(rows, 10, 4)
 

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -340,25 +341,53 @@ FRAMEWORK_SIGNS = (
     ("readthedocs", r"(wy-nav-side|rst-content)", "classes", 30), ("vuepress", r"theme-default-content", "classes", 30), ("gitbook", r"book-summary", "classes", 30),
 )
 
+#: Words in small letters of which a page holds one where it has the mark; else the framework's name.
+SIGN_WORDS = {
+    r"theme-doc-": ("theme-doc-",), r"md-(content|nav|header)": ("md-",), r"(sphinxsidebar|toctree-wrapper|headerlink)": ("sphinxsidebar", "toctree-wrapper", "headerlink"),
+    r"(wy-nav-side|rst-content)": ("wy-nav-side", "rst-content"), r"theme-default-content": ("theme-default-content",), r"book-summary": ("book-summary",),
+}
+
 
 def framework_evidence(html: str = "html") -> Column:
     """framework, confidence (0 to 1) and indicators of the framework whose marks in the page weigh most, of equals the first in the
-    table of marks; ``unknown`` with 0 and no indicators where the page has none (or is null)."""
+    table of marks; ``unknown`` with 0 and no indicators where the page has none (or is null).
+
+    A mark's pattern is tried only where the page, in small letters, holds one of the mark's words.  Page and marks are bound to
+    lambda variables, so each is worked out once.
+    """
+    def shown(page: Column, low: Column) -> Column:
+        tried = []
+        for name, mark, label, weight in FRAMEWORK_SIGNS:
+            hint = reduce(lambda a, b: a | b, [F.contains(low, F.lit(word)) for word in SIGN_WORDS.get(mark, (name,))])
+            row = F.struct(F.lit(-names.index(name)).alias("place"), F.lit(name).alias("name"), F.lit(f"{label}:{name}").alias("indicator"), F.lit(weight).alias("weight"))
+            tried.append(F.when(hint, F.when(page.rlike(mark), row)))
+        return F.array_compact(F.array(*tried))
+
+    def weighed(signs: Column) -> Column:
+        rows = []
+        for k, name in enumerate(names):
+            own = F.filter(signs, _placed(-k))
+            weight = F.aggregate(own, F.lit(0), lambda a, m: a + m["weight"])
+            rows.append(F.struct(weight.alias("weight"), F.lit(-k).alias("place"), F.lit(name).alias("name"), F.transform(own, lambda m: m["indicator"]).alias("indicators")))
+        return F.array_max(F.array(*rows))
+
     names = [name for name, _ in FRAMEWORK_MARKS]
-    found = []
-    for k, name in enumerate(names):
-        own = [(mark, label, weight) for n, mark, label, weight in FRAMEWORK_SIGNS if n == name]
-        shown = [F.when(F.col(html).rlike(mark), F.struct(F.lit(f"{label}:{name}").alias("indicator"), F.lit(weight).alias("weight"))) for mark, label, weight in own]
-        marks = F.array_compact(F.array(*shown))
-        weight = F.aggregate(marks, F.lit(0), lambda a, m: a + m["weight"])
-        found.append(F.struct(weight.alias("weight"), F.lit(-k).alias("place"), F.lit(name).alias("name"), F.transform(marks, lambda m: m["indicator"]).alias("indicators")))
-    best = F.array_max(F.array(*found))
-    known = F.coalesce(best["weight"] > 0, F.lit(False))
-    return F.struct(
-        F.when(known, best["name"]).otherwise("unknown").alias("framework"),
-        F.when(known, F.least(best["weight"], F.lit(100)) / 100.0).otherwise(0.0).alias("confidence"),
-        F.when(known, best["indicators"]).otherwise(F.array().cast("array<string>")).alias("indicators"),
-    )
+    signs = _bound(F.coalesce(F.col(html), F.lit("")), lambda page: _bound(F.lower(page), lambda low: shown(page, low)))
+    none = F.struct(F.lit("unknown").alias("framework"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("indicators"))
+
+    def named(best: Column) -> Column:
+        return F.struct(best["name"].alias("framework"), (F.least(best["weight"], F.lit(100)) / 100.0).alias("confidence"), best["indicators"].alias("indicators"))
+
+    return _bound(signs, lambda found: F.when(F.size(found) > 0, _bound(weighed(found), named)).otherwise(none))
+
+
+def _placed(place: int) -> Callable[[Column], Column]:
+    return lambda sign: sign["place"] == place
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def detect_framework(html: str = "html") -> Column:

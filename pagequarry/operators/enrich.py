@@ -12,13 +12,17 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.functions import rules, text
 from pagequarry.sources import cache as cache_source
 
+#: Rows whose results a task gives out together.
+GROUP = 1024
+
 Model = Callable[[list[str], str, str], list[str]]
 
 #: What a model is asked to do, by mode; an unknown mode is cleaned.
@@ -89,51 +93,65 @@ def process(
     hit = F.col("_known").isNotNull()
     if model is None:
         return keyed.select("*", F.coalesce("_known", "content").alias("result"), hit.alias("processed"), hit.alias("cached"), F.lit(None).cast("string").alias("error")).drop("_known")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("_known").schema)
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = (frame.iloc[k : k + batch_size] for frame in frames for k in range(0, len(frame), batch_size))
-        asked = lambda part: _asked(model, part["content"].tolist(), mode, content_type, retries, pause)
-        for part, (found, error) in in_flight(parts, asked, at_once):
-            yield part.assign(result=found, processed=error is None, cached=False, error=error)
+    schema = T.StructType(keyed.drop("_known").schema.fields + T.StructType.fromDDL("result string, processed boolean, cached boolean, error string").fields)
 
-    if cache is None:
-        return keyed.drop("_known").mapInPandas(call, f"{fields}, result string, processed boolean, cached boolean, error string")
+    at, with_cache = keyed.columns.index("content"), cache is not None
 
-    def mixed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Hits pass; misses are gathered over frames of the task into whole batches."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hits pass; misses are gathered over frames of the task into whole batches, and given out by groups of up to ``GROUP`` rows."""
+        ready: deque[pa.RecordBatch] = deque()
 
-        def missed():
+        def batches() -> Iterator[tuple[pa.RecordBatch, int, list]]:
+            """A group, where in it a batch ends, and the batch's contents."""
             held = None
             for frame in frames:
-                known = frame["_known"].notna()
-                if known.any():
-                    hits.append(frame[known])
-                some = frame[~known].drop(columns="_known")
-                held = some if held is None else pd.concat([held, some])
-                while len(held) >= batch_size:
-                    yield held.iloc[:batch_size]
-                    held = held.iloc[batch_size:]
-                if hits:
-                    yield held.iloc[:0]  # lets them out
-            if held is not None and len(held):
-                yield held
-
-        hits: list[pd.DataFrame] = []
-
-        def out():
-            while hits:
-                frame = hits.pop()
-                yield frame.drop(columns="_known").assign(result=frame["_known"], processed=True, cached=True, error=None)
-
-        asked = lambda part: _asked(model, part["content"].tolist(), mode, content_type, retries, pause) if len(part) else ([], None)
-        for part, (found, error) in in_flight(missed(), asked, at_once):
-            yield from out()
-            if len(part):
-                yield part.assign(result=found, processed=error is None, cached=False, error=error)
-        yield from out()
-
-    return keyed.mapInPandas(mixed, f"{fields}, result string, processed boolean, cached boolean, error string")
+                for k in range(0, frame.num_rows, GROUP):
+                    rows = frame.slice(k, GROUP)
+                    missed = rows
+                    if with_cache:
+                        known = rows.column(rows.num_columns - 1)
+                        hits = rows.filter(known.is_valid())
+                        if hits.num_rows:
+                            ready.append(_finished(hits, hits.column(hits.num_columns - 1), [None] * hits.num_rows, True))
+                            yield hits, 0, []  # lets them out
+                        missed = rows.filter(known.is_null())
+                    held = missed if held is None else pa.concat_batches([held, missed])
+                    # Without a cache a frame's last batch may be short: no row waits for another frame.
+                    whole = held.num_rows if not with_cache and k + GROUP >= frame.num_rows else held.num_rows // batch_size * batch_size
+                    yield from cut(held.slice(0, whole))
+                    held = held.slice(whole)
+            if held is not None:
+                yield from cut(held)
+
+        def cut(group: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, list]]:
+            contents = group.column(at).to_pylist()
+            for low in range(0, len(contents), batch_size):
+                yield group, min(low + batch_size, len(contents)), contents[low : low + batch_size]
+
+        def asked(batch: tuple[pa.RecordBatch, int, list]) -> tuple[list, str | None]:
+            return _asked(model, batch[2], mode, content_type, retries, pause) if batch[2] else ([], None)
+
+        results, errors = [], []
+        for (group, high, contents), (found, error) in in_flight(batches(), asked, at_once):
+            while ready:
+                yield ready.popleft()
+            results += found
+            errors += [error] * len(contents)
+            if contents and high == group.num_rows:
+                yield _finished(group, pa.array(results, pa.string()), errors, False)
+                results, errors = [], []
+        while ready:
+            yield ready.popleft()
+
+    return (keyed.drop("_known") if cache is None else keyed).mapInArrow(run, schema)
+
+
+def _finished(rows: pa.RecordBatch, results: pa.Array, errors: list[str | None], cached: bool) -> pa.RecordBatch:
+    """rows without what the cache knows, with result, processed, cached, error."""
+    own = [n for n in rows.schema.names if n != "_known"]
+    error = pa.array(errors, pa.string())
+    more = [results, error.is_null() if not cached else pa.array([True] * len(errors)), pa.array([cached] * len(errors))]
+    return pa.RecordBatch.from_arrays([*[rows.column(n) for n in own], *more, error], names=[*own, "result", "processed", "cached", "error"])
 
 
 def process_saving(rows: DataFrame, model: Model, path: str, save: Callable[[DataFrame, int], DataFrame], waves: int = 1, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import re
 
-from pagequarry.operators import control
+from pagequarry.operators import control, enrich
+from pagequarry.sources import cache
 
 
 def plan(df):
@@ -13,3 +14,32 @@ def test_each_mark_of_a_framework_is_looked_for_once(spark):
     df = spark.createDataFrame([(1, "x")], "k long, html string").select(control.framework_evidence().alias("e")).select("e.framework", "e.confidence", "e.indicators")
     for _, mark, _, _ in control.FRAMEWORK_SIGNS:
         assert len(re.findall(r"RLIKE\([^,]*, " + re.escape(mark) + r"\)", plan(df))) == 1
+
+
+def test_calls_in_flight_give_out_groups_and_not_frames_of_one_row(spark):
+    rows = spark.createDataFrame([(k, f"c{k}") for k in range(100)], "k long, content string").coalesce(1)
+    known = spark.createDataFrame([(f"c{k}c{k}clean{1 + len(str(k))}", "known") for k in range(0, 100, 3)], cache.CONTENT_CACHE)
+
+    def model(contents, mode, kind):
+        if "c50" in contents:
+            raise ValueError("refused")
+        return [f"{len(contents)} {c}" for c in contents]
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for size, options in ((1, {}), (5, {}), (1, {"cache": known}), (5, {"cache": known})):
+            df = enrich.process(rows, model, batch_size=size, at_once=4, **options)
+            assert "MapInArrow" in plan(df)
+            got = {r["k"]: r for r in df.collect()}
+            assert sorted(got) == list(range(100))
+            for k, r in got.items():
+                if options and k % 3 == 0:
+                    assert (r["result"], r["processed"], r["cached"], r["error"]) == ("known", True, True, None)
+                elif r["processed"]:
+                    assert r["result"].split()[1] == f"c{k}" and not r["cached"] and r["error"] is None
+                else:
+                    assert (r["result"], r["error"]) == (f"c{k}", "refused")
+            assert not got[50]["processed"] and sum(not r["processed"] for r in got.values()) <= size
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)

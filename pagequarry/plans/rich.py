@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagequarry.operators import pages as page_pass
-from pagequarry.operators.markdown import markdown
 from pagequarry.sources import derived
 
 from .registry import NAV, Registry, decoded, depth, follow, read
@@ -197,7 +196,7 @@ def wiki_link_merge(spark, sf_dir):
 @query()
 def html_to_markdown(spark, sf_dir):
     """Markdown of the extracted content (no SQL: it is emitted from the tree)."""
-    return _rich(spark, sf_dir).select("page_id", markdown("content").alias("markdown"))
+    return page_pass.page_markdown(derived.rich_pages(read(spark, sf_dir, "documents")))
 
 
 @query()

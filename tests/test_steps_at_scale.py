@@ -2,8 +2,12 @@
 
 import re
 
-from pagequarry.operators import control, enrich
-from pagequarry.sources import cache
+from pagequarry.operators import control, dom, enrich, pages
+from pagequarry.operators.markdown import markdown
+from pagequarry.plans import rich
+from pagequarry.sources import cache, derived
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -43,3 +47,38 @@ def test_calls_in_flight_give_out_groups_and_not_frames_of_one_row(spark):
             assert not got[50]["processed"] and sum(not r["processed"] for r in got.values()) <= size
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def shape(tree):
+    """Tags, attributes, places and texts of a tree, in document order."""
+    out, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, dom.Element):
+            out.append((node.tag, tuple(node.attrs.items()), node.at, node.end))
+            stack.extend(reversed(node.children))
+        else:
+            out.append((type(node).__name__, str(node)))
+    return out
+
+
+def test_plain_markup_is_read_by_pattern_as_the_tag_parser_reads_it():
+    odd = ["a < b", "<p a=b>x", "<p a='b'>x", "<![CDATA[x]]>", "<a b", "</ p>", "<script>a</script b>", "<title>a<b>c</title>", "<script/>x", "<!-->x-->", "<!--a--b-->"]
+    plain = [
+        derived.RICH, "", "a &amp b &copy; &#65;", '<P CLASS=" a">x</P></i><br/><br />y', '<p a="1" A="2&lt;" hidden>x', "<script>if (a < b) '<p>'</script>z",
+        "<title>t</title><!-- a-b > c --><!DOCTYPE html>", "<ul><li>a<li>b</ul>c</li>", "<style></style><textarea>x</textarea>",
+    ]
+    for html in plain + odd:
+        assert shape(dom.parse(html)) == shape(dom.parsed_by_tags(html))
+    assert all(dom._plain(html) is not None for html in plain) and all(dom._plain(html) is None for html in odd)
+
+
+def test_markdown_of_rich_pages_takes_one_python_pass(spark):
+    df = rich.html_to_markdown(spark, SF)
+    assert plan(df).count("MapInArrow") == 1 and "ArrowEvalPython" not in plan(df) and "emit(" not in plan(df)
+    pages_of = derived.rich_pages(spark.createDataFrame([(1, "en", "web"), (2, None, None)], "doc_id long, lang string, source string"))
+    one = {r["page_id"]: r["markdown"] for r in pages.page_markdown(pages_of).collect()}
+    two = {r["page_id"]: r["m"] for r in pages.extract(pages_of, with_links=False).select("page_id", markdown("content").alias("m")).collect()}
+    assert one == two and len(one) == 2
+    none = spark.createDataFrame([(7, "u", None), (8, None, "")], "page_id long, url string, html string")
+    assert {(r["page_id"], r["markdown"]) for r in pages.page_markdown(none).collect()} == {(7, ""), (8, "")}

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
 from pagequarry.operators import control, enrich, live, udtf
-from pagequarry.operators.markdown import markdown
+from pagequarry.operators import pages as page_pass
 from pagequarry.operators.shared import shared_folder
 from pagequarry.sources import cache, derived
 from pagequarry.streaming import pacing
 
 from .registry import NAV, Registry, decoded, part, read, stripped
-from .varied import _V, _varied
+from .varied import _V
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -137,4 +137,4 @@ def resolved_references(spark, sf_dir):
 )
 def varied_markdown(spark, sf_dir):
     """Markdown of the contents of varied pages: headings, paragraphs, nested lists, code, links."""
-    return _varied(spark, sf_dir).select("page_id", markdown("content").alias("markdown"))
+    return page_pass.page_markdown(derived.varied_pages(read(spark, sf_dir, "documents")))

@@ -4,7 +4,7 @@ import re
 
 from pagequarry.operators import control, dom, enrich, pages
 from pagequarry.operators.markdown import markdown
-from pagequarry.plans import rich
+from pagequarry.plans import rich, running
 from pagequarry.sources import cache, derived
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,8 @@ def test_markdown_of_rich_pages_takes_one_python_pass(spark):
     assert one == two and len(one) == 2
     none = spark.createDataFrame([(7, "u", None), (8, None, "")], "page_id long, url string, html string")
     assert {(r["page_id"], r["markdown"]) for r in pages.page_markdown(none).collect()} == {(7, ""), (8, "")}
+
+
+def test_markdown_of_varied_pages_takes_one_python_worker(spark):
+    found = plan(running.varied_markdown(spark, SF))
+    assert found.count("MapInArrow") == 1 and "ArrowEvalPython" not in found and "emit(" not in found

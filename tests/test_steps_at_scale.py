@@ -87,3 +87,12 @@ def test_markdown_of_rich_pages_takes_one_python_pass(spark):
 def test_markdown_of_varied_pages_takes_one_python_worker(spark):
     found = plan(running.varied_markdown(spark, SF))
     assert found.count("MapInArrow") == 1 and "ArrowEvalPython" not in found and "emit(" not in found
+
+
+def test_links_under_absent_ancestors_are_not_looked_at(monkeypatch):
+    tree, looked = dom.parse("<main><a href='x'>x</a></main>" + "<a href='y'>y</a>" * 50), []
+    holds = dom._holds
+    monkeypatch.setattr(dom, "_holds", lambda node, row: looked.append(node) or holds(node, row))
+    assert dom.select(tree, "article a") == [] and dom.select_one(tree, ".content a") is None and not looked
+    assert [a.get("href") for a in dom.select(tree, "article a,main a")] == ["x"] and len(looked) == 51
+    assert dom.select(tree, "[data-x] a") == [] and len(looked) == 102

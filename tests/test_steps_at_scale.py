@@ -2,7 +2,7 @@
 
 import re
 
-from pagequarry.operators import control, dom, enrich, pages
+from pagequarry.operators import control, dom, enrich, links, pages
 from pagequarry.operators.markdown import markdown
 from pagequarry.plans import rich, running
 from pagequarry.sources import cache, derived
@@ -96,3 +96,15 @@ def test_links_under_absent_ancestors_are_not_looked_at(monkeypatch):
     assert dom.select(tree, "article a") == [] and dom.select_one(tree, ".content a") is None and not looked
     assert [a.get("href") for a in dom.select(tree, "article a,main a")] == ["x"] and len(looked) == 51
     assert dom.select(tree, "[data-x] a") == [] and len(looked) == 102
+
+
+def test_pagination_links_of_rich_pages_need_no_tag_parser(monkeypatch):
+    html = derived.RICH.replace("{id}", "5").replace("{next}", "6").replace("{lang}", "en").replace("{source}", "web")
+    by_tags = links.generic(dom.parsed_by_tags(html), "https://web.example.org/docs/5")
+
+    def unused(html):
+        raise AssertionError("not plain")
+
+    monkeypatch.setattr(dom, "parsed_by_tags", unused)
+    found = links.generic(dom.parse(html), "https://web.example.org/docs/5")
+    assert found == by_tags and [r["text"] for r in found if r["type"].startswith("pagination")] == ["Next page", "← 5", "Send feedback"]

@@ -12,6 +12,9 @@ similarity of 0.85 agree in a register with probability 0.857, so they share non
 sizes, the likelihood of every similarity follows; a candidate stays unless 0.85 is less likely by ``SLACK`` in
 logarithm (five standard deviations) than the likeliest.
 
+*Parities.*  Beside its registers a set has a string of ``PARITIES`` bits, each the parity of how many of its shingles fall there.
+Bits in which two sets differ are at most as many as the shingles that only one of them has, so a pair with too many of them cannot link: this test gives up no link at all.
+
 *Verification.*  What stays is compared on the full shingle sets.  Texts with one shingle set are one class.  In a band's
 bucket each class is compared with one hub, the same for all; its likeliest hub is verified first, then, across components, the next
 ``HUBS`` - 1 likeliest.  Links are contracted
@@ -44,6 +47,9 @@ from .wordhash import mix, shingle_hashes, word_hashes
 #: Registers of a sketch, registers of a band.
 ROWS, BANDS = 8, 40
 REGISTERS = ROWS * BANDS
+#: Bits of the parities beside them, bytes of both together.
+PARITIES = 2048
+WIDTH = REGISTERS + PARITIES // 8
 #: A byte spans sets from one shingle to 2**40 of them.
 BASE, RATE = 2.0 ** (40 / 254), 20.0
 #: Points up to this over the set's size are made at first: one set in forty needs more for its last registers.
@@ -86,6 +92,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(level, 0, 255).astype(np.uint8).reshape(-1, REGISTERS)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Of a set of distinct hashes, as bytes."""
+    at = (mix(shingles + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(PARITIES)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITIES) & 1).astype(np.uint8))
+
+
 def merge(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The registers of the union."""
     return np.maximum(one, two)
@@ -139,7 +151,7 @@ def _sketched(size: int):
         for ids, texts in text_lots(batches, LOT, LOT_BYTES):
             sets = [np.unique(shingle_hashes(w, size)) for w in word_hashes(texts)]
             one, two = zip(*map(_set_key, sets), strict=True)
-            own = [row.tobytes() if len(s) else None for row, s in zip(registers(sets), sets, strict=True)]
+            own = [row.tobytes() + parities(s).tobytes() if len(s) else None for row, s in zip(registers(sets), sets, strict=True)]
             columns = [ids, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n", "sketch"])
 
@@ -147,13 +159,13 @@ def _sketched(size: int):
 
 
 def sketches(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, two halves of the shingle set's hash, its size n, its registers (null without shingles)."""
+    """doc_id, two halves of the shingle set's hash, its size n, its registers and parities (null without shingles)."""
     return docs.mapInArrow(_sketched(shingle), "doc_id long, k1 long, k2 long, n long, sketch binary")
 
 
 def _banded(batches):
     for batch in released(batches):
-        own = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+        own = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)[:, :REGISTERS]
         keys = bands(own).view(np.int64).ravel()
         repeat = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(), BANDS))
         yield pa.RecordBatch.from_arrays([pa.array(keys), repeat(0), repeat(1)], names=["band", "node", "n"])
@@ -174,14 +186,23 @@ def _sets(field: np.ndarray, size: int):
     return run
 
 
-def _compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     node, n = (rows.column(c).to_numpy() for c in ("node", "n"))
-    return node, n, np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
+    both = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+    return node, n, np.ascontiguousarray(both[:, :REGISTERS]), np.ascontiguousarray(both[:, REGISTERS:]).view(np.uint64)
+
+
+def may_link(odd: np.ndarray, n: np.ndarray, k: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each of the others is close enough to k by parities: sets of a and b shingles, d of them in one set alone, link
+    when 100 * (a + b - d) >= percent * (a + b + d)."""
+    alone = np.bitwise_count(odd[k] ^ odd[others]).sum(axis=1, dtype=np.int64)
+    return (100 + percent) * alone <= (100 - percent) * (n[others] + n[k])
 
 
-def _near(own: np.ndarray, n: np.ndarray, k: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the others those that may be near k by size and equal registers, and how many of k's are larger and smaller."""
+def _near(own: np.ndarray, odd: np.ndarray, n: np.ndarray, k: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the others those that may be near k by size, parities and equal registers, and how many of k's are larger and smaller."""
     others = others[100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])]
+    others = others[may_link(odd, n, k, others, percent)]
     more, less = (own[k] > own[others]).sum(axis=1), (own[k] < own[others]).sum(axis=1)
     near = REGISTERS - more - less >= LEAST_EQUAL * REGISTERS
     return others[near], more[near], less[near]
@@ -195,13 +216,13 @@ def _likely(node: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, more:
 
 def _pairs_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
     """The pairs across components that may link, of the rows of one bucket's two blocks (or one)."""
-    node, n, own = _compared(rows)
+    node, n, own, odd = _compared(rows)
     component, block = (rows.column(c).to_numpy() for c in ("component", "block"))
     one_block, found = block.min() == block.max(), []
     for k in range(len(node) - 1):
         others = np.arange(k + 1, len(node))
         fits = component[others] != component[k]
-        others, more, less = _near(own, n, k, others[fits if one_block else fits & (block[others] != block[k])], percent)
+        others, more, less = _near(own, odd, n, k, others[fits if one_block else fits & (block[others] != block[k])], percent)
         found.append((np.full(len(others), k), others, more, less))
     i, j, more, less = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 4
     return _likely(node, n, i, j, more, less, percent)
@@ -209,10 +230,10 @@ def _pairs_of(rows: pa.Table, percent: int) -> pa.RecordBatch:
 
 def _pairs_with_hub(rows: pa.Table, percent: int) -> pa.RecordBatch:
     """node, hub, similarity of those that may link with it, of the rows of one block with the bucket's hub."""
-    node, n, own = _compared(rows)
+    node, n, own, odd = _compared(rows)
     is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
     k = int(np.flatnonzero(is_hub)[0])
-    others, more, less = _near(own, n, k, np.flatnonzero(~is_hub), percent)
+    others, more, less = _near(own, odd, n, k, np.flatnonzero(~is_hub), percent)
     similarity, stays = estimates_of(more, less, np.full(len(others), n[k], dtype=float), n[others].astype(float), percent / 100)
     found = node[others[stays]]
     return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node[k])), pa.array(similarity[stays])], names=["node", "hub", "similarity"])

@@ -121,3 +121,21 @@ def test_registers_merge_and_estimate():
         assert stays.all() if similarity >= 0.85 else not stays.any()
         shared = (setsketch.bands(s[::2]) == setsketch.bands(s[1::2])).any(axis=1)
         assert shared.all() if similarity >= 0.85 else similarity > 0.5 or shared.mean() < 0.2
+
+
+def test_parities_give_up_no_link_and_most_pairs_that_are_none():
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 60, 400, 3000):
+        base, sets = rng.integers(0, 1 << 63, size, dtype=np.uint64), []
+        for share in np.linspace(0, 0.3, 40):
+            own = base.copy()
+            own[: int(share * size)] = rng.integers(0, 1 << 63, int(share * size), dtype=np.uint64)
+            sets.append(np.unique(own))
+        odd = np.stack([setsketch.parities(s) for s in sets]).view(np.uint64)
+        n, others = np.array([len(s) for s in sets]), np.arange(len(sets))
+        for k in range(len(sets)):
+            stays = setsketch.may_link(odd, n, k, others, 85)
+            both = np.array([len(np.intersect1d(sets[k], s)) for s in sets])
+            similarity = both / (n + n[k] - both)
+            assert stays[similarity >= 0.85].all()
+            assert size != 400 or not stays[similarity < 0.8].any()

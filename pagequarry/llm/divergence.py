@@ -1,21 +1,14 @@
 """Source divergence audit: how the sources of each lang differ in their use of words.
 
-*Vectors.*  Terms are taken out of each text once and written by lang.  For each lang a CountVectorizer (``minDF``, the
-largest integer as ``vocabSize``) keeps every term that enough of its documents hold, and makes an exact sparse vector
-of each document.
-
-*Group sums.*  A task adds the vectors of each source up in 64-bit integers, as a summarizer does (but without a mean in between, which would
-round), and gives out the entries that aren't 0 as lists, whenever its sums reach ``HELD`` bytes and at its end; these are added up after a
-shuffle by source and part of the terms, list by list.  A lang's counts are the sums over its sources.
+*Counts.*  Texts are read once, where they lie: a task counts the terms of its texts by source, and the documents that hold each, and gives out a row
+for each lang and term whenever what it holds reaches a bound.  These rows are shuffled by lang and term; terms that too few documents of the lang
+hold go, and the counts of the others are added up.  No vocabulary is held as a whole, so any number of terms, sources and langs will do.
 
 *Pairs.*  With count 0 a term has a share q0 that is the same for all terms of a source.  A pair's value is therefore V times the
 value of two such shares, and what the terms that either source holds differ from that: only entries that are there are looked at.  Sources are dealt into tiles of ``TILE`` and terms
 into parts of about ``PART_TERMS``; a task compares the columns of two tiles over the terms of a part, so what it holds is bounded and no pair of
 entries becomes a row.
 
-CountVectorizer keeps its vocabulary on the driver and in each task.  A lang whose documents hold more than ``MODEL_TERMS`` distinct terms (estimated before anything
-is fitted, from one in ``SAMPLED`` of all possible terms over all documents) is counted by grouping (term, document) rows instead, with the same results; langs with fewer documents than ``min_df`` keep no term and are not fitted.
-
 Defined results: null text, lang and source are ''; every (lang, source) that occurs is a group, also without terms; a lang without
 kept terms has pairs of value 0 and no terms; a lang of one source has no pairs; repeated rows count each; equal values are ranked by item in the order of UTF-8;
 an empty table gives no rows; further columns are ignored.
@@ -23,169 +16,117 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import released, written
+from .common import text_lots, written
 
-#: Distinct terms of a lang up to which a CountVectorizer holds them.
-MODEL_TERMS = 2_000_000
-#: One of so many terms, by hash, is counted for that.
-SAMPLED = 64
-#: Terms whose sums of a source are shuffled together.
+#: Distinct terms, about, that a task holds.
+MODEL_TERMS = 500_000
+#: Bytes of texts, about, whose terms a task counts before it gives out the sums.
+HELD = 32 << 20
+#: Terms that a task gives out together.
 SUM_TERMS = 8192
-#: Bytes of sums that a task holds.
-HELD = 64 << 20
 #: Sources of a tile, and terms of a part, about.
 TILE, PART_TERMS = 64, 4096
-#: Folders that langs are dealt into.
-FOLDERS = 32
-_BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Characters beyond ASCII other than the small letters of Latin-1.
-_OTHERS = r"[^\x00-\x7F\u00DF-\u00F6\u00F8-\u00FF]"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: UTF-8 bytes as those of terms: A-Z small, other ASCII a blank, bytes beyond ASCII kept.
+_AS_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _BILLION = 1_000_000_000
 
 
-def term_table(docs: DataFrame) -> DataFrame:
-    """lang, source, terms (with repeats) of every document."""
-    text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    # lower() knows other capitals as well; where a text may have some, letters are replaced one by one, which is slower.
-    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(_OTHERS)
-    terms = F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER)), _BREAKS), "")
-    return docs.select(lang.alias("lang"), source.alias("source"), terms.alias("terms"))
-
-
-def _folder(lang: Column) -> Column:
-    return F.pmod(F.xxhash64(lang), F.lit(FOLDERS)).cast("int")
-
-
-def group_sums(width: int, terms: int, most: int):
-    """Sums of sparse vectors (at, n) of that width by source, in tasks: source, part (of so many terms), and the part's places and sums
-    that aren't 0; ``most`` bytes of sums are held."""
-
-    def entries(sums: dict[str, np.ndarray]):
-        for source, held in sums.items():
-            used = np.flatnonzero(held)
-            cuts = np.searchsorted(used, np.arange(0, width + terms, terms))
-            some = np.flatnonzero(np.diff(cuts))
-            ends = pa.array(np.append(cuts[some], len(used)), pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (used.astype(np.int32), held[used]))
-            yield pa.RecordBatch.from_arrays([pa.array([source] * len(some), pa.string()), pa.array(some.astype(np.int32)), *lists], names=["source", "part", "at", "n"])
-
-    def run(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in released(batches):
-            named = batch.column(0).dictionary_encode()
-            which, names = named.indices.to_numpy(), named.dictionary.to_pylist()
-            for k, source in enumerate(names):
-                rows = pa.array(np.flatnonzero(which == k))
-                if source not in sums:
-                    if sums and (len(sums) + 1) * width * 8 > most:
-                        yield from entries(sums)
-                        sums = {}
-                    sums[source] = np.zeros(width, dtype=np.int64)
-                at, n = (batch.column(c).take(rows).flatten().to_numpy() for c in (1, 2))
-                np.add.at(sums[source], at, n.astype(np.int64))
-        yield from entries(sums)
-
-    return run
-
-
-def merged_sums(terms: int):
-    """source, at, n over rows (source, part, at, n) sorted by source and part; what is held is the sums of one part."""
-
-    def entries(key, held):
-        used = np.flatnonzero(held)
-        at = (used + key[1] * terms).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(used), pa.string()), pa.array(at), pa.array(held[used])], names=["source", "at", "n"])
-
-    def run(batches):
-        key, held = None, np.zeros(terms, dtype=np.int64)
-        for batch in released(batches):
-            at, n = batch.column(2), batch.column(3)
-            for row, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if own != key:
-                    if key is not None:
-                        yield entries(key, held)
-                    key = own
-                    held[:] = 0
-                held[at[row].values.to_numpy() - own[1] * terms] += n[row].values.to_numpy()
-        if key is not None:
-            yield entries(key, held)
+def lang_counts(lang: str, terms: list[bytes], sources: list[str], found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """A row for each term: documents with it, occurrences, and those by source; ``found`` has source, distinct terms and occurrences of each document."""
+    of, at, n = zip(*found, strict=True)
+    source = np.repeat(np.array(of, dtype=np.int64), [len(x) for x in at])
+    at, n = np.concatenate(at), np.concatenate(n)
+    docs = np.bincount(at, minlength=len(terms))
+    key = at * len(sources) + source
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    sums = np.add.reduceat(n[order], first)
+    term, source = np.divmod(key[first], len(sources))
+    starts = np.searchsorted(term, np.arange(len(terms) + 1))
+    names = pa.array(sources, pa.string()).take(pa.array(source))
+    ends = pa.array(starts, pa.int32())
+    return pa.table(
+        {
+            "lang": pa.array([lang] * len(terms), pa.string()), "term": pa.array(terms, pa.binary()).cast(pa.string()),
+            "docs": pa.array(docs, pa.int64()), "lang_n": pa.array(np.add.reduceat(sums, starts[:-1]), pa.int64()),
+            "source": pa.ListArray.from_arrays(ends, names), "n": pa.ListArray.from_arrays(ends, pa.array(sums, pa.int64())),
+        }
+    )
+
+
+def term_counts(most_terms: int, most_bytes: int, rows: int):
+    """Rows of ``lang_counts`` over rows (group, text), in tasks; of a term there are as many as times that counts were given out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given():
+            for lang, (terms, sources, found) in langs.items():
+                yield from lang_counts(lang, list(terms), list(sources), found).to_batches(max_chunksize=rows)
+            langs.clear()
+
+        langs, held, size = defaultdict(lambda: (defaultdict(count().__next__), {}, [])), 0, 0
+        for groups, texts in text_lots(batches, 1024, 8 << 20):
+            for group, text in zip(groups.to_pylist(), texts, strict=True):
+                words = text.translate(_AS_TERMS).split()
+                if not words:
+                    continue
+                terms, sources, found = langs[group["lang"]]
+                before = len(terms)
+                at, n = np.unique(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)), return_counts=True)
+                found.append((sources.setdefault(group["source"], len(sources)), at, n))
+                held, size = held + len(terms) - before, size + len(text)
+                if held >= most_terms or size >= most_bytes:
+                    yield from given()
+                    held = size = 0
+        yield from given()
 
     return run
 
 
-def by_model(own: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """term of the kept terms; source, term, n of their entries, by sparse vectors."""
-    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=(1 << 31) - 1).fit(own)
-    words = pd.DataFrame({"at": np.arange(len(model.vocabulary), dtype=np.int32), "term": np.array(model.vocabulary, dtype=object)})
-    kept = own.sparkSession.createDataFrame(words, "at int, term string")
-    vector = F.unwrap_udt("counts")
-    entries = model.transform(own).select("source", vector["indices"].alias("at"), vector["values"].alias("n"))
-    lists = entries.mapInArrow(group_sums(max(1, len(words)), SUM_TERMS, HELD), "source string, part int, at array<int>, n array<long>")
-    sums = lists.repartition("source", "part").sortWithinPartitions("source", "part").mapInArrow(merged_sums(SUM_TERMS), "source string, at int, n long")
-    return kept.select("term"), sums.join(kept, "at").select("source", "term", "n")
-
-
-def by_rows(own: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """The same for any number of terms."""
-    once = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = written(once.filter(F.col("df") >= min_df).select("term"), "kept-terms")
-    sums = own.select("source", F.explode("terms").alias("term")).groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
-    return kept, sums.join(kept, "term").select("source", "term", "n")
-
-
-def counted(docs: DataFrame, min_df: int, model_terms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, source) of all groups; (lang, term) of the kept terms; lang, source, term, n > 0 of their entries.  All are written."""
-    named = term_table(docs).withColumn("folder", _folder(F.col("lang")))
-    base = written(named, "terms", by="folder")
-    groups = written(base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")), "groups")
-    langs = groups.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_df)
-    some = base.select("lang", F.explode("terms").alias("term")).filter(F.pmod(F.xxhash64("term"), F.lit(SAMPLED)) == 0)
-    distinct = some.groupBy("lang").agg((SAMPLED * F.approx_count_distinct("term", 0.02)).alias("terms"))
-    rows = langs.join(distinct, "lang", "left").fillna(0, ["terms"]).withColumn("folder", _folder(F.col("lang"))).collect()  # one for each lang
-    parts = []
-    for row in sorted(rows, key=lambda r: r["lang"]):
-        own = base.filter((F.col("folder") == row["folder"]) & (F.col("lang") == row["lang"])).select("source", "terms")
-        kept, sums = (by_model if row["terms"] <= model_terms else by_rows)(own, min_df)
-        lang = F.lit(row["lang"]).alias("lang")
-        parts.append((kept.select(lang, "term"), sums.select(lang, "source", "term", "n")))
-    if not parts:
-        spark = docs.sparkSession
-        return groups, spark.createDataFrame([], "lang string, term string"), spark.createDataFrame([], "lang string, source string, term string, n long")
-    kept, sums = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
-    return groups, written(kept, "kept"), written(sums, "entries")
+def counted(docs: DataFrame, min_df: int, held_terms: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, source) of all groups; lang, source, term, n > 0 and the lang's lang_n of the kept terms' entries.  Both are written."""
+    text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
+    groups = written(docs.select(lang, source).distinct(), "groups")
+    own = docs.select(F.struct(lang, source).alias("group"), F.make_valid_utf8(text).alias("text"))
+    counts = own.mapInArrow(term_counts(held_terms, HELD, SUM_TERMS), "lang string, term string, docs long, lang_n long, source array<string>, n array<long>")
+    # Dealt by lang and term once: sums of a lang and those by source need no further exchange.
+    in_lang = Window.partitionBy("lang", "term")
+    dealt = counts.repartition("lang", "term").withColumn("df", F.sum("docs").over(in_lang)).withColumn("lang_n", F.sum("lang_n").over(in_lang))
+    entries = dealt.filter(F.col("df") >= min_df).select("lang", "term", "lang_n", F.inline(F.arrays_zip("source", "n")))
+    sums = entries.groupBy("lang", "source", "term", "lang_n").agg(F.sum("n").alias("n"))
+    return groups, written(sums.select("lang", "source", "term", "n", "lang_n"), "entries")
 
 
 def _share(n: str, total: str, terms: str) -> Column:
-    """1 + floor(10**9 * (n + 2) / (total + 2 * terms)), exactly; null without terms."""
-    return F.expr(f"CASE WHEN {terms} > 0 THEN 1 + (CAST({_BILLION} AS DECIMAL(38, 0)) * ({n} + 2)) div CAST({total} + 2 * {terms} AS DECIMAL(38, 0)) END")
+    """1 + floor(10**9 * (n + 2) / (total + 2 * terms)), exactly; null without terms.  Decimals, which are slow, only where 64 bits may not do."""
+    exact = f"CASE WHEN {n} < 9000000000 THEN ({_BILLION}L * ({n} + 2)) div ({total} + 2 * {terms}) ELSE (CAST({_BILLION} AS DECIMAL(38, 0)) * ({n} + 2)) div CAST({total} + 2 * {terms} AS DECIMAL(38, 0)) END"
+    return F.expr(f"CASE WHEN {terms} > 0 THEN 1 + {exact} END")
 
 
 def _value(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def shares(groups: DataFrame, kept: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shares(groups: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The groups with V, their p0 (of count 0), number and tile in the lang, and tiles of the lang; the entries with p and the lang's q."""
-    terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+    terms = entries.groupBy("lang").agg(F.count_distinct("term").alias("v"))
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     named = groups.join(terms, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["v", "total"])
     own = Window.partitionBy("lang")
     numbered = named.withColumn("no", F.row_number().over(own.orderBy("source")) - 1).withColumn("sources", F.count(F.lit(1)).over(own)).withColumn("lang_total", F.sum("total").over(own))
     numbered = numbered.withColumn("p0", _share("0", "total", "v")).withColumn("tile", F.expr(f"no div {TILE}")).withColumn("tiles", F.expr(f"(sources + {TILE - 1}) div {TILE}"))
     numbered = written(numbered, "shares")
-    in_lang = entries.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    full = entries.join(in_lang, ["lang", "term"]).join(numbered.select("lang", "source", "no", "tile", "tiles", "v", "total", "lang_total"), ["lang", "source"])
+    full = entries.join(numbered.select("lang", "source", "no", "tile", "tiles", "v", "total", "lang_total"), ["lang", "source"])
     full = full.withColumn("p", _share("n", "total", "v")).withColumn("q", _share("lang_n", "lang_total", "v"))
     return numbered, written(full.select("lang", "source", "term", "no", "tile", "tiles", "v", "p", "q"), "entry-shares")
 
@@ -246,9 +187,9 @@ def pair_values(groups: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, min_df: int = 10, top: int = 10, model_terms: int = MODEL_TERMS) -> DataFrame:
-    """lang, source, part ('pair' or 'term'), item, value, rank from 1 in each group and part."""
-    groups, kept, entries = counted(docs, min_df, model_terms)
-    groups, entries = shares(groups, kept, entries)
+    """lang, source, part ('pair' or 'term'), item, value, rank from 1 in each group and part; ``model_terms`` bounds what a task holds."""
+    groups, entries = counted(docs, min_df, model_terms)
+    groups, entries = shares(groups, entries)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     pairs = pair_values(groups, entries).withColumn("rank", F.row_number().over(order))
     terms = entries.filter("p > q").select("lang", "source", F.col("term").alias("item"), _value("p", "q").alias("value"))

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,29 @@ def test_no_kept_terms_and_no_rows(spark):
     rows = case(2)[-40:]
     assert found(divergence.audit(table(spark, rows), min_df=1000)) == brute(rows, 1000, 10)
     assert found(divergence.audit(table(spark, []))) == []
+
+
+def test_texts_are_read_once_and_a_task_gives_out_a_row_for_each_term(spark, monkeypatch):
+    texts = ["b A a", "", "a c"] * 50
+    batch = pa.RecordBatch.from_pylist([{"group": {"lang": "en", "source": f"s{k % 2}"}, "text": text} for k, text in enumerate(texts)])
+    rows = pa.Table.from_batches(divergence.term_counts(1000, 1 << 20, 2)(iter([batch]))).to_pylist()
+    assert [(r["term"], r["docs"], r["lang_n"], sorted(zip(r["source"], r["n"], strict=True))) for r in sorted(rows, key=lambda r: r["term"])] == [
+        ("a", 100, 150, [("s0", 75), ("s1", 75)]), ("b", 50, 50, [("s0", 25), ("s1", 25)]), ("c", 50, 50, [("s0", 25), ("s1", 25)]),
+    ]
+    assert len(list(divergence.term_counts(0, 1 << 20, 2)(iter([batch])))) > len(rows)
+    kept, write = [], divergence.written
+    monkeypatch.setattr(divergence, "written", lambda df, *label, **by: kept.append(df.dtypes) or write(df, *label, **by))
+    divergence.audit(table(spark, case(3)))
+    assert kept and not [name for types in kept for name, kind in types if kind.startswith("array")]
+
+
+@pytest.mark.parametrize("n", [0, 8_999_999_999, 9_000_000_000, 10**15])
+def test_shares_are_exact_on_both_sides_of_64_bits(spark, n):
+    df = spark.createDataFrame([(n, 3 * n + 7, 11, 0)], "n long, total long, v long, none long")
+    own, none = df.select(divergence._share("n", "total", "v"), divergence._share("n", "total", "none")).first()
+    assert (own, none) == (1 + 10**9 * (n + 2) // (3 * n + 7 + 22), None)
+
+
+def test_texts_that_are_not_utf8_do_not_stop_the_audit(spark):
+    rows = spark.range(12).selectExpr("cast(concat(unhex('C3'), cast(' word' AS binary)) AS string) AS text", "'en' AS lang", "concat('s', id % 2) AS source")
+    assert {(r[3], r[4]) for r in found(divergence.audit(rows))} == {("s0", 0), ("s1", 0)}

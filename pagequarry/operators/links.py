@@ -21,9 +21,19 @@ from .dom import Element
 
 HEADS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
+# Plain references, as most are: no empty segments, none that begin with a dot, no parameters, nothing empty behind ? or #.  The library puts these
+# behind the root or the folder of the base, or gives them back as they are.
+_SEGMENT = r"[\w~%-][\w~%.-]*+"
+_PATH, _TAIL = rf"{_SEGMENT}(?:/{_SEGMENT})*+/?", r"(?:\?[\w~%.=&+/-]++)?+(?:#[\w~%.=&+/-]++)?+"
+_ROOTED = re.compile(rf"/(?:{_PATH})?{_TAIL}", re.ASCII)
+_RELATIVE = re.compile(rf"{_PATH}{_TAIL}", re.ASCII)
+_ABSOLUTE = re.compile(rf"https?://[a-z0-9.-]++(?::[0-9]++)?+((?:/(?:{_PATH})?)?){_TAIL}", re.ASCII)
+_NEXT, _PREVIOUS = (re.compile("|".join(map(re.escape, words))) for words in (rules.NEXT_WORDS, rules.PREVIOUS_WORDS))
+
 
 def path_depth(url: str) -> int:
-    path = urlparse(url).path.strip("/")
+    plain = _ABSOLUTE.fullmatch(url)
+    path = (plain[1] if plain else urlparse(url).path).strip("/")
     return path.count("/") + 1 if path else 0
 
 
@@ -43,6 +53,10 @@ class _Out:
         self._texts: dict[int, str] = {}
         self._urls: dict[str, str | None] = {}
         self._depths: dict[str, int] = {}
+        self._seen: set[str] = set()
+        root, beside = _joined(base, "/"), _joined(base, "x")
+        #: What plain references stand behind; none where the base can't be read.
+        self._root, self._folder = (None, None) if root is None or beside is None else (root[:-1], beside[:-1])
 
     def text(self, a: Element) -> str:
         if id(a) not in self._texts:
@@ -51,9 +65,23 @@ class _Out:
 
     def url(self, href: str) -> str | None:
         if href not in self._urls:
-            self._urls[href] = _joined(self.base, href)
+            self._urls[href] = self._resolved(href)
         return self._urls[href]
 
+    def _resolved(self, href: str) -> str | None:
+        if self._root is None:
+            return _joined(self.base, href)
+        if _ROOTED.fullmatch(href):
+            return self._root + href
+        if _RELATIVE.fullmatch(href):
+            return self._folder + href
+        return href if _ABSOLUTE.fullmatch(href) else _joined(self.base, href)
+
+    def new(self, href: str | None) -> str | None:
+        """The URL of a reference, unless the page has a link to it already."""
+        url = self.url(href) if href else None
+        return None if not url or url in self._seen else url
+
     def depth(self, url: str) -> int:
         if url not in self._depths:
             self._depths[url] = path_depth(url)
@@ -65,6 +93,7 @@ class _Out:
         row = {"url": url, "text": text, "type": kind, "priority": float(priority), "depth": depth, "group_ix": group, "seq": len(self.rows)}
         row |= {k: None for k in ("source_selector", "is_active", "is_heading", "container_type", "section_title")} | more
         self.rows.append(row)
+        self._seen.add(url)
 
 
 # -- generic strategy
@@ -78,28 +107,29 @@ def _generic_href(a: Element) -> str | None:
 def pagination_kind(text: str, title: str, classes: list[str], rel: list[str]) -> str | None:
     """next before previous; words match anywhere in text or title."""
     text, title = text.lower(), title.lower()
-    if any(w in text or w in title for w in rules.NEXT_WORDS) or any("next" in c for c in classes) or "next" in rel:
+    if _NEXT.search(text) or _NEXT.search(title) or any("next" in c for c in classes) or "next" in rel:
         return "pagination_next"
-    if any(w in text or w in title for w in rules.PREVIOUS_WORDS) or any("prev" in c for c in classes) or {"prev", "previous"} & set(rel):
+    if _PREVIOUS.search(text) or _PREVIOUS.search(title) or any("prev" in c for c in classes) or {"prev", "previous"} & set(rel):
         return "pagination_previous"
     return None
 
 
 def generic(page: Element, base: str) -> list[dict]:
+    """The first candidate of each URL in the page."""
     out = _Out(base)
     for rank, selector in enumerate(rules.NAV_SELECTORS):
         found = dom.select(page, selector)
         for i, nav in enumerate(found):
             priority = rank + 1 + (0.1 * i if len(found) > 1 else 0)
             for a in nav.find_all("a"):
-                if (href := _generic_href(a)) and (url := out.url(href)):
+                if url := out.new(_generic_href(a)):
                     out.add(0, url, out.text(a), "navigation", priority, out.depth(url), source_selector=selector)
     for rank, selector in enumerate(rules.CONTENT_LINK_SELECTORS):
         for a in dom.select(page, selector):
-            if (href := _generic_href(a)) and (url := out.url(href)):
+            if url := out.new(_generic_href(a)):
                 out.add(1, url, out.text(a), "content", 10 + rank, out.depth(url), source_selector=selector)
     for a in page.find_all("a"):
-        if not (href := _generic_href(a)) or not (url := out.url(href)):
+        if not (url := out.new(_generic_href(a))):
             continue
         kind = pagination_kind(out.text(a), a.get("title") or "", a.classes, a.values("rel"))
         if kind:

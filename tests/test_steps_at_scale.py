@@ -1,6 +1,8 @@
 """Steps whose cost grew with more than their rows: evidence in pages, calls in flight, the page pass."""
 
+import random
 import re
+from urllib.parse import urljoin, urlparse
 
 from pagequarry.operators import control, dom, enrich, links, pages
 from pagequarry.operators.markdown import markdown
@@ -108,3 +110,52 @@ def test_pagination_links_of_rich_pages_need_no_tag_parser(monkeypatch):
     monkeypatch.setattr(dom, "parsed_by_tags", unused)
     found = links.generic(dom.parse(html), "https://web.example.org/docs/5")
     assert found == by_tags and [r["text"] for r in found if r["type"].startswith("pagination")] == ["Next page", "← 5", "Send feedback"]
+
+
+def test_a_page_gives_out_each_url_once_and_resolves_plain_references_itself(monkeypatch):
+    html = derived.RICH.replace("{id}", "5").replace("{next}", "6").replace("{lang}", "en").replace("{source}", "web")
+    joined, resolve = [], links._joined
+    monkeypatch.setattr(links, "_joined", lambda base, href: joined.append(href) or resolve(base, href))
+    found = links.generic(dom.parse(html), "https://web.example.org/docs/5")
+    urls = [r["url"] for r in found]
+    assert len(urls) == len(set(urls)) == 8 and urls[0] == "https://web.example.org/docs/5" and found[0]["text"] == "Overview 5" and len(joined) == 2
+
+
+def test_references_are_resolved_as_the_library_resolves_them():
+    bases = [
+        "https://h.example/docs/5", "http://h.example", "https://h.example/a/../b/./c?x=1#f", "HTTPS://H.example:8080//a//b/", "file:///a/b", "mailto:x@y", "", "docs/5", "/a/b;p/c;q",
+        "https:", "//h/a/b", "https://[bad/x", "https://h/a/b/../..", "?q", "x:y/z",
+    ]
+    parts = ["", "/", "//", "a", "b.c", ".", "..", ".a", "a:b", ";p", "?x=1", "?", "#", "#f", "?a/../b", "é", "%20", " ", "[", "https://", "http:", "https://g.example", "HTTP://G", "https://g:80", "-", "~"]
+    for base in bases:
+        for href in {a + b + c + d for a in parts for b in ("", "/", "a", "?x", "..") for c in ("", "/", "b", "//", "/./") for d in ("", "#f", "?", "/")}:
+            try:
+                want = urljoin(base, href)
+            except ValueError:
+                want = None
+            assert links._Out(base).url(href) == want, (base, href)
+            if want and "[" not in want:
+                path = urlparse(want).path.strip("/")
+                assert links.path_depth(want) == (path.count("/") + 1 if path else 0)
+
+
+def test_attribute_selectors_look_at_nodes_with_the_attribute(monkeypatch):
+    looked, holds = [], dom._holds
+    monkeypatch.setattr(dom, "_holds", lambda node, row: looked.append(node) or holds(node, row))
+    tree = dom.parse("<p>x</p>" * 50 + '<p role="other"></p><p role="navigation" title="">y</p>')
+    assert [n.stripped() for n in dom.select(tree, "[role='navigation']")] == ["y"] and len(looked) == 2
+    assert len(dom.select(tree, "[role^='n']")) == len(dom.select(tree, "[title]")) == len(dom.select(tree, "[title='']")) == 1
+
+
+def test_random_markup_gives_the_tree_of_the_tag_parser():
+    rng = random.Random(5)
+    pieces = [
+        "<p>", "</p>", "<B class=\" a  b\" id='x'>", "<b class=\" a  b\" rel>", "</b>", "text", " & &amp; &copy", "<br>", "<br/>", "<i/>", "<!-- c -->", "<!DOCTYPE html>", "<script>", "</script>",
+        "<script>a<b</script>", "<title>t</title>", "<title>a&amp;</title>", "<style>x</style>", "<", ">", "\n", '<a href="?a&amp;b&c" HREF="2">', "</a>", "<plaintext>", "<textarea>", "</textarea>",
+    ]
+    plain = 0
+    for _ in range(3000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 9)))
+        plain += dom._plain(html) is not None
+        assert shape(dom.parse(html)) == shape(dom.parsed_by_tags(html)), html
+    assert plain > 300
